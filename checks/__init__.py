@@ -2,7 +2,8 @@
 
 from importlib import import_module
 
-_MODULES = ("statements", "quality", "chunks")
+_MODULES = ("statements", "quality", "chunks", "search", "frames", "texts",
+            "storage")
 
 
 def _load():

@@ -96,7 +96,7 @@ def _(spark, sf_dir):
     return chunks(spark, sf_dir).select("chunk_id", "chunk_number", "observed_at", F.col("timestamp").alias("timestamp_text"))
 
 
-@query("c_stats", f"""WITH {SQL_CHUNKS}, sizes AS (SELECT length(text) AS l, len(ms) AS m, chunk_type FROM chunks)
+@query("c_stats", f"""WITH {SQL_CHUNKS}, sizes AS (SELECT CAST(length(text) AS int) AS l, CAST(len(ms) AS int) AS m, chunk_type FROM chunks)
 SELECT count(*) AS total_chunks, min(l) AS text_min, max(l) AS text_max, round(avg(l), 6) AS text_mean,
 (SELECT l FROM (SELECT l, row_number() OVER (ORDER BY l) AS r FROM sizes) x WHERE r = (SELECT count(*) // 2 + 1 FROM sizes)) AS text_median_upper,
 min(m) AS measurements_min, max(m) AS measurements_max, round(avg(m), 6) AS measurements_mean,

@@ -116,12 +116,14 @@ def query_log(spark, sf_dir) -> DataFrame:
 
 
 def centroids(spark, sf_dir) -> DataFrame:
-    """Search queries: per label, the mean vector and a sentence."""
+    """Search queries: per label, the direction of the mean vector and a sentence."""
     parts = (table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("i", "x"))
              .groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
              .groupBy("label").agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("v")))
     sentence = (F.when(F.col("label") % 3 == 0, "Warm water: temperature of each profile")
                 .when(F.col("label") % 3 == 1, "Salinity and pressure at depth")
                 .otherwise("Anything from the Arctic"))
+    x = F.col("v.x")
+    norm = F.sqrt(F.aggregate(x, F.lit(0.0), lambda total, y: total + y * y))
     return parts.select(F.col("label").alias("query_id"), sentence.alias("query"),
-                        F.col("v.x").alias("query_vector"))
+                        F.transform(x, lambda y: y / norm).alias("query_vector"))

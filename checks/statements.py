@@ -28,7 +28,7 @@ for _name, _statement in {**SAMPLES, **KEYWORDS}.items():
     _register(_name, _statement)
 
 
-_GUARDED = ("SELECT basin, extract(year FROM {ts}) AS year_no, count(*) AS n FROM profiles "
+_GUARDED = ("SELECT basin, CAST(extract(year FROM {ts}) AS int) AS year_no, count(*) AS n FROM profiles "
             "GROUP BY basin, extract(year FROM {ts})")
 
 

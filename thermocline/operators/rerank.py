@@ -88,7 +88,8 @@ def mmr(candidates: DataFrame, k: int, lambda_param: float = MMR_LAMBDA) -> Data
     handled together; queries run in parallel. Needs query_id, chunk_id, score, rank, timestamp,
     latitude, longitude, basin. Adds ``mmr_rank``; k or fewer candidates keep their order.
     """
-    schema = candidates.select("query_id", "chunk_id").schema.add("mmr_rank", "int")
+    schema = T.StructType([candidates.schema["query_id"], candidates.schema["chunk_id"],
+                           T.StructField("mmr_rank", T.IntegerType())])
 
     def pick(group):
         import numpy as np

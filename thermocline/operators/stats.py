@@ -126,10 +126,11 @@ def year_distribution(df: DataFrame, ts="observed_at") -> DataFrame:
             .groupBy(F.year(ts).alias("year")).agg(F.count(F.lit(1)).alias("n")))
 
 
-def format_results(results: DataFrame) -> DataFrame:
+def format_results(results: DataFrame, *keep) -> DataFrame:
     """Response rows: rounded score, nested metadata with location, measurement summary.
 
     Expects retrieved chunks: the chunk columns plus text, score, query, rank and strategy.
+    Columns named in ``keep`` are passed through.
     """
     meta = F.struct(
         F.col("timestamp"),
@@ -137,7 +138,7 @@ def format_results(results: DataFrame) -> DataFrame:
         "metadata.basin", "metadata.cycle_number", "metadata.vertical_sampling_scheme",
         F.size("measurements").alias("measurement_count"))
     return results.select(
-        "chunk_id", "text", F.round("score", 4).alias("score"), meta.alias("metadata"),
+        *keep, "chunk_id", "text", F.round("score", 4).alias("score"), meta.alias("metadata"),
         measurement_summary(F.col("measurements")).alias("measurements_summary"),
         "source", "chunk_type",
         F.struct("query", "rank", "strategy").alias("retrieval_context"))

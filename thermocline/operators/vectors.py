@@ -1,10 +1,9 @@
 """Exact and cell-probing nearest-vector search, batched over many queries."""
 
 import numpy as np
-import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 # Queries up to this size travel to every task; more are matched through a shuffle.
 BROADCAST_BYTES = 32 << 20
@@ -197,7 +196,7 @@ def assign_cells(df: DataFrame, centres, vector_col="embedding", nearest: int =
             yield pa.RecordBatch.from_arrays([*grown.columns, pa.array(order.ravel())],
                                              names=[*batch.schema.names, out])
 
-    schema = df.schema.add(out, "int")
+    schema = T.StructType([*df.schema.fields, T.StructField(out, T.IntegerType())])
     return df.filter(F.col(vector_col).isNotNull()).mapInArrow(nearest_cells, schema)
 
 
@@ -224,6 +223,7 @@ def approximate_topk(index: DataFrame, queries: DataFrame, k: int, metric: str =
          .withColumn("__block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))))
     q = (probed.join(sizes, "cell").withColumn("__block", F.pmod(F.hash(query_id), F.col("blocks")))
          .withColumn("__shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))))
+    v, q = v.drop("shards", "blocks"), q.drop("shards", "blocks")
     found = _grid(v, q, ["cell", "__block", "__shard"], k, largest,
                   _result_schema(queries, index, query_id, id_col), query_id, query_vector,
                   id_col, vector_col)

@@ -45,7 +45,7 @@ KEYWORDS = {
     "k15_extract_day_month": "SELECT CAST(extract(month FROM {ts}) AS int) AS month_no, CAST(extract(day FROM {ts}) AS int) AS day_no, count(*) AS n FROM profiles GROUP BY 1, 2",
     "k16_cast_round": "SELECT basin, CAST(round(avg(pressure_decibar), 0) AS int) AS mean_pressure FROM profiles GROUP BY basin",
     "k17_in_list": "SELECT basin, count(*) AS n FROM profiles WHERE basin IN (1, 2, 3) GROUP BY basin",
-    "k18_is_null": "SELECT sum(CASE WHEN salinity_psu IS NULL THEN 1 ELSE 0 END) AS no_salinity, sum(CASE WHEN vertical_sampling_scheme IS NULL THEN 1 ELSE 0 END) AS no_scheme FROM profiles",
+    "k18_is_null": "SELECT CAST(sum(CASE WHEN salinity_psu IS NULL THEN 1 ELSE 0 END) AS bigint) AS no_salinity, CAST(sum(CASE WHEN vertical_sampling_scheme IS NULL THEN 1 ELSE 0 END) AS bigint) AS no_scheme FROM profiles",
 }
 
 
