@@ -109,6 +109,14 @@ def _(spark, sf_dir):
     return P.series(profiles(spark, sf_dir), "timestamp", "temperature_degc")
 
 
+@query("p_pick_columns", f'WITH {SQL_PROFILES} SELECT "timestamp" AS x, round(avg(temperature_degc), 6) AS y FROM profiles GROUP BY 1')
+def _(spark, sf_dir):
+    """Axes picked from the schema, then the mean of y per x."""
+    frame = profiles(spark, sf_dir)
+    x, y = P.pick_columns(frame, "line")
+    return frame.groupBy(F.col(x).alias("x")).agg(F.round(F.avg(y), 6).alias("y"))
+
+
 @query("p_series_events", "SELECT ts AS x, value AS y FROM events WHERE value IS NOT NULL AND ts IS NOT NULL")
 def _(spark, sf_dir):
     return P.series(table(spark, sf_dir, "events"), "ts", "value")

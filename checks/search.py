@@ -115,7 +115,7 @@ def _retrieved(df):
     return _shown(df).select("query_id", "chunk_id", "score", "rank", "search_rank")
 
 
-@query("v_prefilter_post", f"""WITH {SQL_CHUNKS}, {SQL_QUERIES}, {SQL_INDEX}, {_POST} SELECT query_id, chunk_id,
+@query("v_prefilter", f"""WITH {SQL_CHUNKS}, {SQL_QUERIES}, {SQL_INDEX}, {_POST} SELECT query_id, chunk_id,
 round(score, 6) AS score, CAST(rank_now AS int) AS rank, CAST(r AS int) AS search_rank FROM kept WHERE rank_now <= {K}""")
 def _(spark, sf_dir):
     return _retrieved(R.retrieve(index(spark, sf_dir), centroids(spark, sf_dir), K, metadata_filters=_FILTERS))

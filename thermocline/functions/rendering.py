@@ -22,6 +22,13 @@ def fixed_point(value: Column, digits: int, width: int = 0) -> Column:
     return pad(text, width) if width else text
 
 
+def fixed_point_length(value: Column, digits: int, width: int) -> Column:
+    """Length of ``fixed_point``, without rendering it where the value fits its field."""
+    high, low = 10 ** (width - digits - 1) - 1, 1 - 10 ** (width - digits - 2)
+    return (F.when((value > low) & (value < high), F.lit(width))
+            .otherwise(F.length(fixed_point(value, digits, width))))
+
+
 def timestamp_text(ts: Column) -> Column:
     """Seconds, and microseconds only where there are any."""
     micros = F.date_format(ts, "SSSSSS")
@@ -40,6 +47,13 @@ def measurement_line(number: Column, pressure: Column, temperature: Column, sali
     )
 
 
+def measurement_line_length(pressure: Column, temperature: Column, salinity: Column) -> Column:
+    """Length of a line whose number has at most three digits."""
+    fixed = len("  nnn. Pressure:  dbar, Temperature: °C, Salinity:  PSU")
+    return (fixed + fixed_point_length(pressure, 1, 6) + fixed_point_length(temperature, 3, 6)
+            + fixed_point_length(salinity, 3, 6))
+
+
 def _line_of(m: Column, i: Column) -> Column:
     return measurement_line(i + 1, m["pressure_decibar"], m["temperature_degc"], m["salinity_psu"])
 

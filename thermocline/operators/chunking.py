@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from thermocline.functions.rendering import (
-    LIST_TITLE, measurement_line, preview_text, profile_header, profile_text, timestamp_text)
+    LIST_TITLE, measurement_line_length, preview_text, profile_header, profile_text, timestamp_text)
 from thermocline.operators.numbering import add_group_offset, add_preceding_sum
 from thermocline.operators.stats import upper_median
 from thermocline.schema import (
@@ -30,10 +30,9 @@ def _text_length(n: Column, body: Column, header: Column) -> Column:
 
 def group_facts(rows: DataFrame, keys=("timestamp",), limit: int = CHUNK_SIZE_LIMIT) -> DataFrame:
     """One row per group: size, first-row metadata, part count. Partial aggregation only."""
-    line = measurement_line(F.lit(1), *map(F.col, MEASUREMENT_FIELDS))
     facts = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
-        F.sum(F.length(line)).alias("body"),
+        F.sum(measurement_line_length(*map(F.col, MEASUREMENT_FIELDS))).alias("body"),
         F.min(F.struct(*MEASUREMENT_FIELDS, *_META)).alias("first"))
     meta = F.struct(timestamp_text(F.col(keys[0])).alias("timestamp"),
                     *[F.col("first")[c].alias(c) for c in _META])
@@ -74,9 +73,10 @@ def _spread_parts(rows: DataFrame, facts: DataFrame, keys, per_part: int) -> Dat
     return lists.withColumn("part", F.col("part").cast("int")).join(_small(facts), list(keys))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """Broadcast a stored table only once its row count is known to be within bounds."""
-    within = df.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+def _small(df: DataFrame, stored: DataFrame = None) -> DataFrame:
+    """Broadcast a table only once its row count is known to be within bounds. ``stored`` is a
+    checkpointed table of as many rows, to count without computing ``df``."""
+    within = (stored or df).limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
     return F.broadcast(df) if within else df
 
 
@@ -91,7 +91,7 @@ def chunk_profiles(profiles: DataFrame, limit: int = CHUNK_SIZE_LIMIT, keys=("ti
     rows = profiles.select(PROFILE_COLUMNS).dropna(subset=keys)
     per_part = part_size(limit)
     stored = durable(group_facts(rows, keys, limit))
-    facts = add_preceding_sum(stored, keys, "parts", "chunks_before")
+    facts = _small(add_preceding_sum(stored, keys, "parts", "chunks_before"), stored)
 
     # An unsplit group is bounded by the text limit, so only split groups can be too large.
     is_hot = F.col("split") & (F.col("n") > hot_rows)

@@ -12,11 +12,16 @@ NULL_TOKENS = [
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 ]
 
-# Patterns tried after ISO 8601, in this order.
-TIMESTAMP_PATTERNS = [
-    "yyyy/MM/dd HH:mm:ss", "yyyy/MM/dd", "MM/dd/yyyy HH:mm:ss", "MM/dd/yyyy",
-    "dd-MMM-yyyy HH:mm:ss", "dd-MMM-yyyy", "yyyyMMdd",
-]
+# Patterns tried after ISO 8601, each only on texts of its shape: a failed parse is expensive.
+TIMESTAMP_PATTERNS = {
+    "yyyy/MM/dd HH:mm:ss": r"^\d{4}/\d{2}/\d{2} \d{2}:\d{2}:\d{2}$",
+    "yyyy/MM/dd": r"^\d{4}/\d{2}/\d{2}$",
+    "MM/dd/yyyy HH:mm:ss": r"^\d{2}/\d{2}/\d{4} \d{2}:\d{2}:\d{2}$",
+    "MM/dd/yyyy": r"^\d{2}/\d{2}/\d{4}$",
+    "dd-MMM-yyyy HH:mm:ss": r"^\d{2}-[A-Za-z]{3}-\d{4} \d{2}:\d{2}:\d{2}$",
+    "dd-MMM-yyyy": r"^\d{2}-[A-Za-z]{3}-\d{4}$",
+    "yyyyMMdd": r"^\d{8}$",
+}
 
 # Plausible ranges of the measured quantities.
 QC_THRESHOLDS = {
@@ -52,8 +57,11 @@ def null_tokens(df: DataFrame) -> DataFrame:
 
 def parse_timestamp(text: Column) -> Column:
     """ISO 8601 first, then the other patterns; null when none fits."""
-    iso = F.when(text.rlike(r"^\s*\d{4}-"), F.try_to_timestamp(text))
-    return F.coalesce(iso, *[F.try_to_timestamp(text, F.lit(p)) for p in TIMESTAMP_PATTERNS])
+    text = F.trim(text)
+    parsed = F.when(text.rlike(r"^\d{4}-"), F.try_to_timestamp(text))
+    for pattern, shape in TIMESTAMP_PATTERNS.items():
+        parsed = parsed.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(pattern)))
+    return parsed
 
 
 def typed(df: DataFrame) -> DataFrame:

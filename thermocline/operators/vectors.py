@@ -18,48 +18,70 @@ def validate_k(k: int, score_threshold: float = None) -> None:
         raise ValueError("score_threshold must be between 0 and 1")
 
 
-def _best_keeper(k: int, largest: bool):
-    """A picklable function that merges scored candidates into the k best per query."""
+def _topk_collector(k: int, largest: bool):
+    """Picklable helpers for tasks: a list column to a matrix, and a collector of the k best.
+
+    ``collector(queries)`` returns ``add(ids, vectors)`` and ``result()``. Candidates that cannot
+    beat a query's k-th best are dropped at once; the rest are merged whenever they have grown to
+    a few times the result, so memory stays bounded by k x queries.
+    """
     import numpy as np
 
     def matrix(array):
-        n = len(array)
-        return array.flatten().to_numpy(zero_copy_only=False).reshape(n, -1).astype(np.float64)
+        flat = array.flatten().to_numpy(zero_copy_only=False)
+        return flat.reshape(len(array), -1).astype(np.float64)
 
     def scores(queries, vectors):
         dots = queries @ vectors.T
-        if not largest:
-            dots = (queries ** 2).sum(1)[:, None] + (vectors ** 2).sum(1)[None, :] - 2 * dots
-            dots = np.maximum(dots, 0.0)
+        if largest:
+            badness = -dots
+        else:
+            badness = np.maximum(
+                (queries ** 2).sum(1)[:, None] + (vectors ** 2).sum(1)[None, :] - 2 * dots, 0.0)
         # Equal vectors must tie whatever batch they arrive in.
-        return np.round(dots, 12)
-
-    def keep(best, q, ids, s):
-        """best, result: (query number, id, score) arrays, at most k per query."""
-        if best is not None:
-            q, ids, s = (np.concatenate([a, b]) for a, b in zip(best, (q, ids, s)))
-        order = np.lexsort((ids, -s if largest else s, q))
-        q, ids, s = q[order], ids[order], s[order]
-        starts = np.searchsorted(q, q, side="left")
-        top = np.arange(len(q)) - starts < k
-        return q[top], ids[top], s[top]
-
-    def update(best, queries, ids, vectors):
-        rows = max(1, 2_000_000 // max(1, len(queries)))
-        for at in range(0, len(ids), rows):
-            part, part_ids = vectors[at:at + rows], ids[at:at + rows]
-            s = scores(queries, part)
-            signed = -s if largest else s
-            if s.shape[1] > k:
-                # Everything at least as good as the k-th stays in: ties are settled by id.
-                bound = np.partition(signed, k - 1, axis=1)[:, k - 1]
-                q, r = np.nonzero(signed <= bound[:, None])
-            else:
-                q, r = np.nonzero(np.ones_like(s, dtype=bool))
-            best = keep(best, q, part_ids[r], s[q, r])
-        return best
-
-    return matrix, update
+        return np.round(badness, 12)
+
+    def collector(queries):
+        n = len(queries)
+        cut = np.full(n, np.inf)
+        held, size = [], 0
+        rows = max(1, 2_000_000 // max(1, n))
+
+        def merge():
+            nonlocal held, size
+            q, ids, bad = (np.concatenate(parts) for parts in zip(*held))
+            order = np.lexsort((ids, bad, q))
+            q, ids, bad = q[order], ids[order], bad[order]
+            place = np.arange(len(q)) - np.searchsorted(q, q, side="left")
+            cut[q[place == k - 1]] = bad[place == k - 1]
+            top = place < k
+            held, size = [(q[top], ids[top], bad[top])], int(top.sum())
+
+        def add(ids, vectors):
+            nonlocal size
+            for at in range(0, len(ids), rows):
+                bad = scores(queries, vectors[at:at + rows])
+                bound = cut
+                if bad.shape[1] > k:
+                    # Ties with the k-th stay in: they are settled by id.
+                    bound = np.minimum(cut, np.partition(bad, k - 1, axis=1)[:, k - 1])
+                q, r = np.nonzero(bad <= bound[:, None])
+                if len(q):
+                    held.append((q, ids[at:at + rows][r], bad[q, r]))
+                    size += len(q)
+                if size > 4 * k * n:
+                    merge()
+
+        def result():
+            if not held:
+                return None
+            merge()
+            q, ids, bad = held[0]
+            return q, ids, (-bad if largest else bad) + 0.0
+
+        return add, result
+
+    return matrix, collector
 
 
 def _result_schema(queries, index, query_id, id_col):
@@ -117,7 +139,7 @@ def _empty(index, queries, query_id, id_col):
 
 
 def _scan(index, block, k, largest, schema):
-    matrix, update = _best_keeper(k, largest)
+    matrix, collector = _topk_collector(k, largest)
     spark = index.sparkSession
     shared = spark.sparkContext.broadcast((block.column(0).combine_chunks(),
                                            matrix(block.column(1).combine_chunks())))
@@ -125,12 +147,13 @@ def _scan(index, block, k, largest, schema):
     def local_topk(batches):
         import pyarrow as pa
         query_ids, query_matrix = shared.value
-        best, id_type = None, None
+        add, result = collector(query_matrix)
+        id_type = None
         for batch in batches:
             if batch.num_rows:
                 id_type = batch.column(0).type
-                best = update(best, query_matrix, batch.column(0).to_numpy(zero_copy_only=False),
-                              matrix(batch.column(1)))
+                add(batch.column(0).to_numpy(zero_copy_only=False), matrix(batch.column(1)))
+        best = result()
         if best is not None:
             q, ids, s = best
             yield pa.RecordBatch.from_arrays(
@@ -142,7 +165,7 @@ def _scan(index, block, k, largest, schema):
 
 def _grid(index, queries, cell, k, largest, schema, query_id, query_vector, id_col, vector_col):
     """Match bounded blocks of queries with bounded shards of vectors, cell by cell."""
-    matrix, update = _best_keeper(k, largest)
+    matrix, collector = _topk_collector(k, largest)
     names = [f.split()[0] for f in schema.split(", ")]
 
     def cell_topk(left, right):
@@ -151,9 +174,9 @@ def _grid(index, queries, cell, k, largest, schema, query_id, query_vector, id_c
             return pa.table({n: pa.array([], t) for n, t in zip(names, (
                 left.schema.field(query_id).type, right.schema.field(id_col).type, pa.float64()))})
         ids = right.column(id_col).combine_chunks()
-        q, found, s = update(None, matrix(left.column(query_vector).combine_chunks()),
-                             ids.to_numpy(zero_copy_only=False),
-                             matrix(right.column(vector_col).combine_chunks()))
+        add, result = collector(matrix(left.column(query_vector).combine_chunks()))
+        add(ids.to_numpy(zero_copy_only=False), matrix(right.column(vector_col).combine_chunks()))
+        q, found, s = result()
         taken = left.column(query_id).combine_chunks().take(pa.array(q))
         return pa.table([taken, pa.array(found, type=ids.type), pa.array(s)], names=names)
 
