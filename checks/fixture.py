@@ -5,6 +5,9 @@ Each input is a list of SQL expressions that mean the same in Spark and in an AN
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from thermocline.session import scratch_path
+from thermocline.sources.files import CSV_OPTIONS
+
 _LON = "CAST((l_partkey * 37) % 3600 AS double) / 1e1 - 1.8e2"
 _LAT = "CAST((l_suppkey * 53) % 1800 AS double) / 1e1 - 9e1"
 _PRESSURE = "floor(l_extendedprice) / 5e1 - 1e2"
@@ -107,8 +110,26 @@ def profiles(spark, sf_dir) -> DataFrame:
     return _project(table(spark, sf_dir, "lineitem"), PROFILES)
 
 
+_STAGED = {}
+
+
+def raw_files(spark, sf_dir, by_source: bool) -> str:
+    """The raw rows as CSV files, written once per session: in one folder, or in one per source."""
+    key = (spark.sparkContext.applicationId, sf_dir, by_source)
+    if key not in _STAGED:
+        path = scratch_path(spark, "raw")
+        rows = _project(table(spark, sf_dir, "lineitem"), {**RAW, "source_name": RAW_SOURCE})
+        writer = rows.write if by_source else rows.drop("source_name").write
+        if by_source:
+            writer = writer.partitionBy("source_name")
+        writer.option("header", True).option("escape", '"').csv(path)
+        _STAGED[key] = path
+    return _STAGED[key]
+
+
 def raw_rows(spark, sf_dir) -> DataFrame:
-    return _project(table(spark, sf_dir, "lineitem"), {**RAW, "source_name": RAW_SOURCE})
+    """Text rows with the name of their source."""
+    return spark.read.options(**CSV_OPTIONS).csv(raw_files(spark, sf_dir, True))
 
 
 def query_log(spark, sf_dir) -> DataFrame:

@@ -42,7 +42,7 @@ def _(spark, sf_dir):
             .withColumnsRenamed({"timestamp": "observed", "temperature_degC": "temperature"}))
 
 
-@query("q_rename", f'WITH {SQL_RAW} SELECT "temperature_degC" AS temperature_degc, count(*) AS n FROM raw GROUP BY 1')
+@query("q_rename", f'WITH {SQL_RAW} SELECT nullif("temperature_degC", \'\') AS temperature_degc, count(*) AS n FROM raw GROUP BY 1')
 def _(spark, sf_dir):
     renamed = Q.rename_temperature(raw_rows(spark, sf_dir))
     return renamed.groupBy("temperature_degc").agg(F.count(F.lit(1)).alias("n"))

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from checks.chunks import SQL_CHUNKS, chunks
-from checks.fixture import RAW, SQL_PROFILES, SQL_TYPED, centroids, profiles, raw_rows
+from checks.fixture import RAW, SQL_PROFILES, SQL_TYPED, centroids, profiles, raw_files, raw_rows
 from checks.quality import COMPLETE, FILLED, IN_RANGE, SECONDS, SEVEN, clean_profiles, with_seconds
 from checks.registry import query
 from checks.search import _IP, _RESULTS, _VISIBLE, SQL_INDEX, SQL_QUERIES, _ranked, index, results
@@ -18,17 +18,9 @@ _STORED = "replace(replace(source_name, '_raw.csv', '_processed'), '.csv', '') A
 _CLEANED = f"WITH {SQL_TYPED} SELECT {FILLED}, {_STORED}, {SECONDS} FROM typed WHERE {COMPLETE} AND {IN_RANGE}"
 
 
-def _raw_files(spark, sf_dir):
-    """The raw rows as CSV files, one name per source."""
-    path = scratch_path(spark, "raw")
-    raw = raw_rows(spark, sf_dir)
-    raw.drop("source_name").write.option("header", True).option("escape", '"').csv(path)
-    return path
-
-
 @query("src_csv", f"WITH {SQL_TYPED} SELECT {SEVEN}, {SECONDS} FROM typed")
 def _(spark, sf_dir):
-    raw = files.read_csv(spark, _raw_files(spark, sf_dir))
+    raw = files.read_csv(spark, raw_files(spark, sf_dir, False))
     return with_seconds(Q.typed(Q.rename_temperature(raw)).drop("source_name"))
 
 
@@ -79,7 +71,7 @@ def _(spark, sf_dir):
 count(*) FILTER (WHERE {COMPLETE} AND NOT ({IN_RANGE})) AS rows_rejected, count(*) FILTER (WHERE {COMPLETE} AND {IN_RANGE}) AS rows_stored, 1 AS intact FROM typed""")
 def _(spark, sf_dir):
     """CSV files to stored profiles, totals over all files."""
-    summary = ingest_directory(spark, _raw_files(spark, sf_dir), scratch_path(spark, "stored"))
+    summary = ingest_directory(spark, raw_files(spark, sf_dir, False), scratch_path(spark, "stored"))
     return summary.agg(*[F.sum(c).alias(c) for c in ("rows_read", "rows_dropped", "rows_rejected", "rows_stored")],
                        F.min("intact").alias("intact"))
 
@@ -88,7 +80,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     """The same files through the stream: equal to the batch."""
     output = scratch_path(spark, "streamed")
-    ingest_available(spark, _raw_files(spark, sf_dir), output, scratch_path(spark, "stream-state"), list(RAW))
+    ingest_available(spark, raw_files(spark, sf_dir, False), output, scratch_path(spark, "stream-state"), list(RAW))
     return with_seconds(files.read_profiles(spark, output).drop("source_name"))
 
 

@@ -50,36 +50,35 @@ def verdict(sql: Column, mode: str = "word", tables=ALLOWED_TABLES) -> Column:
     lowered = F.lower(F.trim(sql))
     word = mode == "word"
 
-    def holds(keyword):
-        if not word:
-            return lowered.contains(keyword)
-        end = "" if keyword.endswith("_") else r"\b"
-        return lowered.rlike(rf"\b{keyword}{end}")
-
-    checks = [(F.trim(F.coalesce(sql, F.lit(""))) == "", F.lit("SQL query cannot be empty"))]
-    for keyword in FORBIDDEN + (_ESCAPES if word else []):
-        checks.append((holds(keyword), F.lit(f"Forbidden keyword detected: {keyword}")))
-    starts = lowered.rlike(r"^(select|with)\b") if word else lowered.startswith("select")
+    def whole(keyword):
+        return keyword + ("" if keyword.endswith("_") else r"\b")
+
+    keywords = FORBIDDEN + (_ESCAPES if word else [])
+    named = F.coalesce(*[F.when(lowered.rlike(r"\b" + whole(k)) if word else lowered.contains(k), k)
+                         for k in keywords])
+    if word:  # one pass tells most statements from those worth a closer look
+        named = F.when(lowered.rlike(r"\b(?:" + "|".join(map(whole, keywords)) + ")"), named)
+    if word:
+        starts = lowered.rlike(r"^(select|with)\b")
+        several = F.rtrim(sql).rlike(r";(?s:.)*\S")
+    else:
+        starts = lowered.startswith("select")
+        several = sql.contains(";") & ~F.rtrim(sql).endswith(";")
     refused = F.array_except(referenced_tables(lowered, mode), F.array(*map(F.lit, tables)))
-    checks += [
-        (~starts, F.lit("Only SELECT queries are allowed")),
-        (sql.contains(";") & ~F.rtrim(sql).endswith(";") if not word else
-         F.rtrim(sql).rlike(r";(?s:.)*\S"), F.lit("Multiple SQL statements are not allowed")),
-        (sql.contains("--") | sql.contains("/*"), F.lit("SQL comments are not allowed")),
-        (F.size(refused) > 0, F.concat(F.lit("Access to table '"), F.try_element_at(refused, F.lit(1)),
-                                       F.lit("' is not allowed"))),
-        (_occurrences(lowered, "join") > MAX_JOINS,
-         F.lit(f"Too many JOIN operations (maximum {MAX_JOINS} allowed)")),
-        (_occurrences(lowered, "union") > MAX_UNIONS,
-         F.lit(f"Too many UNION operations (maximum {MAX_UNIONS} allowed)")),
-        (_occurrences(sql, "(") > MAX_PARENTHESES,
-         F.lit("Query too complex (too many nested operations)")),
-    ]
-    (condition, reason), rest = checks[0], checks[1:]
-    result = F.when(condition, reason)
-    for condition, reason in rest:
-        result = result.when(condition, reason)
-    return result.otherwise(F.lit(ACCEPTED))
+    # Each term is null when its rule holds; the first that is not gives the reason.
+    return F.coalesce(
+        F.when(F.trim(F.coalesce(sql, F.lit(""))) == "", "SQL query cannot be empty"),
+        F.concat(F.lit("Forbidden keyword detected: "), named),
+        F.when(~starts, "Only SELECT queries are allowed"),
+        F.when(several, "Multiple SQL statements are not allowed"),
+        F.when(sql.contains("--") | sql.contains("/*"), "SQL comments are not allowed"),
+        F.concat(F.lit("Access to table '"), F.try_element_at(refused, F.lit(1)), F.lit("' is not allowed")),
+        F.when(_occurrences(lowered, "join") > MAX_JOINS,
+               f"Too many JOIN operations (maximum {MAX_JOINS} allowed)"),
+        F.when(_occurrences(lowered, "union") > MAX_UNIONS,
+               f"Too many UNION operations (maximum {MAX_UNIONS} allowed)"),
+        F.when(_occurrences(sql, "(") > MAX_PARENTHESES, "Query too complex (too many nested operations)"),
+        F.lit(ACCEPTED))
 
 
 def audit(log: DataFrame, sql_col="sql", mode: str = "word") -> DataFrame:
