@@ -87,7 +87,7 @@ def _(spark, sf_dir):
 @query("c_split_spread", f"""WITH {SQL_CHUNKS} SELECT chunk_id, sub_chunk_info, text FROM chunks""")
 def _(spark, sf_dir):
     """The same chunks with every split group on the path for groups too large for one task."""
-    spread = C.chunk_profiles(clean_profiles(spark, sf_dir), hot_rows=0)
+    spread = C.chunk_profiles(clean_profiles(spark, sf_dir), hot_rows=0, few_keys=0)
     return C.with_text(spread).select("chunk_id", "metadata.sub_chunk_info", "text")
 
 
@@ -96,6 +96,12 @@ def _(spark, sf_dir):
     return chunks(spark, sf_dir).select("chunk_id", "chunk_number", "observed_at", F.col("timestamp").alias("timestamp_text"))
 
 
+@query("c_chunk_id_many", f"WITH {SQL_CHUNKS} SELECT chunk_id, chunk_number, ts AS observed_at FROM chunks")
+def _(spark, sf_dir):
+    """The same numbers on the path for more groups than one window may see."""
+    return C.chunk_profiles(clean_profiles(spark, sf_dir), few_keys=0).select("chunk_id", "chunk_number", "observed_at")
+
+
 @query("c_stats", f"""WITH {SQL_CHUNKS}, sizes AS (SELECT CAST(length(text) AS int) AS l, CAST(len(ms) AS int) AS m, chunk_type FROM chunks)
 SELECT count(*) AS total_chunks, min(l) AS text_min, max(l) AS text_max, round(avg(l), 6) AS text_mean,
 (SELECT l FROM (SELECT l, row_number() OVER (ORDER BY l) AS r FROM sizes) x WHERE r = (SELECT count(*) // 2 + 1 FROM sizes)) AS text_median_upper,

@@ -52,12 +52,13 @@ def test_parts_hold_fifteen(spark, profile_rows, n, parts):
     assert "    1. Pressure" in got[-1][7] and got[0][6] == "temporal_profile_split"
 
 
-def test_numbering_counts_parts_across_days_and_years(spark, profile_rows):
+@pytest.mark.parametrize("few_keys", [0, 100])
+def test_numbering_counts_parts_across_days_and_years(spark, profile_rows, few_keys):
     stamps = ["2022-12-31 23:00:00", "2023-01-01 00:00:00", "2023-01-01 06:00:00", "2023-06-01 00:00:00", "2024-01-01 00:00:00"]
     sizes = [2, 40, 1, 33, 3]
     rows = [(ts, *m) for ts, n in zip(stamps, sizes) for m in _profile(n)]
     random.Random(1).shuffle(rows)
-    got = _collect(C.chunk_profiles(profile_rows(rows)))
+    got = _collect(C.chunk_profiles(profile_rows(rows), few_keys=few_keys))
     expected, number = [], 0
     for ts, n in zip(stamps, sizes):
         parts = -(-n // 15) if len(_text(_profile(n), ts)) > 2000 else 1
@@ -86,11 +87,10 @@ def test_copies_beyond_one_block(spark, profile_rows, monkeypatch):
     assert _collect(C.chunk_profiles(df)) == _collect(C.chunk_profiles(df, hot_rows=0))
 
 
-def test_many_hot_keys_without_broadcast(spark, profile_rows, monkeypatch):
+def test_many_hot_keys_without_broadcast(spark, profile_rows):
     rows = [(f"2024-01-{d:02d} 00:00:00", *m) for d in range(1, 6) for m in _profile(50)]
     want = _collect(C.chunk_profiles(profile_rows(rows)))
-    monkeypatch.setattr(C, "BROADCAST_KEYS", 2)
-    assert _collect(C.chunk_profiles(profile_rows(rows), hot_rows=20)) == want
+    assert _collect(C.chunk_profiles(profile_rows(rows), hot_rows=20, few_keys=2)) == want
 
 
 def test_independent_of_partitioning_and_order(spark, profile_rows):

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from thermocline.functions.rendering import (
     LIST_TITLE, measurement_line_length, preview_text, profile_header, profile_text, timestamp_text)
-from thermocline.operators.numbering import add_group_offset, add_preceding_sum
+from thermocline.operators.numbering import add_group_offset, add_preceding_sum, add_running_sum
 from thermocline.operators.stats import upper_median
 from thermocline.schema import (
     CHARS_PER_MEASUREMENT, CHUNK_ID_PREFIX, CHUNK_SIZE_LIMIT, CHUNK_SOURCE, CHUNK_TYPE,
@@ -12,7 +12,7 @@ from thermocline.schema import (
 from thermocline.session import durable
 
 HOT_ROWS = 100_000
-BROADCAST_KEYS = 100_000
+FEW_KEYS = 100_000
 _BLOCK_PARTS = 10_000
 _META = ["basin", "cycle_number", "vertical_sampling_scheme", "longitude", "latitude"]
 
@@ -70,38 +70,40 @@ def _spread_parts(rows: DataFrame, facts: DataFrame, keys, per_part: int) -> Dat
     measurement = F.struct(*MEASUREMENT_FIELDS)
     lists = (pieces.withColumn("here", F.array_repeat(measurement, (high - low).cast("int")))
              .groupBy(*keys, "part").agg(F.sort_array(F.flatten(F.collect_list("here"))).alias("measurements")))
-    return lists.withColumn("part", F.col("part").cast("int")).join(_small(facts), list(keys))
-
-
-def _small(df: DataFrame, stored: DataFrame = None) -> DataFrame:
-    """Broadcast a table only once its row count is known to be within bounds. ``stored`` is a
-    checkpointed table of as many rows, to count without computing ``df``."""
-    within = (stored or df).limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-    return F.broadcast(df) if within else df
+    return lists.withColumn("part", F.col("part").cast("int")).join(facts, list(keys))
 
 
 def chunk_profiles(profiles: DataFrame, limit: int = CHUNK_SIZE_LIMIT, keys=("timestamp",),
-                   hot_rows: int = HOT_ROWS) -> DataFrame:
+                   hot_rows: int = HOT_ROWS, few_keys: int = FEW_KEYS) -> DataFrame:
     """One nested document per key group, split into parts where its text exceeds ``limit``.
 
     Ids number the documents in key order, parts included. Metadata comes from the first
     measurement by pressure, then by every other column.
+
+    Groups beyond ``hot_rows`` are never held whole. Up to ``few_keys`` groups are numbered in one
+    small window and their facts broadcast; beyond that both are distributed.
     """
     keys = list(keys)
     rows = profiles.select(PROFILE_COLUMNS).dropna(subset=keys)
     per_part = part_size(limit)
     stored = durable(group_facts(rows, keys, limit))
-    facts = _small(add_preceding_sum(stored, keys, "parts", "chunks_before"), stored)
-
     # An unsplit group is bounded by the text limit, so only split groups can be too large.
-    is_hot = F.col("split") & (F.col("n") > hot_rows)
-    if stored.filter(is_hot).isEmpty():
-        parts = _collected_parts(rows, facts, keys, per_part)
+    sizes = stored.agg(F.count(F.lit(1)).alias("keys"),
+                       F.max(F.when(F.col("split"), F.col("n"))).alias("largest")).first()
+    few = sizes["keys"] <= few_keys
+    number = add_running_sum if few else add_preceding_sum
+    facts = number(stored, keys, "parts", "chunks_before")
+
+    def joined(df):
+        return F.broadcast(df) if few else df
+
+    if (sizes["largest"] or 0) <= hot_rows:
+        parts = _collected_parts(rows, joined(facts), keys, per_part)
     else:
-        hot = durable(facts.filter(is_hot))
-        marks = _small(hot.select(keys))
-        parts = (_collected_parts(rows.join(marks, keys, "left_anti"), facts, keys, per_part)
-                 .unionByName(_spread_parts(rows.join(marks, keys, "left_semi"), hot, keys, per_part)))
+        hot = durable(facts.filter(F.col("split") & (F.col("n") > hot_rows)))
+        marks = joined(hot.select(keys))
+        parts = (_collected_parts(rows.join(marks, keys, "left_anti"), joined(facts), keys, per_part)
+                 .unionByName(_spread_parts(rows.join(marks, keys, "left_semi"), joined(hot), keys, per_part)))
     return _documents(parts, keys, per_part)
 
 

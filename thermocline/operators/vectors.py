@@ -108,11 +108,9 @@ def exact_topk(index: DataFrame, queries: DataFrame, k: int, metric: str = "ip",
     largest = metric == "ip"
     index = index.select(id_col, vector_col).filter(F.col(vector_col).isNotNull())
     queries = queries.select(query_id, query_vector).filter(F.col(query_vector).isNotNull())
-    dimension = _dimension(queries, query_vector)
-    if dimension == 0:
+    block, room = _query_block(queries, broadcast_bytes)
+    if block.num_rows == 0:
         return _empty(index, queries, query_id, id_col)
-    room = max(1, broadcast_bytes // (8 * dimension))
-    block = queries.limit(room + 1).toArrow()
     schema = _result_schema(queries, index, query_id, id_col)
     if block.num_rows <= room:
         found = _scan(index, block, k, largest, schema)
@@ -128,9 +126,15 @@ def exact_topk(index: DataFrame, queries: DataFrame, k: int, metric: str = "ip",
     return _rank(found, query_id, id_col, k, largest)
 
 
-def _dimension(df, vector_col) -> int:
-    first = df.select(F.size(vector_col).alias("d")).first()
-    return first.d if first else 0
+def _query_block(queries, broadcast_bytes):
+    """The queries as far as they may be broadcast, one more if there are more, and that bound."""
+    first = 256
+    block = queries.limit(first + 1).toArrow()
+    dimension = max(1, len(block.column(1)[0])) if block.num_rows else 1
+    room = max(1, broadcast_bytes // (8 * dimension))
+    if block.num_rows > first and room > first:
+        block = queries.limit(room + 1).toArrow()
+    return block, room
 
 
 def _empty(index, queries, query_id, id_col):
