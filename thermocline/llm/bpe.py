@@ -188,11 +188,10 @@ def _rare(spec, head):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, (_, index) = coder(spec.value), _index_of(head)
-        known = index.keys()
         for batch in batches:
             words, at = [], []
             for i, text in enumerate(batch.column(2).to_pylist()):
-                rare = set(own.words(text)) - known
+                rare = [w for w in set(own.words(text)) if w not in index]
                 words += rare
                 at += [i] * len(rare)
             rows = pa.array(at, pa.int64())
