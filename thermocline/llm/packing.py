@@ -93,22 +93,23 @@ def pack_shard(shard: int, docs: list[tuple[int, np.ndarray]], length: int, pad:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=[x.split()[0] for x in _SCHEMA.split(", ")])
 
 
-_REMEMBERED: dict[str, list[int]] = {}
+#: Packed ids of words, of one tokenizer and width at a time.
+_REMEMBERED: dict[str, bytes] = {}
 
 
 def _pack(spec, length: int, end_id: int, dtype: str):
     def encode(own, text):
         words = own.words(text)
         try:
-            parts = list(map(_REMEMBERED.__getitem__, words))
+            ids = b"".join(map(_REMEMBERED.__getitem__, words))
         except KeyError:
             if len(_REMEMBERED) > MEMORY:
                 _REMEMBERED.clear()
             for w in words:
                 if w not in _REMEMBERED:
-                    _REMEMBERED[w] = own.encode(w)
-            parts = [_REMEMBERED[w] for w in words]
-        return np.array([*(x for p in parts for x in p), end_id], dtype)
+                    _REMEMBERED[w] = np.array(own.encode(w), dtype).tobytes()
+            ids = b"".join(map(_REMEMBERED.__getitem__, words))
+        return np.append(np.frombuffer(ids, dtype), np.array(end_id, dtype))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, at, held = coder(spec.value), None, []
