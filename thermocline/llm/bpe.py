@@ -20,11 +20,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from thermocline.llm.common import public_id, texts
+from thermocline.llm.common import partitions, public_id, texts
 from thermocline.session import durable
 
 #: Documents whose words are counted to find frequent ones, and the most words that are broadcast.
-HEAD_DOCS, HEAD_WORDS = 30_000, 300_000
+HEAD_DOCS, HEAD_WORDS = 20_000, 300_000
 # The word pattern of the supported tokenizer.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Characters for which Python's classes, lower case and normal form agree with the tokenizer's; other texts are split
@@ -135,63 +135,59 @@ def _counted(counts):
 
 
 def _encode_words(spec):
+    """Rows with `word` last, equal words in a run: the same rows and the word's packed ids; each run is encoded once."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = coder(spec.value)
+        own, word, ids = coder(spec.value), None, b""
         for batch in batches:
-            words = batch.column(0)
-            ids = [np.array(own.encode(w.decode("utf-8", "surrogateescape")), "<u4").tobytes() for w in words.to_pylist()]
-            yield pa.RecordBatch.from_arrays([words, pa.array(ids, pa.binary())], names=["word", "ids"])
+            made = []
+            for w in batch.column(batch.num_columns - 1).to_pylist():
+                if w != word:
+                    word, ids = w, np.array(own.encode(w.decode("utf-8", "surrogateescape")), "<u4").tobytes()
+                made.append(ids)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.binary())], names=[*batch.schema.names, "ids"])
 
     return run
 
 
-def word_table(words: DataFrame, spec) -> DataFrame:
-    """word, ids: each distinct word encoded once."""
-    return words.select("word").distinct().mapInArrow(_encode_words(spec), "word binary, ids binary")
-
-
-class Head:
-    """Broadcast table of frequent words: an index for each, and all their ids in one array."""
-
-    def __init__(self, words: list[bytes], ids: list[bytes]):
-        self.words = words
-        self.sizes = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
-        self.flat = np.frombuffer(b"".join(ids), "<u4").astype("<i4")
-
-    def index(self) -> dict[str, int]:
-        return {w.decode("utf-8", "surrogateescape"): i for i, w in enumerate(self.words)}
+def encode_words(rows: DataFrame, spec) -> DataFrame:
+    """`rows` (any columns, `word` last) with ids: rows are dealt and sorted by word, each distinct word is encoded once."""
+    dealt = rows.repartition(partitions(rows.sparkSession), "word").sortWithinPartitions("word")
+    schema = ", ".join(f"{c} {t}" for c, t in rows.dtypes)
+    return dealt.mapInArrow(_encode_words(spec), f"{schema}, ids binary")
 
 
-_INDEX: dict = {}
+_KNOWN: dict = {}
 
 
-def _index_of(broadcast) -> tuple[Head, dict[str, int]]:
-    """One index for each worker process and broadcast."""
+def _known(broadcast) -> dict[str, bytes]:
+    """Packed ids of the broadcast words; one dictionary for each worker process and broadcast."""
     key = broadcast._path if hasattr(broadcast, "_path") else id(broadcast)
-    if key not in _INDEX:
-        _INDEX.clear()
-        _INDEX[key] = (broadcast.value, broadcast.value.index())
-    return _INDEX[key]
+    if key not in _KNOWN:
+        _KNOWN.clear()
+        words, ids = broadcast.value
+        _KNOWN[key] = {w.decode("utf-8", "surrogateescape"): x for w, x in zip(words, ids)}
+    return _KNOWN[key]
 
 
-def frequent_words(docs: DataFrame, spec, head_docs: int, head_words: int) -> Head:
-    """The most frequent words of about `head_docs` documents, chosen by a hash; at most `head_words`."""
+def frequent_words(docs: DataFrame, spec, head_docs: int, head_words: int) -> tuple[list[bytes], list[bytes]]:
+    """The most frequent words of about `head_docs` documents, chosen by a hash, and their ids; at most `head_words`."""
     total = docs.count()
     part = F.pmod(F.xxhash64("doc_id", "text_key", F.lit(1)), F.lit(1 << 20)) < max(1, min(1 << 20, (head_docs << 20) // max(total, 1)))
     counted = durable(docs.where(part).select("text").mapInArrow(_tally(spec), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
-    table = word_table(counted.where(F.col("n") >= count_floor(counted, head_words)), spec).toArrow()
-    return Head(table.column("word").to_pylist(), table.column("ids").to_pylist())
+    table = encode_words(counted.where(F.col("n") >= count_floor(counted, head_words)).select("word"), spec).toArrow()
+    return table.column("word").to_pylist(), table.column("ids").to_pylist()
 
 
 def _rare(spec, head):
     """A row for each document and distinct word of it that is not broadcast."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, (_, index) = coder(spec.value), _index_of(head)
+        own, known = coder(spec.value), _known(head)
         for batch in batches:
             words, at = [], []
             for i, text in enumerate(batch.column(2).to_pylist()):
-                rare = [w for w in set(own.words(text)) if w not in index]
+                rare = [w for w in set(own.words(text)) if w not in known]
                 words += rare
                 at += [i] * len(rare)
             rows = pa.array(at, pa.int64())
@@ -208,13 +204,13 @@ OUTPUTS = {"ids": "array<int>", "n_tokens": "long", "ids_sha256": "string", "dec
 
 def _assemble(spec, head, outputs):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, (table, index) = coder(spec.value), _index_of(head)
+        own, known = coder(spec.value), _known(head)
         pieces = pa.array(own.pieces(), pa.large_string())
         decimals = pa.array([str(i) for i in range(len(pieces))], pa.large_string())
         for batch in batches:
-            for start in range(0, batch.num_rows, 64):  # bounds the ids held at once, whatever the batch
-                part = batch.slice(start, 64)
-                ids, ends = _ids(own, table, index, part.column(2).to_pylist(), part.column(3).to_pylist())
+            for start in range(0, batch.num_rows, 128):  # bounds the ids held at once, whatever the batch
+                part = batch.slice(start, 128)
+                ids, ends = _ids(own, known, part.column(2).to_pylist(), part.column(3).to_pylist())
                 offsets = pa.array(np.r_[0, ends], pa.int64())
 
                 def joined(names):
@@ -239,34 +235,14 @@ def _digests(column) -> pa.Array:
     return pa.array([hashlib.sha256(x.as_buffer() if x.as_buffer() else b"").hexdigest() for x in column], pa.string())
 
 
-def _ids(own, table, index, batch_texts, rare):
+def _ids(own, known, batch_texts, rare):
     """Ids of all texts one after another, and where each text's end."""
-    extra: dict[str, int] = {}
-    extra_ids: list[bytes] = []
-    for words in rare:
-        for w in words or ():
-            word = w["word"].decode("utf-8", "surrogateescape")
-            if word not in extra:
-                extra[word] = len(table.words) + len(extra)
-                extra_ids.append(w["ids"])
-    sizes = np.r_[table.sizes, np.fromiter((len(x) // 4 for x in extra_ids), np.int64, len(extra_ids))]
-    flat = np.r_[table.flat, np.frombuffer(b"".join(extra_ids), "<u4").astype("<i4")]
-    starts = np.cumsum(sizes) - sizes
-    at, counts = [], []
-    for text in batch_texts:
-        words = own.words(text)
-        try:
-            at.append(np.fromiter(map(index.__getitem__, words), np.int64, len(words)))
-        except KeyError:
-            at.append(np.fromiter([index[w] if w in index else extra[w] for w in words], np.int64, len(words)))
-        counts.append(len(words))
-    at = np.concatenate(at) if at else np.zeros(0, np.int64)
-    width = sizes[at]
-    ends = np.cumsum(width)
-    total = int(ends[-1]) if len(ends) else 0
-    ids = flat[np.repeat(starts[at] - (ends - width), width) + np.arange(total)]
-    text_ends = np.r_[0, ends][np.cumsum(counts, dtype=np.int64)] if counts else np.zeros(0, np.int64)
-    return ids, text_ends
+    extra = {w["word"].decode("utf-8", "surrogateescape"): w["ids"] for words in rare for w in words or ()}
+    known.update(extra)  # for these texts only; an update and its undoing cost less than asking two tables for each word
+    made = [b"".join(map(known.__getitem__, own.words(text))) for text in batch_texts]
+    for w in extra:
+        del known[w]
+    return np.frombuffer(b"".join(made), "<u4").astype("<i4"), np.cumsum([len(x) // 4 for x in made], dtype=np.int64)
 
 
 def encode(docs: DataFrame, path: str, outputs: tuple[str, ...] = ("ids",), head_docs: int = HEAD_DOCS,
@@ -285,10 +261,8 @@ def encode(docs: DataFrame, path: str, outputs: tuple[str, ...] = ("ids",), head
     source = texts(docs).withColumn("text_key", F.xxhash64("text"))
     head = sc.broadcast(frequent_words(source, spec, head_docs, head_words))
     rare = source.select("doc_id", "text_key", "text").mapInArrow(_rare(spec, head), "doc_id long, text_key long, word binary")
-    # A word that most documents hold is in the broadcast table; what is left has no key that grows with the corpus
-    # beyond what skewed joins split.
-    found = rare.join(word_table(rare, spec).hint("merge"), "word")
-    grouped = found.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("word", "ids")).alias("rare"))
+    # A word that many documents hold is in the broadcast table, so no word's rows make up a large part of what is left.
+    grouped = encode_words(rare, spec).groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("word", "ids")).alias("rare"))
     joined = source.join(grouped.hint("shuffle_hash"), ["doc_id", "text_key"], "left").select("doc_id", "text_key", "text", "rare")
     schema = ", ".join(["doc_id long", *[f"{c} {OUTPUTS[c]}" for c in outputs]])
     return joined.mapInArrow(_assemble(spec, head, outputs), schema).withColumn("doc_id", public_id())
