@@ -21,7 +21,7 @@ from thermocline.llm.common import SPACE_CLASS, public_id, texts
 #: Cuts fall about every 2^CUT_BITS bytes, never less than MIN_CHUNK apart and never more than MAX_CHUNK.
 CUT_BITS, MIN_CHUNK, MAX_CHUNK = 11, 512, 16384
 _SPACES = re.compile(f"[{SPACE_CLASS}]+".encode())
-_GEAR = np.frombuffer(b"".join(hashlib.blake2b(bytes([i]), digest_size=4).digest() for i in range(256)), "<u4")
+_GEAR = np.frombuffer(b"".join(hashlib.blake2b(bytes([i]), digest_size=2).digest() for i in range(256)), "<u2")
 
 
 def cut_points(data: bytes) -> list[int]:
@@ -32,10 +32,8 @@ def cut_points(data: bytes) -> list[int]:
     # Rolling sum over 16 bytes by doubling: each step joins two neighbouring windows of half the width.
     h = _GEAR[np.frombuffer(data, np.uint8)]
     for width in (1, 2, 4, 8):
-        wider = h.copy()
-        wider[width:] += h[:-width] << np.uint32(width)
-        h = wider
-    at = (np.flatnonzero((h >> np.uint32(32 - CUT_BITS)) == 0) + 1).tolist()
+        h[width:] += h[:-width] << np.uint16(width)
+    at = (np.flatnonzero(h < 1 << (16 - CUT_BITS)) + 1).tolist()
     ends, last = [], 0
     for end in [*at, size]:
         while end - last > MAX_CHUNK:
