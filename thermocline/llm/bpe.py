@@ -71,6 +71,10 @@ class WordCoder:
             return out
         return self._plain(text)
 
+    def chunks(self, text: str) -> list[str] | None:
+        """Runs between white space, each of which can be split by itself; None if the text has to be taken whole."""
+        return text.split() if _PLAIN.fullmatch(text) and not (self._marks and self._marks.search(text)) else None
+
     def _plain(self, text: str) -> list[str]:
         if _PLAIN.fullmatch(text):
             return _PLAIN_WORD.findall(text.lower())

@@ -18,7 +18,7 @@ from thermocline.llm.common import NO_ID, partitions, texts
 
 #: Code points that a shard aims at; what a task holds at once.
 SHARD_CHARS = 16_000_000
-#: Words whose ids a worker remembers.
+#: Words, and runs between white space, whose ids a worker remembers.
 MEMORY = 400_000
 _SCHEMA = ("shard int, row int, n_tokens int, ids binary, positions binary, cu_seqlens array<int>, "
            "doc_ids array<long>, parts array<int>, offsets array<int>")
@@ -93,26 +93,41 @@ def pack_shard(shard: int, docs: list[tuple[int, np.ndarray]], length: int, pad:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=[x.split()[0] for x in _SCHEMA.split(", ")])
 
 
-#: Packed ids of words, of one tokenizer and width at a time.
+#: Packed ids of words and of runs between white space, in a worker process; they belong to one tokenizer and width.
 _REMEMBERED: dict[str, bytes] = {}
+_CHUNKS: dict[str, bytes] = {}
+_OWNER: list[str] = [""]
 
 
 def _pack(spec, length: int, end_id: int, dtype: str):
+    def packed(word, own):
+        if (ids := _REMEMBERED.get(word)) is None:
+            ids = _REMEMBERED[word] = np.array(own.encode(word), dtype).tobytes()
+        return ids
+
     def encode(own, text):
-        words = own.words(text)
-        try:
-            ids = b"".join(map(_REMEMBERED.__getitem__, words))
-        except KeyError:
-            if len(_REMEMBERED) > MEMORY:
-                _REMEMBERED.clear()
-            for w in words:
-                if w not in _REMEMBERED:
-                    _REMEMBERED[w] = np.array(own.encode(w), dtype).tobytes()
-            ids = b"".join(map(_REMEMBERED.__getitem__, words))
+        chunks = own.chunks(text)
+        if chunks is None:
+            ids = b"".join([packed(w, own) for w in own.words(text)])
+        else:
+            try:
+                ids = b"".join(map(_CHUNKS.__getitem__, chunks))
+            except KeyError:
+                for c in chunks:
+                    if c not in _CHUNKS:
+                        _CHUNKS[c] = b"".join([packed(w, own) for w in own.words(c)])
+                ids = b"".join(map(_CHUNKS.__getitem__, chunks))
+        for memory in (_REMEMBERED, _CHUNKS):
+            if len(memory) > MEMORY:
+                memory.clear()
         return np.append(np.frombuffer(ids, dtype), np.array(end_id, dtype))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, at, held = coder(spec.value), None, []
+        if _OWNER[0] != spec.value + dtype:
+            _REMEMBERED.clear()
+            _CHUNKS.clear()
+            _OWNER[0] = spec.value + dtype
         for batch in batches:
             for shard, doc_id, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 if shard != at and held:
