@@ -18,6 +18,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from thermocline.llm.common import partitions, public_id, texts
@@ -202,6 +203,15 @@ def _rare(spec, head):
     return run
 
 
+def _shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed one by one, for the shuffle that brings them together with their rare words."""
+    press = zstandard.ZstdCompressor(level=1).compress
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), pa.array([press(t) for t in batch.column(2).to_pylist()], pa.binary())],
+            names=["doc_id", "text_key", "text"])
+
+
 #: What a caller can have for each document, with its type.
 OUTPUTS = {"ids": "array<int>", "n_tokens": "long", "ids_sha256": "string", "decoded": "string", "decoded_sha256": "string"}
 
@@ -243,7 +253,8 @@ def _ids(own, known, batch_texts, rare):
     """Ids of all texts one after another, and where each text's end."""
     extra = {w["word"].decode("utf-8", "surrogateescape"): w["ids"] for words in rare for w in words or ()}
     known.update(extra)  # for these texts only; an update and its undoing cost less than asking two tables for each word
-    made = [b"".join(map(known.__getitem__, own.words(text))) for text in batch_texts]
+    expand = zstandard.ZstdDecompressor().decompress
+    made = [b"".join(map(known.__getitem__, own.words(expand(text).decode()))) for text in batch_texts]
     for w in extra:
         del known[w]
     return np.frombuffer(b"".join(made), "<u4").astype("<i4"), np.cumsum([len(x) // 4 for x in made], dtype=np.int64)
@@ -267,7 +278,9 @@ def encode(docs: DataFrame, path: str, outputs: tuple[str, ...] = ("ids",), head
     rare = source.select("doc_id", "text_key", "text").mapInArrow(_rare(spec, head), "doc_id long, text_key long, word binary")
     # A word that many documents hold is in the broadcast table, so no word's rows make up a large part of what is left.
     grouped = encode_words(rare, spec).groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("word", "ids")).alias("rare"))
-    joined = source.join(grouped.hint("shuffle_hash"), ["doc_id", "text_key"], "left").select("doc_id", "text_key", "text", "rare")
+    small = (source.select("doc_id", "text_key", F.col("text").cast("binary"))
+             .mapInArrow(_shrink, "doc_id long, text_key long, text binary"))
+    joined = small.join(grouped.hint("shuffle_hash"), ["doc_id", "text_key"], "left").select("doc_id", "text_key", "text", "rare")
     schema = ", ".join(["doc_id long", *[f"{c} {OUTPUTS[c]}" for c in outputs]])
     return joined.mapInArrow(_assemble(spec, head, outputs), schema).withColumn("doc_id", public_id())
 
