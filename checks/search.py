@@ -12,9 +12,11 @@ from thermocline.operators.chunking import explode_measurements
 from thermocline.operators.embedding import encode, prepare
 from thermocline.plans import retrieval as R
 from thermocline.sources.index import check_index
+from thermocline.session import scratch_path
 
 K = 5
 CELLS = 8
+_STORED = {}
 
 # Queries as in fixture.centroids: the direction of every label's mean vector.
 SQL_QUERIES = """means AS (SELECT label, i, avg(CAST(x AS double)) AS x FROM (SELECT label, unnest(embedding) AS x,
@@ -23,7 +25,7 @@ lengths AS (SELECT label AS l, sqrt(sum(x * x)) AS norm FROM means GROUP BY labe
 queries AS (SELECT label AS query_id, list(x / norm ORDER BY i) AS query_vector, CASE WHEN label % 3 = 0 THEN 'Warm water: temperature of each profile'
 WHEN label % 3 = 1 THEN 'Salinity and pressure at depth' ELSE 'Anything from the Arctic' END AS query FROM means JOIN lengths ON l = label GROUP BY label),
 vectors AS (SELECT vec_id, CAST(embedding AS double[]) AS v, label FROM embeddings)"""
-SQL_INDEX = """idx AS (SELECT c.*, e.vec_id, CAST(e.embedding AS double[]) AS v, e.label FROM chunks c JOIN embeddings e ON c.chunk_number = e.vec_id)"""
+SQL_INDEX = """idx AS (SELECT c.*, e.vec_id, CAST(e.embedding AS double[]) AS v, e.label FROM chunks c JOIN embeddings e ON c.chunk_number % (SELECT count(*) FROM embeddings) = e.vec_id)"""
 
 
 def _ranked(score, order, limit, source="vectors", key="vec_id", where="", extra=""):
@@ -50,9 +52,16 @@ def _shown(df):
 
 
 def index(spark, sf_dir):
-    """Chunks paired with the given vectors by number."""
-    vectors = _embeddings(spark, sf_dir).select(F.col("vec_id").alias("chunk_number"), "embedding", "label")
-    return chunks(spark, sf_dir).join(vectors, "chunk_number")
+    """All chunks, each with one of the given vectors in turn by number; stored once per session and folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORED:
+        given = _embeddings(spark, sf_dir)
+        vectors = given.select(F.col("vec_id").alias("turn"), "embedding", "label")
+        path = scratch_path(spark, "index")
+        (chunks(spark, sf_dir).withColumn("turn", F.col("chunk_number") % F.lit(given.count())).join(vectors, "turn")
+         .drop("turn").write.parquet(path))
+        _STORED[key] = path
+    return spark.read.parquet(_STORED[key])
 
 
 @query("v_prepare", f"""WITH {SQL_CHUNKS} SELECT chunk_id, timestamp_text, source, chunk_type,

@@ -3,7 +3,7 @@
 from checks.fixture import SQL_BASINS, SQL_PROFILES, profiles
 from checks.registry import query
 from thermocline.plans.statements import KEYWORDS, SAMPLES, ansi_text, spark_text
-from thermocline.operators.sqlguard import DEFAULT_CAP, guarded_sql, register_views
+from thermocline.operators.sqlguard import guarded_sql, register_views
 from thermocline.schema import basins
 
 
@@ -19,7 +19,7 @@ def _register(name, statement):
 
     def run(spark, sf_dir):
         _views(spark, sf_dir)
-        return spark.sql(spark_text(statement))
+        return guarded_sql(spark, spark_text(statement))
 
     query(name, sql)(run)
 
@@ -36,7 +36,7 @@ _GUARDED = ("SELECT basin, CAST(extract(year FROM {ts}) AS int) AS year_no, coun
 def _(spark, sf_dir):
     """A statement that a plain substring guard would refuse, run through the word guard."""
     _views(spark, sf_dir)
-    return guarded_sql(spark, spark_text(_GUARDED), DEFAULT_CAP)
+    return guarded_sql(spark, spark_text(_GUARDED))
 
 
 @query("sql_long_measurements", f"""WITH {SQL_PROFILES}

@@ -105,10 +105,13 @@ def index(spark):
 
 @pytest.mark.parametrize("strategy", P.STRATEGIES)
 def test_text_search(spark, index, strategy):
-    queries = P.text_queries(spark, ["Cycle: 7 temperature", "  ", "Basin 2 salinity"])
+    queries = P.text_queries(spark, ["Cycle: 7 temperature", "Basin 2 salinity"])
     found = P.retrieve(index, queries, 4, strategy=strategy).collect()
-    assert {r.query_id for r in found} == {0, 2}  # the empty question is left out
-    for q in (0, 2):
+    assert {r.query_id for r in found} == {0, 1}
+    assert P.retrieve(index, queries, k=55).groupBy("query_id").count().first()["count"] == min(55, index.count())
+    with pytest.raises(ValueError):
+        P.text_queries(spark, ["Cycle: 7 temperature", "  "])
+    for q in (0, 1):
         rows = sorted((r for r in found if r.query_id == q), key=lambda r: r["rank"])
         assert [r["rank"] for r in rows] == [1, 2, 3, 4] and all(r.strategy == strategy for r in rows)
         assert rows[0].text.startswith("ARGO Float Profile") and rows[0].search_rank >= 1

@@ -62,7 +62,8 @@ def test_guarded_execution(spark):
         F.lit(1).alias("cycle_number"), F.col("id").cast("double").alias("pressure_decibar"),
         F.when(F.col("id") < 10, 1.0).alias("temperature_degc"), F.lit(35.0).alias("salinity_psu")))
     assert G.guarded_sql(spark, "SELECT * FROM profiles;", cap=7).count() == 7
-    assert G.guarded_sql(spark, "SELECT * FROM profiles LIMIT 20", cap=7).count() == 20
+    with pytest.warns(UserWarning):
+        assert G.guarded_sql(spark, "SELECT * FROM profiles LIMIT 20", cap=7).count() == 7
     assert G.guarded_sql(spark, "SELECT * FROM profiles", cap=None).count() == 50
     assert G.guarded_sql(spark, "SELECT count(*) AS n FROM measurements").first().n == 60
     with pytest.raises(ValueError, match="not allowed"):
@@ -106,3 +107,18 @@ def test_intent_close_second_and_model_scores(spark):
     df = I.intent_scores(spark.createDataFrame([("how many", 1.0, None)], "text string, a double, b double"))
     row = I.recommend(df, {"query_sql": "a", "retrieve_docs": "b"}).first()
     assert row.recommended == ["query_sql"]
+
+
+@pytest.mark.parametrize("statement", [
+    "SELECT * FROM (SELECT basin FROM profiles) a, secrets s",
+    "SELECT p.basin FROM profiles p JOIN profiles t ON p.basin = t.basin, secrets s",
+    "WITH secrets AS (SELECT * FROM secrets) SELECT * FROM secrets",
+    "WITH w AS (TABLE secrets) SELECT * FROM w",
+    "SELECT basin FROM profiles WHERE basin IN (TABLE secrets)",
+    "SELECT * FROM profiles, range(5)",
+])
+def test_execution_follows_the_parser(spark, statement):
+    spark.range(3).selectExpr("CAST(id AS int) AS basin").createOrReplaceTempView("profiles")
+    spark.range(3).createOrReplaceTempView("secrets")
+    with pytest.raises(ValueError):
+        G.guarded_sql(spark, statement)

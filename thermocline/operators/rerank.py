@@ -58,7 +58,7 @@ def take_best(results: DataFrame, k: int, *order, by="query_id", rank="rank") ->
 
 
 def chunk_similarity(a: str, b: str) -> Column:
-    """Similarity of two aliased candidates by time, place and basin."""
+    """Similarity of two aliased candidates by time, place and basin; 0 if a coordinate is unknown."""
     def both(name):
         return F.col(f"{a}.{name}"), F.col(f"{b}.{name}")
 
@@ -66,8 +66,9 @@ def chunk_similarity(a: str, b: str) -> Column:
         both, ("timestamp", "latitude", "longitude", "basin"))
     distance = F.sqrt((lat_a - lat_b) * (lat_a - lat_b) + (lon_a - lon_b) * (lon_a - lon_b))
     near = F.greatest(F.lit(0.0), 1 - distance / 10)
-    return F.least(F.lit(1.0), F.when(ts_a.eqNullSafe(ts_b), 0.4).otherwise(0.0) + 0.3 * near
-                   + F.when(basin_a.eqNullSafe(basin_b), 0.3).otherwise(0.0))
+    total = F.least(F.lit(1.0), F.when(ts_a.eqNullSafe(ts_b), 0.4).otherwise(0.0) + 0.3 * near
+                    + F.when(basin_a.eqNullSafe(basin_b), 0.3).otherwise(0.0))
+    return F.when(distance.isNull(), 0.0).otherwise(total)
 
 
 def pairwise_similarity(candidates: DataFrame) -> DataFrame:

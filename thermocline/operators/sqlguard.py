@@ -1,5 +1,8 @@
 """Read-only SQL: an audit of statement texts and guarded execution."""
 
+import re
+import warnings
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # Rules and limits for statements.
@@ -9,9 +12,8 @@ FORBIDDEN = [
     "bulk", "openrowset", "opendatasource", "shutdown", "backup",
     "restore", "dbcc", "merge", "call", "procedure", "function",
 ]
-ALLOWED_TABLES = ["profiles", "trajectory", "measurements"]
+ALLOWED_TABLES = ["profiles", "trajectory", "measurements", "basins"]
 MAX_JOINS, MAX_UNIONS, MAX_PARENTHESES = 5, 3, 10
-DEFAULT_CAP, PLOT_CAP, INTERACTIVE_CAP = 1000, 10_000, 100
 ACCEPTED = "Query validated successfully"
 
 # Spark functions that reach outside the data.
@@ -101,13 +103,39 @@ def check(spark: SparkSession, sql: str, mode: str = "word") -> str:
     return None if row.accepted else row.reason
 
 
-def guarded_sql(spark: SparkSession, sql: str, cap: int = DEFAULT_CAP, mode: str = "word") -> DataFrame:
-    """Run one read-only statement over the registered views; ``cap`` rows at most, None for all."""
+def outside_relations(spark: SparkSession, sql: str, tables=ALLOWED_TABLES) -> list:
+    """Relations that a statement reads beyond ``tables``, as Spark's own parser finds them.
+
+    A WITH name counts as allowed only if no table or view has that name, since it may be read before it hides one.
+    Table functions are never allowed.
+    """
+    tree = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql).treeString()
+    named = {n.strip().lower() for group in re.findall(r"(?m)^[ :+|-]*CTE \[([^\]]*)\]", tree) for n in group.split(",")}
+    private = {n for n in named if n and not spark.catalog.tableExists(n)}
+    read = [n.strip().lower() for n in re.findall(r"UnresolvedRelation \[([^\]]*)\]", tree)]
+    functions = re.findall(r"UnresolvedTableValuedFunction \[([^\]]*)\]", tree)
+    return sorted({n for n in read if n not in tables and n not in private} | {f"{f}()" for f in functions})
+
+
+def guarded_sql(spark: SparkSession, sql: str, cap: int = None, mode: str = "word") -> DataFrame:
+    """Run one read-only statement over the registered views, completely unless the caller sets a ``cap``.
+
+    With a cap, a result that is longer gives a warning. Its first rows are then those by the statement's own
+    ORDER BY, if that comes last, else by all columns.
+    """
     refused = check(spark, sql, mode)
     if refused:
         raise ValueError(refused)
-    result = spark.sql(sql.strip().rstrip(";"))
-    return result.limit(cap) if cap and "limit" not in sql.lower() else result
+    statement = sql.strip().rstrip(";")
+    if beyond := outside_relations(spark, statement):
+        raise ValueError(f"Access to these relations is not allowed: {', '.join(beyond)}")
+    result = spark.sql(statement)
+    if cap is None:
+        return result
+    if result.limit(cap + 1).count() > cap:
+        warnings.warn(f"the result has more than {cap} rows and was cut", stacklevel=2)
+    ordered = re.search(r"\border\s+by\b[^()]*$", statement, re.IGNORECASE)
+    return (result if ordered else result.orderBy(*[F.col(f"`{c}`") for c in result.columns])).limit(cap)
 
 
 def register_views(spark: SparkSession, profiles: DataFrame, trajectory: DataFrame = None,

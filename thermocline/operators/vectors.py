@@ -28,6 +28,9 @@ def _topk_collector(k: int, largest: bool):
     import numpy as np
 
     def matrix(array):
+        sizes = set(array.value_lengths().unique().to_pylist())
+        if len(sizes) > 1 or None in sizes:
+            raise ValueError(f"vectors differ in dimension: {sorted(map(str, sizes))}")
         flat = array.flatten().to_numpy(zero_copy_only=False)
         return flat.reshape(len(array), -1).astype(np.float64)
 

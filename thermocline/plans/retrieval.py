@@ -6,12 +6,11 @@ from thermocline.functions.rendering import measurement_phrase
 from thermocline.operators import rerank
 from thermocline.operators.chunking import chunk_profiles, explode_measurements, with_preview
 from thermocline.operators.embedding import encode, prepare
-from thermocline.operators.sqlguard import PLOT_CAP, guarded_sql
+from thermocline.operators.sqlguard import guarded_sql
 from thermocline.operators.vectors import exact_topk, validate_k
 from thermocline.schema import VECTOR_DIMENSION
 
 STRATEGIES = ("similarity", "mmr", "hybrid")
-MAX_K = 50
 BROADCAST_RESULTS = 200_000
 
 
@@ -21,10 +20,16 @@ def build_index(profiles: DataFrame, encoder=None, dimension: int = VECTOR_DIMEN
 
 
 def text_queries(spark: SparkSession, texts, encoder=None, dimension: int = VECTOR_DIMENSION) -> DataFrame:
-    """Query texts, a list or a DataFrame of (query_id, query), with their vectors."""
+    """Query texts, a list or a DataFrame of (query_id, query), with their vectors.
+
+    A query without text is refused: at once in a list, when it is read in a DataFrame.
+    """
     if not isinstance(texts, DataFrame):
+        if any(not (t or "").strip() for t in texts):
+            raise ValueError("a query has no text")
         texts = spark.createDataFrame(list(enumerate(texts)), "query_id int, query string")
-    texts = texts.filter(F.trim("query") != "")
+    texts = texts.withColumn("query", F.when(F.trim("query") != "", F.col("query"))
+                             .otherwise(F.raise_error(F.lit("a query has no text"))))
     return encode(texts, "query", "query_vector", encoder, dimension)
 
 
@@ -72,7 +77,6 @@ def retrieve(index: DataFrame, queries: DataFrame, k: int = 5, *, strategy: str
     """
     if strategy not in STRATEGIES:
         raise ValueError(f"strategy must be one of {STRATEGIES}")
-    k = min(k, MAX_K)
     rows = candidates(index, queries, k, metadata_filters, score_threshold, filter_mode, search)
     if strategy == "hybrid":
         rows = rerank.hybrid(rows, k).withColumns(
@@ -89,11 +93,11 @@ def retrieve(index: DataFrame, queries: DataFrame, k: int = 5, *, strategy: str
 
 
 def plot_source(spark: SparkSession, request: str, index: DataFrame = None, encoder=None,
-                dimension: int = VECTOR_DIMENSION) -> DataFrame:
-    """Rows for a plot: a SELECT through the guard, anything else through search and explode."""
+                dimension: int = VECTOR_DIMENSION, k: int = 20, cap: int = None) -> DataFrame:
+    """Rows for a plot: all of a SELECT through the guard, or the readings of the k best chunks of a search."""
     if request.strip().lower().startswith("select"):
-        return guarded_sql(spark, request, PLOT_CAP)
+        return guarded_sql(spark, request, cap)
     if index is None:
         raise ValueError("a search request needs an index")
-    found = retrieve(index, text_queries(spark, [request], encoder, dimension), k=20)
+    found = retrieve(index, text_queries(spark, [request], encoder, dimension), k=k)
     return explode_measurements(found)
