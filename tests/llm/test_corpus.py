@@ -332,6 +332,16 @@ def test_unseen_words_back_off(docs):
     assert "schiffen" not in model.words and model.unseen("schiffen")[de] > model.unseen("schiffen")[en]
 
 
+def test_mixing_does_not_depend_on_the_join(docs, monkeypatch):
+    """Plans of sources too many to broadcast are joined in salted parts, with the same draws."""
+    def drawn():
+        return sorted(map(repr, mixing.draw(docs, target_entropy=0.95, max_repeat=3.0, block_tokens=200).collect()))
+
+    want = drawn()
+    monkeypatch.setattr(mixing, "BROADCAST_BYTES", 0)
+    assert want and drawn() == want
+
+
 def test_mixing(docs, empty):
     counts = {}
     for i, t, _, so in rows():

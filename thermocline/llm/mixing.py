@@ -14,6 +14,8 @@ from thermocline.session import durable
 
 #: Tokens that a block aims at, and the most blocks of a source; blocks of larger sources grow instead.
 BLOCK_TOKENS, MOST_BLOCKS = 1 << 20, 65_536
+#: Size up to which the plan of all sources is broadcast, and the parts of a source beyond it.
+BROADCAST_BYTES, SALTS = 16 << 20, 64
 #: Exponents tried in one pass over the sources; a pass is worth this many halvings of the interval.
 _HALVINGS, _PASSES = 4, 8
 
@@ -107,7 +109,7 @@ def draw(docs: DataFrame, target_entropy: float | None = None, max_repeat: float
             .withColumn("rest", F.col("share") - F.col("passes") * F.col("tokens"))
             .withColumn("n_blocks", F.least(F.ceil(F.col("tokens") / block_tokens), F.lit(MOST_BLOCKS)).cast("int")))
     block = F.pmod(F.xxhash64("doc_id", "text_key", F.lit(seed)), F.col("n_blocks")).cast("int")
-    placed = rows.join(plan.select("key", "n_blocks"), "key").withColumn("block", block)
+    placed = _beside(rows, plan.select("key", "n_blocks"), sources).withColumn("block", block)
     blocks = placed.groupBy("key", "block").agg(F.sum("n_tokens").alias("block_tokens"))
     passes = plan.withColumn("draw", F.explode(F.sequence(F.lit(0), F.col("passes"))))
     turn = W.partitionBy("key", "draw").orderBy(F.xxhash64("block", "draw", F.lit(seed)), "block")
@@ -124,5 +126,18 @@ def draw(docs: DataFrame, target_entropy: float | None = None, max_repeat: float
     return _shape(drawn.where("NOT cut").unionByName(partly))
 
 
+def _beside(rows: DataFrame, plan: DataFrame, sources: DataFrame) -> DataFrame:
+    """Rows with their source's plan, without dealing a source's rows to one task.
+
+    The plan is broadcast if its names take no more than BROADCAST_BYTES, else it is repeated for each of SALTS parts of
+    a source. The rows that come out are the same.
+    """
+    if sources.agg(F.sum(F.octet_length("key") + 64)).first()[0] <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(plan), "key")
+    salted = plan.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(SALTS)).cast("int")
+    return rows.withColumn("salt", salt).join(salted, ["key", "salt"]).drop("salt")
+
+
 def _shape(drawn: DataFrame) -> DataFrame:
     return drawn.select(public_id().alias("doc_id"), "text_key", "source", "n_tokens", "draw", "block", "position")
