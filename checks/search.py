@@ -102,11 +102,11 @@ def _(spark, sf_dir):
     return _shown(V.exact_topk(_embeddings(spark, sf_dir), _self_queries(spark, sf_dir), K, id_col="vec_id"))
 
 
-@query("v_batch_knn_shuffled", f"WITH {_SELF} {_VISIBLE.format(key='vec_id')} ({_ranked(_IP, 'DESC', K)}) z")
+@query("v_batch_knn_blocks", f"WITH {_SELF} {_VISIBLE.format(key='vec_id')} ({_ranked(_IP, 'DESC', K)}) z")
 def _(spark, sf_dir):
-    """The same through the shuffle that serves more queries than may be broadcast."""
+    """The same in blocks of 256 queries, as for more queries than may be broadcast at once."""
     return _shown(V.exact_topk(_embeddings(spark, sf_dir), _self_queries(spark, sf_dir), K, id_col="vec_id",
-                               broadcast_bytes=1, per_shard=200))
+                               broadcast_bytes=1 << 17))
 
 
 @query("v_threshold", f"""WITH {SQL_QUERIES} {_VISIBLE.format(key='vec_id')} ({_ranked(_IP, 'DESC', 20)}) z WHERE score >= 0.3""")

@@ -42,7 +42,7 @@ def test_exact_matches_brute_force(spark, data, metric, k, broadcast_bytes):
     vectors, queries = data
     index = _frame(spark, vectors, "chunk_id", "embedding").repartition(5)
     q = _frame(spark, queries, "query_id", "query_vector", list(range(9)))
-    found = V.exact_topk(index, q, k, metric, broadcast_bytes=broadcast_bytes, per_shard=30)
+    found = V.exact_topk(index, q, k, metric, broadcast_bytes=broadcast_bytes)
     assert _found(found) == _brute(vectors, queries, k, metric)
 
 
@@ -55,6 +55,53 @@ def test_vector_equal_to_a_tie_keeps_the_smallest_ids(spark, data):
     assert all(abs(r.score) < 1e-9 for r in found)
 
 
+@pytest.mark.parametrize("size", [1e-7, 1.0, 1e7])
+@pytest.mark.parametrize("metric", ["ip", "l2"])
+def test_ranking_does_not_depend_on_size(spark, size, metric):
+    vectors = np.array([[3.0, 0.0], [1.0, 0.0], [1.0 + 2 ** -20, 0.0], [-2.0, 5.0]]) * size
+    index = _frame(spark, vectors, "chunk_id", "embedding")
+    q = _frame(spark, vectors[1:2], "query_id", "query_vector", [0])
+    order = [r.chunk_id for r in V.exact_topk(index, q, 3, metric).orderBy("rank").collect()]
+    assert order == (["c000", "c002", "c001"] if metric == "ip" else ["c001", "c002", "c000"])
+
+
+def test_close_vectors_far_from_the_origin(spark):
+    """Where |q|^2 + |v|^2 - 2qv has no correct digit left."""
+    base = np.full((40, 8), 1e6)
+    base[np.arange(40), np.arange(40) % 8] += np.arange(40)[::-1] * 0.0625
+    index = _frame(spark, base, "chunk_id", "embedding").coalesce(1)
+    q = _frame(spark, np.full((1, 8), 1e6), "query_id", "query_vector", [0])
+    found = V.exact_topk(index, q, 3, "l2").orderBy("rank").collect()
+    assert [(r.chunk_id, r.score) for r in found] == [("c039", 0.0), ("c038", 0.0625 ** 2), ("c037", 0.125 ** 2)]
+
+
+@pytest.mark.parametrize("vectors", [[[1.0, 2.0, 3.0], [1.0] * 5], [[1.0] * 3], [[]]])
+def test_other_dimensions_are_refused(spark, vectors):
+    index = spark.createDataFrame([(str(i), v) for i, v in enumerate(vectors)], "chunk_id string, embedding array<float>").coalesce(1)
+    q = _frame(spark, np.ones((1, 4)), "query_id", "query_vector", [0])
+    with pytest.raises(Exception, match="dimension|elements"):
+        V.exact_topk(index, q, 1).collect()
+    with pytest.raises(Exception, match="elements"):
+        V.assign_cells(index, np.ones((2, 4))).collect()
+
+
+def test_merging_by_groups_of_tasks(spark, data, monkeypatch):
+    monkeypatch.setattr(V, "MERGED_TASKS", 2)
+    vectors, queries = data
+    index = _frame(spark, vectors, "chunk_id", "embedding").repartition(7)
+    q = _frame(spark, queries, "query_id", "query_vector", list(range(9)))
+    assert _found(V.exact_topk(index, q, 4, "l2")) == _brute(vectors, queries, 4, "l2")
+
+
+def test_the_index_is_not_shuffled(spark, data):
+    vectors, queries = data
+    index = _frame(spark, vectors, "chunk_id", "embedding")
+    q = _frame(spark, queries, "query_id", "query_vector", list(range(9)))
+    plan = V.exact_topk(index, q, 4)._jdf.queryExecution().sparkPlan().toString()
+    below = plan[plan.index("MapInArrow"):]
+    assert "Exchange" not in below and "Join" not in below
+
+
 def test_batch_equals_one_at_a_time(spark, data):
     vectors, queries = data
     index = _frame(spark, vectors, "chunk_id", "embedding")

@@ -5,8 +5,12 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-# Queries up to this size travel to every task; more are matched through a shuffle.
+from thermocline.session import durable, scratch_path
+
+# Queries travel to every task in blocks of up to this size.
 BROADCAST_BYTES = 32 << 20
+# Tasks whose results for a query are merged before all are.
+MERGED_TASKS = 256
 QUERIES_PER_BLOCK = 2048
 VECTORS_PER_SHARD = 50_000
 
@@ -21,34 +25,46 @@ def validate_k(k: int, score_threshold: float = None) -> None:
 def _topk_collector(k: int, largest: bool):
     """Picklable helpers for tasks: a list column to a matrix, and a collector of the k best.
 
-    ``collector(queries)`` returns ``add(ids, vectors)`` and ``result()``. Candidates that cannot
-    beat a query's k-th best are dropped at once; the rest are merged whenever they have grown to
-    a few times the result, so memory stays bounded by k x queries.
+    ``collector(queries)`` returns ``add(ids, vectors)`` and ``result()``. One matrix product with
+    an error bound finds the candidates that can beat a query's k-th best; they are scored again
+    one by one, without rounding. They are merged whenever they have grown to a few times the
+    result, so memory stays bounded by k x queries.
     """
     import numpy as np
 
     def matrix(array):
         sizes = set(array.value_lengths().unique().to_pylist())
-        if len(sizes) > 1 or None in sizes:
+        if len(sizes) > 1 or sizes & {None, 0}:
             raise ValueError(f"vectors differ in dimension: {sorted(map(str, sizes))}")
         flat = array.flatten().to_numpy(zero_copy_only=False)
         return flat.reshape(len(array), -1).astype(np.float64)
 
-    def scores(queries, vectors):
-        dots = queries @ vectors.T
-        if largest:
-            badness = -dots
-        else:
-            badness = np.maximum(
-                (queries ** 2).sum(1)[:, None] + (vectors ** 2).sum(1)[None, :] - 2 * dots, 0.0)
-        # Equal vectors must tie whatever batch they arrive in.
-        return np.round(badness, 12)
-
     def collector(queries):
-        n = len(queries)
+        n, dimension = queries.shape
         cut = np.full(n, np.inf)
         held, size = [], 0
         rows = max(1, 2_000_000 // max(1, n))
+        pairs = max(1, 2_000_000 // max(1, dimension))
+        squares = (queries ** 2).sum(1)
+        # What a product of matrices may be off by, relative to the norms of what it multiplies.
+        unit = 8 * (dimension + 4) * np.finfo(np.float64).eps
+
+        def estimate(vectors):
+            """Badness of all pairs by one product, and a bound of its error for each query."""
+            dots = queries @ vectors.T
+            norms = (vectors ** 2).sum(1)
+            longest = np.sqrt(norms.max())
+            if largest:
+                return -dots, unit * np.sqrt(squares) * longest
+            return squares[:, None] + norms[None, :] - 2 * dots, unit * (np.sqrt(squares) + longest) ** 2
+
+        def exact(q, vectors, r):
+            """Badness of single pairs, each summed by itself, so that equal vectors tie in any batch."""
+            out = np.empty(len(q))
+            for at in range(0, len(q), pairs):
+                a, b = queries[q[at:at + pairs]], vectors[r[at:at + pairs]]
+                out[at:at + pairs] = -(a * b).sum(1) if largest else ((a - b) ** 2).sum(1)
+            return out
 
         def merge():
             nonlocal held, size
@@ -62,16 +78,21 @@ def _topk_collector(k: int, largest: bool):
 
         def add(ids, vectors):
             nonlocal size
+            if vectors.shape[1] != dimension:
+                raise ValueError(f"vectors of {vectors.shape[1]} elements, queries of {dimension}")
             for at in range(0, len(ids), rows):
-                bad = scores(queries, vectors[at:at + rows])
+                part = vectors[at:at + rows]
+                rough, error = estimate(part)
                 bound = cut
-                if bad.shape[1] > k:
+                if rough.shape[1] > k:
                     # Ties with the k-th stay in: they are settled by id.
-                    bound = np.minimum(cut, np.partition(bad, k - 1, axis=1)[:, k - 1])
-                q, r = np.nonzero(bad <= bound[:, None])
-                if len(q):
-                    held.append((q, ids[at:at + rows][r], bad[q, r]))
-                    size += len(q)
+                    bound = np.minimum(cut, np.partition(rough, k - 1, axis=1)[:, k - 1] + error)
+                q, r = np.nonzero(rough <= (bound + error)[:, None])
+                bad = exact(q, part, r)
+                near = bad <= cut[q]
+                if near.any():
+                    held.append((q[near], ids[at:at + rows][r[near]], bad[near]))
+                    size += int(near.sum())
                 if size > 4 * k * n:
                     merge()
 
@@ -100,12 +121,14 @@ def _rank(found: DataFrame, query_id, id_col, k, largest) -> DataFrame:
 
 def exact_topk(index: DataFrame, queries: DataFrame, k: int, metric: str = "ip", *,
                id_col="chunk_id", vector_col="embedding", query_id="query_id",
-               query_vector="query_vector", broadcast_bytes: int = BROADCAST_BYTES,
-               per_shard: int = VECTORS_PER_SHARD) -> DataFrame:
+               query_vector="query_vector", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """The k best vectors per query: highest inner product ("ip") or smallest squared distance ("l2").
 
-    Each task scans its share of the index once and emits at most k rows per query, so what is
-    shuffled is k x tasks rows per query and never the scored pairs. Ties are settled by id.
+    Each task scans its share of the index in place and emits at most k rows per query, so what is
+    shuffled is k x tasks rows per query and never the index or the scored pairs. More queries than
+    ``broadcast_bytes`` hold go block by block, one scan of the index each, and every block's
+    result is written before the next. Scores are not rounded; ties are settled by id. Vectors of
+    another length than the queries are an error.
     """
     validate_k(k)
     largest = metric == "ip"
@@ -115,18 +138,30 @@ def exact_topk(index: DataFrame, queries: DataFrame, k: int, metric: str = "ip",
     if block.num_rows == 0:
         return _empty(index, queries, query_id, id_col)
     schema = _result_schema(queries, index, query_id, id_col)
+
+    def ranked(block):
+        return _rank(_merge_groups(_scan(index, block, k, largest, schema), query_id, id_col, k, largest),
+                     query_id, id_col, k, largest)
+
     if block.num_rows <= room:
-        found = _scan(index, block, k, largest, schema)
-    else:
-        blocks = F.lit(max(1, -(-queries.count() // QUERIES_PER_BLOCK)))
-        shards = F.lit(max(1, -(-index.count() // per_shard)))
-        q = (queries.withColumn("__block", F.pmod(F.hash(query_id), blocks))
-             .withColumn("__shard", F.explode(F.sequence(F.lit(0), shards - 1))))
-        v = (index.withColumn("__shard", F.pmod(F.hash(id_col), shards))
-             .withColumn("__block", F.explode(F.sequence(F.lit(0), blocks - 1))))
-        found = _grid(v, q, ["__block", "__shard"], k, largest, schema, query_id, query_vector,
-                      id_col, vector_col)
-    return _rank(found, query_id, id_col, k, largest)
+        return ranked(block)
+    spark, path = index.sparkSession, scratch_path(index.sparkSession, "topk")
+    queries = durable(queries)
+    blocks = -(-queries.count() * 5 // (4 * room))  # a quarter more, as a hash deals unevenly
+    for i in range(blocks):
+        block = queries.filter(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == i).toArrow()
+        if block.num_rows:
+            ranked(block).write.mode("append").parquet(path)
+    return spark.read.parquet(path)
+
+
+def _merge_groups(found, query_id, id_col, k, largest):
+    """Top k of groups of about MERGED_TASKS tasks, so that no task takes all tasks' rows of a query."""
+    group = F.floor(F.spark_partition_id() / MERGED_TASKS).cast("int")
+    score = F.col("score").desc() if largest else F.col("score").asc()
+    window = Window.partitionBy(query_id, "__group").orderBy(score, F.col(id_col))
+    return (found.withColumn("__group", group).withColumn("__place", F.row_number().over(window))
+            .filter(F.col("__place") <= k).drop("__group", "__place"))
 
 
 def _query_block(queries, broadcast_bytes):
@@ -218,6 +253,8 @@ def assign_cells(df: DataFrame, centres, vector_col="embedding", nearest: int =
             if not batch.num_rows:
                 continue
             column = batch.column(batch.schema.get_field_index(vector_col))
+            if set(column.value_lengths().unique().to_pylist()) != {c.shape[1]}:
+                raise ValueError(f"a vector does not have the centres' {c.shape[1]} elements")
             v = column.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).astype(np.float64)
             d = (c ** 2).sum(1)[None, :] - 2 * v @ c.T
             order = np.argsort(d, axis=1, kind="stable")[:, :nearest].astype(np.int32)
