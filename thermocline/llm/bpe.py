@@ -26,6 +26,8 @@ from thermocline.session import durable
 
 #: Documents whose words are counted to find frequent ones, and the most words that are broadcast.
 HEAD_DOCS, HEAD_WORDS = 20_000, 300_000
+#: Runs between white space that a worker remembers.
+MEMORY = 200_000
 # The word pattern of the supported tokenizer.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Characters for which Python's classes, lower case and normal form agree with the tokenizer's; other texts are split
@@ -188,11 +190,11 @@ def _rare(spec, head):
     """A row for each document and distinct word of it that is not broadcast."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, known = coder(spec.value), _known(head)
+        own, known, settled = coder(spec.value), _known(head), set()
         for batch in batches:
             words, at = [], []
             for i, text in enumerate(batch.column(2).to_pylist()):
-                rare = [w for w in set(own.words(text)) if w not in known]
+                rare = _rare_words(own, known, settled, text)
                 words += rare
                 at += [i] * len(rare)
             rows = pa.array(at, pa.int64())
@@ -203,6 +205,22 @@ def _rare(spec, head):
     return run
 
 
+def _rare_words(own, known, settled, text) -> set[str]:
+    """Distinct words of a text that are not known. `settled` remembers runs of known words alone, never split again."""
+    if (runs := own.chunks(text)) is None:
+        return {w for w in own.words(text) if w not in known}
+    if len(settled) > MEMORY:
+        settled.clear()
+    found = set()
+    for run in set(runs).difference(settled):
+        rare = [w for w in own.words(run) if w not in known]
+        if rare:
+            found.update(rare)
+        else:
+            settled.add(run)
+    return found
+
+
 def _shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts compressed one by one, for the shuffle that brings them together with their rare words."""
     press = zstandard.ZstdCompressor(level=1).compress
@@ -218,13 +236,13 @@ OUTPUTS = {"ids": "array<int>", "n_tokens": "long", "ids_sha256": "string", "dec
 
 def _assemble(spec, head, outputs):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, known = coder(spec.value), _known(head)
+        own, known, seen = coder(spec.value), _known(head), {}
         pieces = pa.array(own.pieces(), pa.large_string())
         decimals = pa.array([str(i) for i in range(len(pieces))], pa.large_string())
         for batch in batches:
             for start in range(0, batch.num_rows, 128):  # bounds the ids held at once, whatever the batch
                 part = batch.slice(start, 128)
-                ids, ends = _ids(own, known, part.column(2).to_pylist(), part.column(3).to_pylist())
+                ids, ends = _ids(own, known, seen, part.column(2).to_pylist(), part.column(3).to_pylist())
                 offsets = pa.array(np.r_[0, ends], pa.int64())
 
                 def joined(names):
@@ -249,12 +267,23 @@ def _digests(column) -> pa.Array:
     return pa.array([hashlib.sha256(x.as_buffer() if x.as_buffer() else b"").hexdigest() for x in column], pa.string())
 
 
-def _ids(own, known, batch_texts, rare):
+def _packed(own, known, seen, text) -> bytes:
+    """A text's packed ids. `seen` remembers those of runs between white space, so that most text is never split into words."""
+    if (runs := own.chunks(text)) is None:
+        return b"".join(map(known.__getitem__, own.words(text)))
+    if len(seen) > MEMORY:
+        seen.clear()
+    for run in set(runs).difference(seen):
+        seen[run] = b"".join(map(known.__getitem__, own.words(run)))
+    return b"".join(map(seen.__getitem__, runs))
+
+
+def _ids(own, known, seen, batch_texts, rare):
     """Ids of all texts one after another, and where each text's end."""
     extra = {w["word"].decode("utf-8", "surrogateescape"): w["ids"] for words in rare for w in words or ()}
     known.update(extra)  # for these texts only; an update and its undoing cost less than asking two tables for each word
     expand = zstandard.ZstdDecompressor().decompress
-    made = [b"".join(map(known.__getitem__, own.words(expand(text).decode()))) for text in batch_texts]
+    made = [_packed(own, known, seen, expand(text).decode()) for text in batch_texts]
     for w in extra:
         del known[w]
     return np.frombuffer(b"".join(made), "<u4").astype("<i4"), np.cumsum([len(x) // 4 for x in made], dtype=np.int64)
