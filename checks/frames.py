@@ -6,6 +6,8 @@ from checks.chunks import SQL_CHUNKS, chunks
 from checks.fixture import SQL_PROFILES, profiles, table
 from checks.registry import query
 from thermocline.operators import places as G, plots as P, stats as S
+from thermocline.operators.sqlguard import register_views
+from thermocline.plans.retrieval import plot_source
 from thermocline.schema import PROFILE_COLUMNS
 
 LAT, LON = -12.5, 30.0
@@ -54,6 +56,13 @@ def _(spark, sf_dir):
     return found.select("point_id", "chunk_id", F.round("distance_km", 6).alias("distance_km"), F.round("score", 6).alias("score"))
 
 
+@query("g_radius_join_salted", f"{_JOINED} SELECT point_id, chunk_id, round(d, 6) AS distance_km, round(1 - d / 300, 6) AS score FROM near")
+def _(spark, sf_dir):
+    """The same without a broadcast, crowded cells cut by their counts."""
+    found = G.radius_join(_points(spark, sf_dir), placed(spark, sf_dir), 300.0, broadcast_points=0, salt_rows=4)
+    return found.select("point_id", "chunk_id", F.round("distance_km", 6).alias("distance_km"), F.round("score", 6).alias("score"))
+
+
 @query("g_radius_join_topk", f"""{_JOINED} SELECT point_id, chunk_id, CAST(row_number() OVER (PARTITION BY point_id ORDER BY 1 - d / 300 DESC, chunk_id) AS int) AS rank
 FROM near QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY 1 - d / 300 DESC, chunk_id) <= 10""")
 def _(spark, sf_dir):
@@ -109,6 +118,24 @@ def _(spark, sf_dir):
     return P.series(profiles(spark, sf_dir), "timestamp", "temperature_degc")
 
 
+def _bucketed_sql(cte, x, y, source):
+    return f"""{cte} points AS (SELECT {x} AS x, CAST({y} AS double) AS y, CAST(epoch_us({x}) AS double) AS place FROM {source} WHERE {x} IS NOT NULL AND {y} IS NOT NULL),
+span AS (SELECT min(place) AS lo, max(place) AS hi FROM points)
+SELECT CAST(least(floor((place - lo) / ((hi - lo) / 500)), 499) AS int) AS bucket, min(x) AS x_first, max(x) AS x_last, count(*) AS n,
+round(avg(y), 6) AS mean, min(y) AS min, max(y) AS max FROM points, span GROUP BY 1"""
+
+
+@query("p_series_bucketed", _bucketed_sql(f"WITH {SQL_PROFILES},", '"timestamp"', "temperature_degc", "profiles"))
+def _(spark, sf_dir):
+    found = P.series_bucketed(profiles(spark, sf_dir), "timestamp", "temperature_degc")
+    return found.withColumn("mean", F.round("mean", 6))
+
+
+@query("p_series_bucketed_events", _bucketed_sql("WITH", "ts", "value", "events"))
+def _(spark, sf_dir):
+    return P.series_bucketed(table(spark, sf_dir, "events"), "ts", "value").withColumn("mean", F.round("mean", 6))
+
+
 @query("p_pick_columns", f'WITH {SQL_PROFILES} SELECT "timestamp" AS x, round(avg(temperature_degc), 6) AS y FROM profiles GROUP BY 1')
 def _(spark, sf_dir):
     """Axes picked from the schema, then the mean of y per x."""
@@ -149,6 +176,14 @@ def _(spark, sf_dir):
     return P.depth_profile(profiles(spark, sf_dir))
 
 
+@query("p_depth_profile_binned", f"""WITH {SQL_PROFILES}, points AS (SELECT pressure_decibar AS depth, 'temperature_degc' AS variable, temperature_degc AS value
+FROM profiles WHERE temperature_degc IS NOT NULL UNION ALL SELECT pressure_decibar, 'salinity_psu', salinity_psu FROM profiles WHERE salinity_psu IS NOT NULL)
+SELECT floor(depth / 10) * 1e1 AS depth, variable, count(*) AS n, round(avg(value), 6) AS mean, min(value) AS min, max(value) AS max
+FROM points WHERE depth IS NOT NULL GROUP BY 1, 2""")
+def _(spark, sf_dir):
+    return P.depth_profile_binned(profiles(spark, sf_dir)).withColumn("mean", F.round("mean", 6))
+
+
 def _pairs_sql():
     cols = P.PREFERRED
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
@@ -161,6 +196,19 @@ def _(spark, sf_dir):
     return P.scatter_matrix(profiles(spark, sf_dir)).withColumn("correlation", F.round("correlation", 6))
 
 
+_LONG = " UNION ALL ".join(f"SELECT '{c}' AS column_name, CAST({c} AS double) AS v FROM complete" for c in P.PREFERRED)
+
+
+@query("p_scatter_matrix_diagonal", f"""WITH {SQL_PROFILES}, complete AS (SELECT * FROM profiles WHERE temperature_degc IS NOT NULL AND salinity_psu IS NOT NULL
+AND pressure_decibar IS NOT NULL AND latitude IS NOT NULL AND longitude IS NOT NULL), long AS ({_LONG}),
+span AS (SELECT column_name, min(v) AS lo, max(v) - min(v) AS width FROM long GROUP BY column_name),
+counts AS (SELECT column_name, CAST(least(floor((v - lo) / (width / 30)), 29) AS int) AS bin, count(*) AS n FROM long JOIN span USING (column_name) GROUP BY 1, 2)
+SELECT s.column_name, b.bin, round(lo + b.bin * (width / 30), 6) AS low, round(lo + (b.bin + 1) * (width / 30), 6) AS high, coalesce(n, 0) AS n
+FROM span s CROSS JOIN (SELECT CAST(unnest(range(30)) AS int) AS bin) b LEFT JOIN counts c ON c.column_name = s.column_name AND c.bin = b.bin""")
+def _(spark, sf_dir):
+    return _edges(P.scatter_matrix_diagonal(profiles(spark, sf_dir)))
+
+
 @query("p_scatter_points", f"""WITH {SQL_PROFILES} SELECT temperature_degc, salinity_psu, pressure_decibar, latitude, longitude FROM profiles
 WHERE temperature_degc IS NOT NULL AND salinity_psu IS NOT NULL""")
 def _(spark, sf_dir):
@@ -185,3 +233,10 @@ def _(spark, sf_dir):
     """Values per column, with the label that an axis of that column carries."""
     counts = profiles(spark, sf_dir).agg(*[F.count(c).alias(c) for c in PROFILE_COLUMNS])
     return P.with_axis_label(counts.unpivot([], PROFILE_COLUMNS, "column_name", "n"))
+
+
+@query("p_source_sql", f"""WITH {SQL_PROFILES} SELECT basin, pressure_decibar, temperature_degc FROM profiles WHERE temperature_degc IS NOT NULL AND basin < 4""")
+def _(spark, sf_dir):
+    """Every row of a guarded statement, for a plot."""
+    register_views(spark, profiles(spark, sf_dir))
+    return plot_source(spark, "SELECT basin, pressure_decibar, temperature_degc FROM profiles WHERE temperature_degc IS NOT NULL AND basin < 4")

@@ -309,20 +309,23 @@ def _(spark, sf_dir):
 
 
 # Halves round up on the decimal text of the number, as a product by ten would not.
-_HALF_UP = "CAST(CAST(CAST({} AS string) AS decimal(18, 1)) AS double)"
+_HALF_UP = "CAST(CAST(CAST({} AS string) AS decimal(18, {})) AS double)"
 _SPAN = ", ".join(
     f"round(list_{f}(list_transform(ms, lambda m: m.{c})), {d}) AS {n}_{f}"
     for c, n, d in (("p", "depth", 1), ("t", "temperature", 3), ("s", "salinity", 3)) for f in ("min", "max"))
 
 
-@query("r_measure_summary", f"""WITH {SQL_CHUNKS} SELECT chunk_id, CAST(len(ms) AS int) AS n, {_SPAN},
-{_HALF_UP.format('list_reduce(list_transform(ms, lambda m: m.p), lambda a, b: a + b) / len(ms)')} AS depth_mean FROM chunks""")
+_MEANS = ", ".join(
+    _HALF_UP.format(f"list_reduce(list_transform(ms, lambda m: m.{c}), lambda a, b: a + b) / len(ms)", d) + f" AS {n}_mean"
+    for c, n, d in (("p", "depth", 1), ("t", "temperature", 3), ("s", "salinity", 3)))
+
+
+@query("r_measure_summary", f"WITH {SQL_CHUNKS} SELECT chunk_id, CAST(len(ms) AS int) AS n, {_SPAN}, {_MEANS} FROM chunks")
 def _(spark, sf_dir):
     s = stats.measurement_summary(F.col("measurements"))
     rows = chunks(spark, sf_dir).select("chunk_id", s.alias("s"))
     return rows.select("chunk_id", F.col("s.count").alias("n"), *[
-        F.col(f"s.{n}_range.{f}").alias(f"{n}_{f}") for n in ("depth", "temperature", "salinity") for f in ("min", "max")],
-        F.col("s.depth_range.mean").alias("depth_mean"))
+        F.col(f"s.{n}_range.{f}").alias(f"{n}_{f}") for n in ("depth", "temperature", "salinity") for f in ("min", "max", "mean")])
 
 
 @query("p_source", f"""{_RESULTS}, top AS (SELECT * FROM found), readings AS (SELECT query_id, chunk_id, unnest(ms) AS m FROM top)

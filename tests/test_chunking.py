@@ -165,3 +165,15 @@ def test_fixed_point(spark, value, digits):
     if value not in (9.95,):  # a decimal tie
         assert row.text == f"{value:6.{digits}f}" or value >= 1e16
     assert row.n == len(row.text)
+
+
+def test_running_numbers_of_one_crowded_day(spark):
+    from thermocline.operators.numbering import add_preceding_sum
+
+    rows = spark.range(2_000).select(F.expr("timestamp_seconds(id * 7)").alias("t"), F.col("id"), (F.col("id") % 3 + 1).alias("parts"))
+    numbered = add_preceding_sum(rows.repartition(8), ["t"], "parts", "before")
+    assert "date_trunc" not in numbered._jdf.queryExecution().toString()
+    before = 0
+    for r in numbered.orderBy("id").collect():
+        assert r.before == before
+        before += r.parts

@@ -26,6 +26,21 @@ def _raw(spark, *changes):
     ("01/02/2024", "2024-01-02 00:00:00"),
     ("02-Jan-2024", "2024-01-02 00:00:00"),
     ("20240102", "2024-01-02 00:00:00"),
+    ("2024/01/02 03:04:05", "2024-01-02 03:04:05"),
+    ("2024/01/02 03:04:05.5", "2024-01-02 03:04:05.500000"),
+    ("2024/01/02T03:04:05Z", "2024-01-02 03:04:05"),
+    ("2024/01/02 03:04:05+02:00", "2024-01-02 01:04:05"),
+    ("01/02/2024 03:04", "2024-01-02 03:04:00"),
+    ("01/02/2024 03:04:05", "2024-01-02 03:04:05"),
+    ("20240102T030405", "2024-01-02 03:04:05"),
+    ("20240102T030405Z", "2024-01-02 03:04:05"),
+    ("2-Jan-2024", "2024-01-02 00:00:00"),
+    ("02-Jan-2024 03:04:05", "2024-01-02 03:04:05"),
+    ("1/2/2024", "2024-01-02 00:00:00"),
+    ("January 2, 2024", "2024-01-02 00:00:00"),
+    ("May 2, 2024 10:20", "2024-05-02 10:20:00"),
+    ("2 Jan 2024", "2024-01-02 00:00:00"),
+    ("13/45/2024", None), ("2024/02/30 10:00", None),
     ("12:30:00", None), ("tomorrow", None), ("", None), (None, None), ("2024-13-45", None),
 ])
 def test_parse_timestamp(spark, text, expected):

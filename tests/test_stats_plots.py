@@ -100,3 +100,41 @@ def test_depth_profile_and_axis_statistics(spark):
     assert {tuple(r) for r in P.depth_profile(df).collect()} == {(1.0, "temperature_degc", 20.0), (2.0, "salinity_psu", 35.0)}
     got = {r.axis: (r["min"], r["max"], r["count"]) for r in P.axis_statistics(df, "pressure_decibar", "salinity_psu").collect()}
     assert got == {"x_axis": (1.0, 2.0, 2), "y_axis": (35.0, 35.0, 1)}
+
+
+def test_bucketed_series(spark):
+    rng = np.random.default_rng(3)
+    x, y = rng.uniform(0, 10, 400), rng.normal(size=400)
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)] + [(None, 1.0), (1.0, None)], "x double, y double")
+    got = {r.bucket: r for r in P.series_bucketed(df, "x", "y", 7).collect()}
+    at = np.minimum(np.floor((x - x.min()) / ((x.max() - x.min()) / 7)), 6).astype(int)
+    assert set(got) == set(at.tolist()) and sum(r.n for r in got.values()) == 400
+    for b, r in got.items():
+        assert r["mean"] == pytest.approx(y[at == b].mean()) and (r.x_first, r.x_last) == (x[at == b].min(), x[at == b].max())
+        assert (r["min"], r["max"]) == (y[at == b].min(), y[at == b].max())
+
+
+def test_bucketed_series_of_one_time_and_of_none(spark):
+    df = spark.createDataFrame([("2024-01-01", 1.0), ("2024-01-01", 3.0)], "t string, y double").withColumn("t", F.to_date("t"))
+    row = P.series_bucketed(df, "t", "y").first()
+    assert (row.bucket, row.n, row["mean"], str(row.x_first)) == (0, 2, 2.0, "2024-01-01")
+    assert P.series_bucketed(df.limit(0), "t", "y").count() == 0
+
+
+def test_binned_depth_profile(spark):
+    df = spark.createDataFrame([(0.0, 1.0, None), (9.9, 3.0, 30.0), (10.0, 5.0, 31.0), (None, 7.0, 32.0)],
+                               "pressure_decibar double, temperature_degc double, salinity_psu double")
+    got = {(r.depth, r.variable): (r.n, r["mean"], r["min"], r["max"]) for r in P.depth_profile_binned(df).collect()}
+    assert got == {(0.0, "temperature_degc"): (2, 2.0, 1.0, 3.0), (0.0, "salinity_psu"): (1, 30.0, 30.0, 30.0),
+                   (10.0, "temperature_degc"): (1, 5.0, 5.0, 5.0), (10.0, "salinity_psu"): (1, 31.0, 31.0, 31.0)}
+    with pytest.raises(ValueError):
+        P.depth_profile_binned(df, step=0)
+
+
+def test_matrix_diagonal_is_the_histogram_of_complete_cases(spark):
+    df = spark.createDataFrame([(1.0, 2.0), (2.0, 2.0), (4.0, 2.0), (9.0, None)], "a double, b double")
+    got = P.scatter_matrix_diagonal(df, ["a", "b"], 3)
+    whole = df.dropna()
+    for c in ("a", "b"):
+        want = sorted((r.bin, r.low, r.high, r.n) for r in P.histogram(whole, c, 3).collect())
+        assert sorted((r.bin, r.low, r.high, r.n) for r in got.filter(F.col("column_name") == c).collect()) == want

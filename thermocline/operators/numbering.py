@@ -15,27 +15,12 @@ def add_running_sum(df: DataFrame, keys, value: str, out: str) -> DataFrame:
 
 
 def add_preceding_sum(df: DataFrame, keys, value: str, out: str) -> DataFrame:
-    """Add the sum of ``value`` over all rows that sort before each row by ``keys``.
+    """Add the sum of ``value`` over all rows that sort before each row by ``keys``, which are unique.
 
-    ``keys[0]`` is a timestamp and ``keys`` are unique. Three levels of totals: rows within a
-    day, days within a year, years. The widest single window is over the calendar years present.
+    Rows are range partitioned by ``keys`` whatever their dates, and the totals of earlier partitions are added; the
+    widest window is over one row for each partition.
     """
-    day, year = F.date_trunc("day", F.col(keys[0])), F.year("__day")
-    rows = df.withColumn("__day", day)
-    days = rows.groupBy("__day").agg(F.sum(value).alias("__sum")).withColumn("__year", year)
-    years = days.groupBy("__year").agg(F.sum("__sum").alias("__total"))
-
-    def running(column, window):
-        return F.coalesce(F.sum(column).over(_before(window)), F.lit(0))
-
-    years = years.select("__year", running("__total", Window.orderBy("__year")).alias("__years_before"))
-    days = (days.join(years, "__year")
-            .select("__day", (F.col("__years_before") + running(
-                "__sum", Window.partitionBy("__year").orderBy("__day"))).alias("__days_before")))
-    inside = running(value, Window.partitionBy("__day").orderBy(*keys))
-    return (rows.withColumn("__inside", inside).join(days, "__day")
-            .withColumn(out, F.col("__days_before") + F.col("__inside"))
-            .drop("__day", "__inside", "__days_before"))
+    return add_group_offset(df, [], keys, value, out)
 
 
 def add_group_offset(df: DataFrame, group, order, weight: str, out: str) -> DataFrame:

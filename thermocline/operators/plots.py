@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from thermocline.operators.stats import numeric_columns
 
 HISTOGRAM_BINS = 30
+SERIES_BUCKETS = 500
+DEPTH_STEP = 10.0
 PREFERRED = ["temperature_degc", "salinity_psu", "pressure_decibar", "latitude", "longitude"]
 # Axis labels.
 AXIS_LABELS = {
@@ -64,6 +66,23 @@ def series(df: DataFrame, x: str, y: str) -> DataFrame:
     return df.select(F.col(x).alias("x"), F.col(y).alias("y")).dropna().orderBy("x", "y")
 
 
+def series_bucketed(df: DataFrame, x: str, y: str, buckets: int = SERIES_BUCKETS) -> DataFrame:
+    """A line of at most ``buckets`` points, whatever the number of rows: equal widths of x (a time or a number) from
+    its minimum to its maximum, each with its first and last x and the count, mean and range of y. Empty buckets are
+    left out; incomplete pairs count nowhere."""
+    _require(df, x, y)
+    timed = isinstance(df.schema[x].dataType, (T.DateType, T.TimestampType, T.TimestampNTZType))
+    place = F.unix_micros(F.col("x").cast("timestamp")).cast("double") if timed else F.col("x").cast("double")
+    points = (df.select(F.col(x).alias("x"), F.col(y).cast("double").alias("y")).dropna()
+              .withColumn("at", place))
+    span = points.agg(F.min("at").alias("lo"), F.max("at").alias("hi"))
+    lo, hi = span.select("lo").scalar(), span.select("hi").scalar()
+    bucket = F.when(hi > lo, F.least(F.floor((F.col("at") - lo) / ((hi - lo) / buckets)), F.lit(buckets - 1))).otherwise(0)
+    return points.groupBy(bucket.cast("int").alias("bucket")).agg(
+        F.min("x").alias("x_first"), F.max("x").alias("x_last"), F.count(F.lit(1)).alias("n"),
+        F.avg("y").alias("mean"), F.min("y").alias("min"), F.max("y").alias("max"))
+
+
 def histogram(df: DataFrame, column: str, bins: int = HISTOGRAM_BINS) -> DataFrame:
     """Equal-width bins from minimum to maximum, the last one closed; empty bins are kept."""
     _require(df, column)
@@ -93,6 +112,16 @@ def depth_profile(df: DataFrame, depth="pressure_decibar", values=None) -> DataF
             .unpivot(["depth"], values, "variable", "value").dropna())
 
 
+def depth_profile_binned(df: DataFrame, depth="pressure_decibar", values=None, step: float = DEPTH_STEP) -> DataFrame:
+    """Count, mean and range of each variable per depth bin of ``step``; ``depth`` is the bin's upper edge in the water."""
+    if not step > 0:
+        raise ValueError("step must be positive")
+    points = depth_profile(df, depth, values)
+    edge = F.floor(F.col("depth").cast("double") / step) * F.lit(float(step))
+    return points.groupBy(edge.alias("depth"), "variable").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.min("value").alias("min"), F.max("value").alias("max"))
+
+
 def matrix_columns(df: DataFrame, columns=None):
     numbers = numeric_columns(df)
     columns = columns or [c for c in PREFERRED if c in numbers] or numbers[:4]
@@ -119,6 +148,25 @@ def scatter_matrix(df: DataFrame, columns=None) -> DataFrame:
     return stats.select("n", F.explode(rows).alias("p")).select("p.x", "p.y", "n", "p.correlation")
 
 
+def scatter_matrix_diagonal(df: DataFrame, columns=None, bins: int = HISTOGRAM_BINS) -> DataFrame:
+    """The histograms of the matrix diagonal: bins of each column over the complete cases, empty ones included."""
+    columns = matrix_columns(df, columns)
+    values = (scatter_points(df, columns).select([F.col(c).cast("double").alias(c) for c in columns])
+              .unpivot([], columns, "column_name", "v"))
+    span = values.groupBy("column_name").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).select(
+        "column_name", F.when(F.col("lo") == F.col("hi"), F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"),
+        F.when(F.col("lo") == F.col("hi"), F.lit(1.0)).otherwise(F.col("hi") - F.col("lo")).alias("width"))
+    width = F.col("width") / bins
+    at = F.least(F.floor((F.col("v") - F.col("lo")) / width), F.lit(bins - 1)).cast("int")
+    # One row for each column of the matrix, so the spans can be broadcast.
+    counts = (values.join(F.broadcast(span), "column_name").groupBy("column_name", at.alias("bin"))
+              .agg(F.count(F.lit(1)).alias("n")))
+    edges = (span.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+             .select("column_name", "bin", (F.col("lo") + F.col("bin") * width).alias("low"),
+                     (F.col("lo") + (F.col("bin") + 1) * width).alias("high")))
+    return edges.join(counts, ["column_name", "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
 def axis_statistics(df: DataFrame, x: str, y: str) -> DataFrame:
     """Min, max, mean and count of the numeric axes."""
     axes = {axis: name for axis, name in (("x_axis", x), ("y_axis", y))

@@ -12,15 +12,23 @@ NULL_TOKENS = [
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 ]
 
-# Patterns tried after ISO 8601, each only on texts of its shape: a failed parse is expensive.
+# Patterns tried after ISO 8601, each only on texts of its shape: a failed parse is expensive. A time of day may have
+# seconds and a fraction of them; a zone may follow it.
+_CLOCK = "[ ]['T'][ ]H:mm[:ss][.SSSSSS][.SSSSS][.SSSS][.SSS][.SS][.S][ ][XXX][X]"
+_CLOCK_SHAPE = r"([T ]\d{1,2}:\d{2}(:\d{2}(\.\d{1,6})?)? ?(Z|[+-]\d{2}:?\d{2})?)?$"
+_DATES = {
+    "y/M/d": r"^\d{4}/\d{1,2}/\d{1,2}",
+    "M/d/y": r"^\d{1,2}/\d{1,2}/\d{4}",
+    "d-MMM-y": r"^\d{1,2}-[A-Za-z]{3}-\d{4}",
+    "d MMM y": r"^\d{1,2} [A-Za-z]{3} \d{4}",
+    "MMM d, y": r"^[A-Za-z]{3} \d{1,2}, \d{4}",
+    "MMMM d, y": r"^[A-Za-z]{4,9} \d{1,2}, \d{4}",
+}
 TIMESTAMP_PATTERNS = {
-    "yyyy/MM/dd HH:mm:ss": r"^\d{4}/\d{2}/\d{2} \d{2}:\d{2}:\d{2}$",
-    "yyyy/MM/dd": r"^\d{4}/\d{2}/\d{2}$",
-    "MM/dd/yyyy HH:mm:ss": r"^\d{2}/\d{2}/\d{4} \d{2}:\d{2}:\d{2}$",
-    "MM/dd/yyyy": r"^\d{2}/\d{2}/\d{4}$",
-    "dd-MMM-yyyy HH:mm:ss": r"^\d{2}-[A-Za-z]{3}-\d{4} \d{2}:\d{2}:\d{2}$",
-    "dd-MMM-yyyy": r"^\d{2}-[A-Za-z]{3}-\d{4}$",
+    **{f"{date}[{_CLOCK}]": shape + _CLOCK_SHAPE for date, shape in _DATES.items()},
     "yyyyMMdd": r"^\d{8}$",
+    "yyyyMMdd'T'HHmmss": r"^\d{8}T\d{6}$",
+    "yyyyMMdd'T'HHmmssX": r"^\d{8}T\d{6}Z$",
 }
 
 # Plausible ranges of the measured quantities.
