@@ -50,6 +50,18 @@ def test_ingesting_one_source_again_keeps_the_others(spark, raw_dir, tmp_path):
     assert files.read_profiles(spark, out).count() == 3
 
 
+def test_a_file_that_keeps_no_row_now_leaves_none(spark, raw_dir, tmp_path):
+    out = str(tmp_path / "out")
+    ingest_directory(spark, str(raw_dir), out)
+    _write(raw_dir, "data_2025-02_raw.csv", ["3,2025-02-01,4,s,1,99,3,4,5"])
+    summary = {r.source_name: r for r in ingest_directory(spark, str(raw_dir), out).collect()}
+    emptied = summary["data_2025-02_processed"]
+    assert (emptied.rows_read, emptied.rows_kept, emptied.rows_stored, emptied.intact) == (1, 0, 0, 1)
+    assert sorted(r.basin for r in files.read_profiles(spark, out).collect()) == [1, 2]
+    _write(raw_dir, "data_2025-01_raw.csv", ["NULL,2025-01-01,3,s,10,20,5,35,12"])
+    assert [r.rows_stored for r in ingest_directory(spark, str(raw_dir), out).collect()] == [0, 0]
+
+
 def test_a_different_header_is_not_misread(spark, raw_dir):
     _write(raw_dir, "other_raw.csv", ["9,1,2025-02-01,4,s,1,2,3,4"], header=HEADER[1:] + HEADER[:1])
     with pytest.raises(Exception):

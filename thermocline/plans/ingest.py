@@ -3,28 +3,37 @@
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from thermocline.operators.quality import clean, ingest_summary
-from thermocline.sources.files import read_csv, read_profiles, write_profiles
+from thermocline.session import durable
+from thermocline.sources.files import drop_sources, processed_name, read_csv, read_stored, write_profiles
 
 
 def ingest_directory(spark: SparkSession, directory: str, output: str,
                      null_policy: str = "zero", jdbc: dict = None) -> DataFrame:
     """Clean every CSV file into Parquet, and into a database when ``jdbc`` options are given.
 
-    Returns one row per file: rows read, dropped, rejected, kept, found again in the output, and
-    whether those agree.
+    Rows of an earlier run of the same file are replaced, also when the file keeps no row now. Returns one row per
+    file: rows read, dropped, rejected, kept, found again in the output, and whether those agree.
     """
     raw = read_csv(spark, directory)
     write_profiles(clean(raw, null_policy), output)
+    summary = durable(file_summary(raw))
+    emptied = summary.filter("rows_kept = 0").select("source_name").toLocalIterator()
+    drop_sources(spark, output, (r.source_name for r in emptied))
+    stored = read_stored(spark, output)
     if jdbc:
         from thermocline.sources.jdbc import write_jdbc
-        write_jdbc(read_profiles(spark, output), jdbc)
-    return verify(raw, read_profiles(spark, output))
+        write_jdbc(stored, jdbc)
+    return verify(summary, stored)
 
 
-def verify(raw: DataFrame, stored: DataFrame) -> DataFrame:
-    from thermocline.sources.files import processed_name
-    read = ingest_summary(raw).withColumn("source_name", processed_name(F.col("source_name")))
-    kept = stored.groupBy("source_name").agg(F.count(F.lit(1)).alias("rows_stored"))
-    return (read.join(kept, "source_name", "left")
+def file_summary(raw: DataFrame) -> DataFrame:
+    """Counts of ``ingest_summary`` per file, under the name that its rows are stored by."""
+    return ingest_summary(raw).withColumn("source_name", processed_name(F.col("source_name")))
+
+
+def verify(summary: DataFrame, stored: DataFrame) -> DataFrame:
+    """Counts per file next to the rows found in the output."""
+    found = stored.groupBy("source_name").agg(F.count(F.lit(1)).alias("rows_stored"))
+    return (summary.join(found, "source_name", "left")
             .withColumn("rows_stored", F.coalesce("rows_stored", F.lit(0)))
             .withColumn("intact", (F.col("rows_stored") == F.col("rows_kept")).cast("int")))

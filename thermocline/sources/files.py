@@ -1,8 +1,9 @@
 """File sources and sinks."""
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from thermocline.schema import PROFILE_COLUMNS
+from thermocline.schema import PROFILE_COLUMNS, PROFILE_SCHEMA
 
 CSV_OPTIONS = {"header": "true", "escape": '"', "enforceSchema": "false"}
 RESULT_COLUMNS = ["chunk_id", "score", "timestamp", "latitude", "longitude", "basin",
@@ -49,6 +50,20 @@ def write_profiles(df: DataFrame, path: str) -> None:
      .partitionBy("source_name").parquet(path))
 
 
+def read_stored(spark: SparkSession, path: str) -> DataFrame:
+    """What ``write_profiles`` stored, with source names as text; no rows when every source was emptied."""
+    return spark.read.schema(StructType([*PROFILE_SCHEMA, StructField("source_name", StringType())])).parquet(path)
+
+
+def drop_sources(spark: SparkSession, path: str, names) -> None:
+    """Remove the stored rows of sources by their stored names, as for files whose new version keeps no row."""
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    escape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+    for name in names:
+        place = hadoop.Path(f"{path.rstrip('/')}/source_name={escape(name)}")
+        place.getFileSystem(conf).delete(place, True)
+
+
 def write_clustered(df: DataFrame, path: str, order=("timestamp", "pressure_decibar")) -> None:
     """Profiles laid out for range filters: files cover disjoint time ranges, so scans skip row
     groups by their minimum and maximum. Pressure is part of the range key to cut a crowded time."""
