@@ -1,4 +1,4 @@
-"""Operators of a training-data pipeline: ten corpus operators, each from DataFrame to DataFrame.
+"""Operators of a training-data pipeline: thirteen operators on corpora, conversations and vectors, each from DataFrame to DataFrame.
 
 Nothing else in the library imports this package.
 """
