@@ -1,9 +1,10 @@
 """BPE encoding and decoding through a table of distinct words.
 
 A tokenizer of the supported kind drops white space and encodes every word by itself, so a text's ids follow from its
-words' ids. Frequent words, found in a bounded sample, are encoded once and broadcast. All other words of the corpus
-become one table row each, are encoded once, and come back to their documents through joins; a document then puts the
-ids of its words together by position. Ids become text through an id-to-piece table.
+words' ids. Frequent words, found in a bounded sample, are encoded once and broadcast; a text becomes the ids of these, with
+a hole for every other word. Those other words go by (document, position, word) to where each distinct one is encoded once,
+and their ids come back by (document, position) into the holes. Ids become text by a join of (position, id) with the
+id-to-piece table.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -24,10 +26,12 @@ from pyspark.sql import DataFrame, functions as F
 from thermocline.llm.common import partitions, public_id, texts
 from thermocline.session import durable
 
-#: Documents whose words are counted to find frequent ones, and the most words that are broadcast.
-HEAD_DOCS, HEAD_WORDS = 20_000, 300_000
-#: Runs between white space that a worker remembers.
-MEMORY = 200_000
+#: Documents whose words are counted to find frequent ones, the most words that are broadcast and the bytes of one.
+HEAD_DOCS, HEAD_WORDS, HEAD_BYTES = 20_000, 300_000, 64
+#: Words whose ids a worker remembers, twice over.
+MEMORY = 250_000
+#: Tasks that share the rows of one long word.
+SALTS = 16
 # The word pattern of the supported tokenizer.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Characters for which Python's classes, lower case and normal form agree with the tokenizer's; other texts are split
@@ -74,10 +78,6 @@ class WordCoder:
             return out
         return self._plain(text)
 
-    def chunks(self, text: str) -> list[str] | None:
-        """Runs between white space, each of which can be split by itself; None if the text has to be taken whole."""
-        return text.split() if _PLAIN.fullmatch(text) and not (self._marks and self._marks.search(text)) else None
-
     def _plain(self, text: str) -> list[str]:
         if _PLAIN.fullmatch(text):
             return _PLAIN_WORD.findall(text.lower())
@@ -102,6 +102,58 @@ def coder(spec: str) -> WordCoder:
     return WordCoder(spec)
 
 
+class Memory(dict):
+    """What `make` gives for a key, remembered: of the last `most` keys at least, of twice as many at most."""
+
+    def __init__(self, make, most: int = MEMORY):
+        super().__init__()
+        self.make, self.most, self.before = make, most, {}
+
+    def __missing__(self, key):
+        made = self.before.get(key)
+        if made is None:
+            made = self.make(key)
+        if len(self) >= self.most:
+            self.before = dict(self)
+            self.clear()
+        self[key] = made
+        return made
+
+
+class Packer:
+    """Packed ids of whole texts, ids of words remembered."""
+
+    def __init__(self, own: WordCoder, code: str):
+        self.own = own
+        self.memory = Memory(lambda w: array(code, own.encode(w)).tobytes())
+
+    def ids(self, text: str) -> bytes:
+        return b"".join(map(self.memory.__getitem__, self.own.words(text)))
+
+
+class Holes(dict):
+    """Packed ids of the broadcast words; every other word is a hole."""
+
+    def __init__(self, known: dict, hole: bytes):
+        super().__init__(known)
+        self.hole = hole
+
+    def __missing__(self, word):
+        return self.hole
+
+
+def id_type(own: WordCoder) -> tuple[str, str]:
+    """(numpy type, array code) that hold every id and one more number, the greatest, which stands for a hole."""
+    return ("<u2", "H") if own.tokenizer.get_vocab_size(with_added_tokens=True) < 1 << 16 else ("<u4", "I")
+
+
+@lru_cache(maxsize=2)
+def packer(spec: str) -> Packer:
+    """One for each worker process and tokenizer."""
+    own = coder(spec)
+    return Packer(own, id_type(own)[1])
+
+
 def read_spec(path: str) -> str:
     """The tokenizer's description; tasks get it by broadcast, so only the driver needs the file."""
     with open(path, encoding="utf-8") as f:
@@ -142,25 +194,28 @@ def _counted(counts):
 
 
 def _encode_words(spec):
-    """Rows with `word` last, equal words in a run: the same rows and the word's packed ids; each run is encoded once."""
+    """Rows with `word` last, equal words in a run: the other columns and the word's packed ids; each run is encoded once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, word, ids = coder(spec.value), None, b""
+        code = id_type(own)[1]
         for batch in batches:
             made = []
             for w in batch.column(batch.num_columns - 1).to_pylist():
                 if w != word:
-                    word, ids = w, np.array(own.encode(w.decode("utf-8", "surrogateescape")), "<u4").tobytes()
+                    word, ids = w, array(code, own.encode(w.decode("utf-8", "surrogateescape"))).tobytes()
                 made.append(ids)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.binary())], names=[*batch.schema.names, "ids"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(made, pa.binary())], names=[*batch.schema.names[:-1], "ids"])
 
     return run
 
 
 def encode_words(rows: DataFrame, spec) -> DataFrame:
-    """`rows` (any columns, `word` last) with ids: rows are dealt and sorted by word, each distinct word is encoded once."""
-    dealt = rows.repartition(partitions(rows.sparkSession), "word").sortWithinPartitions("word")
-    schema = ", ".join(f"{c} {t}" for c, t in rows.dtypes)
+    """`rows` (any columns, `word` last) with ids in place of word: rows are dealt and sorted by word, each distinct one is
+    encoded once. Only frequent short words are broadcast, so the rows of a long one are shared by SALTS tasks."""
+    salt = F.when(F.octet_length("word") > HEAD_BYTES, F.pmod(F.xxhash64(*[c for c in rows.columns if c != "word"]), F.lit(SALTS)))
+    dealt = rows.repartition(partitions(rows.sparkSession), "word", salt).sortWithinPartitions("word")
+    schema = ", ".join(f"{c} {t}" for c, t in rows.dtypes if c != "word")
     return dealt.mapInArrow(_encode_words(spec), f"{schema}, ids binary")
 
 
@@ -178,52 +233,43 @@ def _known(broadcast) -> dict[str, bytes]:
 
 
 def frequent_words(docs: DataFrame, spec, head_docs: int, head_words: int) -> tuple[list[bytes], list[bytes]]:
-    """The most frequent words of about `head_docs` documents, chosen by a hash, and their ids; at most `head_words`."""
+    """The most frequent words of about `head_docs` documents, chosen by a hash, and their ids; at most `head_words`, of at
+    most HEAD_BYTES each, so that both the driver and a worker hold a bounded number of bytes."""
     total = docs.count()
     part = F.pmod(F.xxhash64("doc_id", "text_key", F.lit(1)), F.lit(1 << 20)) < max(1, min(1 << 20, (head_docs << 20) // max(total, 1)))
-    counted = durable(docs.where(part).select("text").mapInArrow(_tally(spec), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
-    table = encode_words(counted.where(F.col("n") >= count_floor(counted, head_words)).select("word"), spec).toArrow()
-    return table.column("word").to_pylist(), table.column("ids").to_pylist()
+    counted = (docs.where(part).select("text").mapInArrow(_tally(spec), "word binary, n long")
+               .where(F.octet_length("word") <= HEAD_BYTES).groupBy("word").agg(F.sum("n").alias("n")))
+    counted = durable(counted)
+    kept = counted.where(F.col("n") >= count_floor(counted, head_words)).select(F.col("word").alias("key"), "word")
+    table = encode_words(kept, spec).toArrow()
+    return table.column("key").to_pylist(), table.column("ids").to_pylist()
 
 
 def _rare(spec, head):
-    """A row for each document and distinct word of it that is not broadcast."""
+    """doc_id, text_key, pos and word for every word that is not broadcast; pos counts those words of a document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, known, settled = coder(spec.value), _known(head), set()
+        own, known = coder(spec.value), _known(head)
+
         for batch in batches:
-            words, at = [], []
-            for i, text in enumerate(batch.column(2).to_pylist()):
-                rare = _rare_words(own, known, settled, text)
-                words += rare
-                at += [i] * len(rare)
-            rows = pa.array(at, pa.int64())
+            words, counts = [], []
+            for text in batch.column(2).to_pylist():
+                here = [w.encode("utf-8", "surrogateescape") for w in own.words(text) if w not in known]
+                words += here
+                counts.append(len(here))
+            rows = pa.array(np.repeat(np.arange(len(counts)), counts))
+            pos = np.arange(len(words)) - np.repeat(np.cumsum(counts) - counts, counts) if words else np.zeros(0)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(rows), batch.column(1).take(rows),
-                 pa.array([w.encode("utf-8", "surrogateescape") for w in words], pa.binary())], names=["doc_id", "text_key", "word"])
+                [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(pos.astype("i4")), pa.array(words, pa.binary())],
+                names=["doc_id", "text_key", "pos", "word"])
 
     return run
 
 
-def _rare_words(own, known, settled, text) -> set[str]:
-    """Distinct words of a text that are not known. `settled` remembers runs of known words alone, never split again."""
-    if (runs := own.chunks(text)) is None:
-        return {w for w in own.words(text) if w not in known}
-    if len(settled) > MEMORY:
-        settled.clear()
-    found = set()
-    for run in set(runs).difference(settled):
-        rare = [w for w in own.words(run) if w not in known]
-        if rare:
-            found.update(rare)
-        else:
-            settled.add(run)
-    return found
-
-
 def _shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts compressed one by one, for the shuffle that brings them together with their rare words."""
-    press = zstandard.ZstdCompressor(level=1).compress
+    """Texts compressed one by one, for the shuffle that brings them together with their other words' ids; compressed text
+    is smaller than compressed ids."""
+    press = zstandard.ZstdCompressor(level=3).compress
     for batch in batches:
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array([press(t) for t in batch.column(2).to_pylist()], pa.binary())],
@@ -234,29 +280,56 @@ def _shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 OUTPUTS = {"ids": "array<int>", "n_tokens": "long", "ids_sha256": "string", "decoded": "string", "decoded_sha256": "string"}
 
 
+def fill(holed: list[bytes], rare: list[bytes], dtype: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts one after another, the words' ids in `rare` put into the holes in order, and where each text ends."""
+    ids = np.frombuffer(b"".join(holed), dtype)
+    ends = np.cumsum([len(x) for x in holed], dtype=np.int64) // ids.itemsize
+    holes = ids == np.iinfo(dtype).max
+    wide = np.ones(len(ids), np.int64)
+    wide[holes] = [len(x) // ids.itemsize for x in rare]
+    out = np.repeat(ids, wide)
+    out[np.repeat(holes, wide)] = np.frombuffer(b"".join(rare), dtype)
+    return out, np.r_[0, np.cumsum(wide)][ends]
+
+
+def named_pieces(ids: np.ndarray, table: pa.Table) -> pa.ChunkedArray:
+    """Pieces of ids in order: rows (pos, id) joined with the id-to-piece table (id, piece)."""
+    at = pa.table({"pos": pa.array(np.arange(len(ids), dtype="i4")), "id": pa.array(ids)})
+    joined = at.join(table, "id", join_type="inner", use_threads=False)
+    return joined.column("piece").take(pc.sort_indices(joined.column("pos")))
+
+
 def _assemble(spec, head, outputs):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, known, seen = coder(spec.value), _known(head), {}
-        pieces = pa.array(own.pieces(), pa.large_string())
-        decimals = pa.array([str(i) for i in range(len(pieces))], pa.large_string())
+        own = coder(spec.value)
+        dtype = id_type(own)[0]
+        names = own.pieces()
+        number = pa.array(np.arange(len(names)).astype(dtype))
+        pieces = pa.table({"id": number, "piece": pa.array(names, pa.large_string())})
+        decimals = pa.array([str(i) for i in range(len(names))], pa.large_string())
+        expand = zstandard.ZstdDecompressor().decompress
+        known = Holes(_known(head), np.full(1, np.iinfo(dtype).max, dtype).tobytes()).__getitem__
         for batch in batches:
             for start in range(0, batch.num_rows, 128):  # bounds the ids held at once, whatever the batch
                 part = batch.slice(start, 128)
-                ids, ends = _ids(own, known, seen, part.column(2).to_pylist(), part.column(3).to_pylist())
+                rare = [x["ids"] for words in part.column(3).to_pylist() for x in words or ()]
+                holed = [b"".join(map(known, own.words(expand(x).decode()))) for x in part.column(2).to_pylist()]
+                ids, ends = fill(holed, rare, dtype)
                 offsets = pa.array(np.r_[0, ends], pa.int64())
 
-                def joined(names):
-                    return pc.binary_join(pa.LargeListArray.from_arrays(offsets, names.take(pa.array(ids))), pa.scalar(" ", pa.large_string()))
+                def joined(column):
+                    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+                    return pc.binary_join(pa.LargeListArray.from_arrays(offsets, column), pa.scalar(" ", pa.large_string()))
 
                 made = {}
                 if "ids" in outputs:
-                    made["ids"] = pa.LargeListArray.from_arrays(offsets, pa.array(ids)).cast(pa.list_(pa.int32()))
+                    made["ids"] = pa.LargeListArray.from_arrays(offsets, pa.array(ids.astype("<i4"))).cast(pa.list_(pa.int32()))
                 if "n_tokens" in outputs:
                     made["n_tokens"] = pa.array(np.diff(np.r_[0, ends]), pa.int64())
                 if "ids_sha256" in outputs:
-                    made["ids_sha256"] = _digests(joined(decimals))
+                    made["ids_sha256"] = _digests(joined(decimals.take(pa.array(ids))))
                 if "decoded" in outputs or "decoded_sha256" in outputs:
-                    text = joined(pieces)
+                    text = joined(named_pieces(ids, pieces))
                     made["decoded"], made["decoded_sha256"] = text.cast(pa.string()), _digests(text)
                 yield pa.RecordBatch.from_arrays([part.column(0), *[made[c] for c in outputs]], names=["doc_id", *outputs])
 
@@ -267,28 +340,6 @@ def _digests(column) -> pa.Array:
     return pa.array([hashlib.sha256(x.as_buffer() if x.as_buffer() else b"").hexdigest() for x in column], pa.string())
 
 
-def _packed(own, known, seen, text) -> bytes:
-    """A text's packed ids. `seen` remembers those of runs between white space, so that most text is never split into words."""
-    if (runs := own.chunks(text)) is None:
-        return b"".join(map(known.__getitem__, own.words(text)))
-    if len(seen) > MEMORY:
-        seen.clear()
-    for run in set(runs).difference(seen):
-        seen[run] = b"".join(map(known.__getitem__, own.words(run)))
-    return b"".join(map(seen.__getitem__, runs))
-
-
-def _ids(own, known, seen, batch_texts, rare):
-    """Ids of all texts one after another, and where each text's end."""
-    extra = {w["word"].decode("utf-8", "surrogateescape"): w["ids"] for words in rare for w in words or ()}
-    known.update(extra)  # for these texts only; an update and its undoing cost less than asking two tables for each word
-    expand = zstandard.ZstdDecompressor().decompress
-    made = [_packed(own, known, seen, expand(text).decode()) for text in batch_texts]
-    for w in extra:
-        del known[w]
-    return np.frombuffer(b"".join(made), "<u4").astype("<i4"), np.cumsum([len(x) // 4 for x in made], dtype=np.int64)
-
-
 def encode(docs: DataFrame, path: str, outputs: tuple[str, ...] = ("ids",), head_docs: int = HEAD_DOCS,
            head_words: int = HEAD_WORDS) -> DataFrame:
     """Token ids of whole texts: doc_id and the chosen OUTPUTS, a row for each input row.
@@ -297,16 +348,17 @@ def encode(docs: DataFrame, path: str, outputs: tuple[str, ...] = ("ids",), head
     spelled out in a text is that token. `decoded` is its decode with special tokens.
 
     Null and empty texts have no tokens and decode to an empty text. A null doc_id stays null. Repeated rows get equal
-    results. An empty table gives no rows; columns other than doc_id and text are ignored. `head_docs` and `head_words`
-    bound the broadcast table and change nothing in the result.
+    results. Texts of any length are taken whole, also those without white space; a worker holds 128 at a time. An empty
+    table gives no rows; columns other than doc_id and text are ignored. `head_docs` and `head_words` bound the broadcast
+    table and change nothing in the result.
     """
     sc = docs.sparkSession.sparkContext
     spec = sc.broadcast(read_spec(path))
-    source = texts(docs).withColumn("text_key", F.xxhash64("text"))
+    source = texts(docs).withColumn("text_key", F.xxhash64("text")).select("doc_id", "text_key", "text")
     head = sc.broadcast(frequent_words(source, spec, head_docs, head_words))
-    rare = source.select("doc_id", "text_key", "text").mapInArrow(_rare(spec, head), "doc_id long, text_key long, word binary")
-    # A word that many documents hold is in the broadcast table, so no word's rows make up a large part of what is left.
-    grouped = encode_words(rare, spec).groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("word", "ids")).alias("rare"))
+    rare = source.mapInArrow(_rare(spec, head), "doc_id long, text_key long, pos int, word binary")
+    # A short word that many documents hold is in the broadcast table, so its rows make up no large part of what is left.
+    grouped = encode_words(rare, spec).groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set(F.struct("pos", "ids"))).alias("rare"))
     small = (source.select("doc_id", "text_key", F.col("text").cast("binary"))
              .mapInArrow(_shrink, "doc_id long, text_key long, text binary"))
     joined = small.join(grouped.hint("shuffle_hash"), ["doc_id", "text_key"], "left").select("doc_id", "text_key", "text", "rare")
