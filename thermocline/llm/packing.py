@@ -1,8 +1,8 @@
 """Packing of token ids into fixed rows by best fit, decreasing, written as binary matrices.
 
-Documents are dealt by hash to shards of bounded size. A shard's pieces, longest first, go to the open row with the
-least room that still fits; a segment tree over the possible rooms finds it in logarithmic time. Nothing crosses
-shards, so a corpus is packed in one shuffle.
+Documents are encoded where they are read and dealt, as ids, by hash to shards of bounded size. A shard's pieces, longest
+first, go to the open row with the least room that still fits; a segment tree over the possible rooms finds it in
+logarithmic time. Nothing crosses shards, so a corpus is packed in one shuffle.
 """
 
 from __future__ import annotations
@@ -13,13 +13,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from thermocline.llm.bpe import coder, read_spec
+from thermocline.llm.bpe import coder, id_type, packer, read_spec
 from thermocline.llm.common import NO_ID, partitions, texts
 
 #: Code points that a shard aims at; what a task holds at once.
 SHARD_CHARS = 16_000_000
-#: Words, and runs between white space, whose ids a worker remembers.
-MEMORY = 400_000
 _SCHEMA = ("shard int, row int, n_tokens int, ids binary, positions binary, cu_seqlens array<int>, "
            "doc_ids array<long>, parts array<int>, offsets array<int>")
 
@@ -93,48 +91,29 @@ def pack_shard(shard: int, docs: list[tuple[int, np.ndarray]], length: int, pad:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=[x.split()[0] for x in _SCHEMA.split(", ")])
 
 
-#: Packed ids of words and of runs between white space, in a worker process; they belong to one tokenizer and width.
-_REMEMBERED: dict[str, bytes] = {}
-_CHUNKS: dict[str, bytes] = {}
-_OWNER: list[str] = [""]
+def _encoded(spec):
+    """doc_id, text_key, shard and packed ids of each text, its end token last."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = packer(spec.value)
+        end = np.array(own.own.special["<|endoftext|>"], id_type(own.own)[0]).tobytes()
+        for batch in batches:
+            made = [own.ids(t) + end for t in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(made, pa.binary())], names=["doc_id", "text_key", "shard", "ids"])
 
-def _pack(spec, length: int, end_id: int, dtype: str):
-    def packed(word, own):
-        if (ids := _REMEMBERED.get(word)) is None:
-            ids = _REMEMBERED[word] = np.array(own.encode(word), dtype).tobytes()
-        return ids
+    return run
 
-    def encode(own, text):
-        chunks = own.chunks(text)
-        if chunks is None:
-            ids = b"".join([packed(w, own) for w in own.words(text)])
-        else:
-            try:
-                ids = b"".join(map(_CHUNKS.__getitem__, chunks))
-            except KeyError:
-                for c in chunks:
-                    if c not in _CHUNKS:
-                        _CHUNKS[c] = b"".join([packed(w, own) for w in own.words(c)])
-                ids = b"".join(map(_CHUNKS.__getitem__, chunks))
-        for memory in (_REMEMBERED, _CHUNKS):
-            if len(memory) > MEMORY:
-                memory.clear()
-        return np.append(np.frombuffer(ids, dtype), np.array(end_id, dtype))
 
+def _packed(length: int, end_id: int, dtype: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, at, held = coder(spec.value), None, []
-        if _OWNER[0] != spec.value + dtype:
-            _REMEMBERED.clear()
-            _CHUNKS.clear()
-            _OWNER[0] = spec.value + dtype
+        at, held = None, []
         for batch in batches:
-            for shard, doc_id, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for doc_id, shard, ids in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3))):
                 if shard != at and held:
                     yield pack_shard(at, held, length, end_id, dtype)
                     held = []
                 at = shard
-                held.append((doc_id, encode(own, text)))
+                held.append((doc_id, np.frombuffer(ids, dtype)))
         if held:
             yield pack_shard(at, held, length, end_id, dtype)
 
@@ -150,20 +129,24 @@ def pack(docs: DataFrame, path: str, length: int = 2048, shard_chars: int = SHAR
     place in its document).
 
     Every document is its words' ids and one end token; a longer one is split into parts of `length` ids and a rest, in
-    order and without loss. Null and empty texts are an end token alone. A null doc_id is null in doc_ids. Repeated rows
-    are packed each. Equal lengths are placed by doc_id, then by a hash of the text. An empty table gives no rows;
-    columns other than doc_id and text are ignored.
+    order and without loss. Null and empty texts are an end token alone, a text of any length is taken whole. A null doc_id
+    is null in doc_ids. Repeated rows are packed each. Equal lengths are placed by doc_id, then by a hash of the text. An
+    empty table gives no rows; columns other than doc_id and text are ignored.
+
+    There are as many shards as the corpus has times `shard_chars` code points, so a document lies in another row, beside
+    others, when the table or `shard_chars` grows; what is packed stays the same.
     """
     spec = docs.sparkSession.sparkContext.broadcast(read_spec(path))
     own = coder(spec.value)
-    names = own.pieces()
-    dtype, end_id = ("<u2" if len(names) <= 1 << 16 else "<u4"), own.special["<|endoftext|>"]
+    dtype, end_id = id_type(own)[0], own.special["<|endoftext|>"]
     source = texts(docs).withColumn("text_key", F.xxhash64("text"))
     chars = source.agg(F.sum(F.length("text"))).first()[0] or 0
-    shard = F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(max(1, -(-chars // shard_chars)))).cast("int")
-    dealt = (source.withColumn("shard", shard).repartition(partitions(docs.sparkSession), "shard")
-             .sortWithinPartitions("shard", "doc_id", "text_key").select("shard", "doc_id", "text"))
-    return dealt.mapInArrow(_pack(spec, length, end_id, dtype), _SCHEMA)
+    shards = max(1, -(-chars // shard_chars))
+    named = source.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(shards)).cast("int"))
+    encoded = named.select("doc_id", "text_key", "shard", "text").mapInArrow(_encoded(spec), "doc_id long, text_key long, shard int, ids binary")
+    # Shards go by their number, so that tasks get as many each as can be.
+    dealt = encoded.repartitionById(min(shards, max(partitions(docs.sparkSession), 1)), "shard").sortWithinPartitions("shard", "doc_id", "text_key")
+    return dealt.mapInArrow(_packed(length, end_id, dtype), _SCHEMA)
 
 
 def write_packed(packed: DataFrame, path: str) -> None:
