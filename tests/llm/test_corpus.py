@@ -273,11 +273,39 @@ def test_bpe(docs, empty, spark):
             text = own.tokenizer.decode(ids, skip_special_tokens=False)
             assert (r.ids, r.n_tokens, r.decoded) == (ids, len(ids), text)
             assert (r.ids_sha256, r.decoded_sha256) == (sha(" ".join(map(str, ids))), sha(text))
-    named = spark.createDataFrame([(r.doc_id, r.ids) for r in got if r.doc_id != 112], "doc_id long, ids array<int>")
-    assert {r.doc_id: r.decoded for r in bpe.decode(named, word_bpe()).collect()} == {r.doc_id: r.decoded for r in got if r.doc_id != 112}
+    named = spark.createDataFrame([*((r.doc_id, r.ids) for r in got if r.doc_id != 112), (900, None), (901, [])], "doc_id long, ids array<int>")
+    back = {r.doc_id: r.decoded for r in bpe.decode(named, word_bpe()).collect()}
+    assert back.pop(900) == back.pop(901) == ""
+    assert back == {r.doc_id: r.decoded for r in got if r.doc_id != 112}
     assert bpe.encode(empty, word_bpe()).count() == 0
 
 
+def test_bpe_of_long_words(spark):
+    """A long word that many documents hold, and texts without any white space."""
+    own = bpe.coder(bpe.read_spec(word_bpe()))
+    long = "".join(random.Random(4).choice("aeioußtrs") for _ in range(30_000))
+    texts = [long, f"{long} x", "ab9" * 20_000, "rareword " * 30, "word" * 30] * 3
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for most in (300_000, 1):
+        got = {r.doc_id: (r.ids, r.decoded) for r in bpe.encode(docs, word_bpe(), outputs=("ids", "decoded"), head_words=most).collect()}
+        for i, t in enumerate(texts):
+            ids = own.tokenizer.encode(t, add_special_tokens=False).ids
+            assert got[i] == (ids, own.tokenizer.decode(ids, skip_special_tokens=False))
+
+
+def test_words_of_the_memory():
+    asked = []
+    memory = bpe.Memory(lambda k: asked.append(k) or k * 2, 3)
+    assert [memory[k] for k in (1, 2, 1, 3, 4, 1, 5, 6, 1)] == [2, 4, 2, 6, 8, 2, 10, 12, 2]
+    assert asked == [1, 2, 3, 4, 5, 6] and len(memory) <= 3
+
+
+def test_packed_rows_are_stored(docs, spark, tmp_path):
+    packed = packing.pack(docs, word_bpe(), length=128, shard_chars=50_000)
+    packing.write_packed(packed, str(tmp_path / "packed"))
+    assert sorted(map(repr, packing.read_packed(spark, str(tmp_path / "packed")).collect())) == sorted(map(repr, packed.collect()))
+
+
 def test_word_splitting_of_all_plain_characters():
     own = bpe.coder(bpe.read_spec(word_bpe()))
     for code in [*range(1, 0x250), *range(0x2000, 0x2070), 0x20AC, 0x3A3, 0x4E2D, 0x1F600]:
@@ -332,6 +360,55 @@ def test_unseen_words_back_off(docs):
     assert "schiffen" not in model.words and model.unseen("schiffen")[de] > model.unseen("schiffen")[en]
 
 
+def test_language_against_plain_counts(spark):
+    """Every prediction follows from counts of all words, those seen once too, and of all n-grams of distinct words."""
+    rng = random.Random(8)
+    made = {"x": "ab", "y": "bc"}
+    data = [(i, " ".join("".join(rng.choice(made[la] + "d") for _ in range(rng.randint(1, 4))) for _ in range(12)), la)
+            for i in range(40) for la in [rng.choice("xy")]]
+    data += [(100, "abcd dcba unheard " * 5, None), (101, "bbbb", None), (102, "zzz", None), (103, None, None)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    words, parts = collections.Counter(), collections.Counter()
+    for i, t, la in data:
+        if la and zlib.crc32(str(i).encode()) % 4 != 2:
+            words.update((la, w) for w in t.split())
+    for (la, w), n in words.items():
+        for g in language.grams(w):
+            parts[la, g] += n
+
+    def logs(counts):
+        items = {k for _, k in counts}
+        total = {la: sum(n for (x, _), n in counts.items() if x == la) for la in "xy"}
+        return {k: np.array([np.log((counts[la, k] + 0.5) / (total[la] + 0.5 * len(items))) for la in "xy"]) for k in items}
+
+    known, pieces = logs(words), logs(parts)
+
+    def plain(text):
+        found = [w for w in re.findall("[a-z]+", text or "")]
+        if not found:
+            return "und", 0.0
+        total = np.zeros(2)
+        for w in found:
+            if w in known:
+                total += known[w]
+                continue
+            marked, rows = f"^{w}$", []
+            for end in range(1, len(marked) + 1):
+                longest = next((marked[s:end] for s in range(max(0, end - 4), end) if marked[s:end] in pieces), None)
+                rows += [pieces[longest]] if longest else []
+            total += np.mean(rows, axis=0) if rows else 0
+        p = np.exp((total - total.max()) / np.sqrt(len(found)))
+        return "xy"[int(total.argmax())], p.max() / p.sum()
+
+    model = language.train(docs)
+    assert set(model.words) == set(known) and any(n == 1 for n in words.values())
+    for r in language.identify(docs, model).collect():
+        text = next(t for i, t, _ in data if i == r.doc_id)
+        assert r.lang_pred == plain(text)[0] and abs(r.score - plain(text)[1]) < 1e-4
+    few = language.train(docs, most_languages=1)
+    assert few.languages == [collections.Counter(la for i, _, la in data if la and zlib.crc32(str(i).encode()) % 4 != 2).most_common(1)[0][0]]
+
+
 def test_mixing_does_not_depend_on_the_join(docs, monkeypatch):
     """Plans of sources too many to broadcast are joined in salted parts, with the same draws."""
     def drawn():
@@ -374,6 +451,38 @@ def test_mixing(docs, empty):
     assert mixing.draw(empty).count() == 0
 
 
+def whole_run():
+    """The pipeline's distinct rows by brute force: languages, shared lines, near copies, encoding; mixing drops nothing."""
+    own = bpe.coder(bpe.read_spec(word_bpe()))
+    held, named = collections.defaultdict(set), [(-1 if i is None else i, t) for i, t in texts_of() if any(c.isalpha() for c in t)]
+    for i, t in named:
+        for x in t.split("\n"):
+            held[line_key(x)].add(i)
+    gone = {k: max(v) for k, v in held.items() if len(k) >= 20 and len(v) >= 3}
+    lined = [(i, "\n".join(x for x in t.split("\n") if gone.get(line_key(x), i) == i)) for i, t in named]
+    prints = [(i, slow_simhash(t)) for i, t in lined]
+    root = {fp: fp for _, fp in prints}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in root:
+        for b in root:
+            if (a ^ b).bit_count() <= 4:
+                root[find(a)] = find(b)
+    least = {}
+    for i, fp in prints:
+        least[find(fp)] = min(i, least.get(find(fp), i))
+    out = set()
+    for (i, t), (_, fp) in zip(lined, prints):
+        if least[find(fp)] == i:
+            ids = own.tokenizer.encode(t, add_special_tokens=False).ids
+            out.add((None if i == -1 else i, len(ids), sha(" ".join(map(str, ids))), sha(own.tokenizer.decode(ids, skip_special_tokens=False))))
+    return out
+
+
 def test_pipeline_stages(docs, spark, tmp_path):
     import corpus_pipeline as pipeline
     assert [n for n, _ in pipeline.STAGES] == ["language", "line_dedup", "near_dedup", "mix", "encode"]
@@ -387,8 +496,11 @@ def test_pipeline_stages(docs, spark, tmp_path):
     assert sorted(str(r.doc_id) for r in steps["near_dedup"](spark, docs, "").collect()) == sorted(str(r.doc_id) for r in near)
     mixed = collections.Counter(str(r.doc_id) for r in steps["mix"](spark, base.where("doc_id IS NULL OR doc_id <> 112"), "").collect())
     assert set(mixed) == {str(i) for i, _ in texts_of()} - {"112"} and set(mixed.values()) <= {1, 2}
+    assert all(r.lang in ("en", "de") for r in steps["language"](spark, docs, "").collect())
     docs.write.parquet(str(tmp_path / "documents.parquet"))
-    assert pipeline.run(spark, str(tmp_path)).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    got = pipeline.run(spark, str(tmp_path))
+    assert got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    assert set(map(tuple, got.collect())) == whole_run()
     json.dumps(pipeline.ORACLE_SQL)
     for name, step in pipeline.STAGES:
         assert step(spark, base.where("doc_id = -1"), "").count() == 0, name

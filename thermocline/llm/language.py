@@ -1,5 +1,8 @@
 """Language identification, words first: known words count with their log frequency in each language, unseen words
 back off to the longest known character n-grams, from four characters down to one.
+
+The model is fitted on a sample of labelled documents that is bounded in documents, in characters and in languages. It
+holds every word and every n-gram of that sample, so its size has the same bound and follows from no other cut.
 """
 
 from __future__ import annotations
@@ -13,12 +16,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from thermocline.llm.bpe import count_floor
 from thermocline.llm.common import held_out, public_id, texts
 from thermocline.session import durable
 
-#: Documents of each language that a model is fitted on, about; words and n-grams that it keeps at most.
-PER_LANGUAGE, MOST_WORDS, MOST_GRAMS = 2_000, 300_000, 300_000
+#: The labelled sample: documents and characters of each language, characters of all, about, and the most languages.
+PER_LANGUAGE, LANGUAGE_CHARS, ALL_CHARS, MOST_LANGUAGES = 2_000, 8_000_000, 32_000_000, 1_000
 LONGEST = 4
 UNKNOWN = "und"
 #: Unseen words whose scores a worker remembers.
@@ -107,11 +109,9 @@ def _count_grams(counts, lang, word, n):
         counts[lang, g] += n
 
 
-def _matrix(table: DataFrame, most: int, languages: list[str]) -> tuple[dict[str, int], np.ndarray]:
-    """Rows for the most frequent items and their smoothed log frequencies by language."""
-    totals = table.groupBy("item").agg(F.sum("n").alias("n"))
-    kept = totals.where(F.col("n") >= count_floor(totals, most)).select("item")
-    got = table.join(kept, "item").toArrow().to_pydict()
+def _matrix(table: DataFrame, languages: list[str]) -> tuple[dict[str, int], np.ndarray]:
+    """A row for each item and its smoothed log frequencies by language."""
+    got = table.toArrow().to_pydict()
     row = {w: i for i, w in enumerate(sorted(set(got["item"])))}
     place = {lang: i for i, lang in enumerate(languages)}
     counts = np.zeros((len(row), len(languages)))
@@ -120,26 +120,31 @@ def _matrix(table: DataFrame, most: int, languages: list[str]) -> tuple[dict[str
     return row, np.log((counts + smooth) / (counts.sum(axis=0) + smooth * max(len(row), 1))).astype(np.float32)
 
 
-def train(docs: DataFrame, per_language: int = PER_LANGUAGE, most_words: int = MOST_WORDS, most_grams: int = MOST_GRAMS) -> Model:
-    """Count words and n-grams of about `per_language` documents of each language, chosen by a hash of doc_id.
+def train(docs: DataFrame, per_language: int = PER_LANGUAGE, language_chars: int = LANGUAGE_CHARS, all_chars: int = ALL_CHARS,
+          most_languages: int = MOST_LANGUAGES) -> Model:
+    """Count all words and n-grams of a sample of the labelled documents, chosen by a hash of doc_id.
 
-    Rows that are held out or have a null lang or no id are not used. The model's size is bounded by `most_words` and
-    `most_grams`; rarer words back off to n-grams.
+    Of each language about `per_language` documents are taken, or as many as hold about `language_chars` characters or its
+    part of `all_chars`, if those are fewer; whole texts are counted. Of more than `most_languages` values of lang the most
+    frequent are learned. Rows that are held out or have a null lang or no id are not used.
     """
     usable = docs.where(docs["lang"].isNotNull() & docs["doc_id"].isNotNull() & ~held_out(docs["doc_id"].cast("long")))
     usable = usable.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"),
                            F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    sizes = {r.lang: r.n for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
-    languages = sorted(sizes)
+    sizes = (usable.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+             .orderBy(F.desc("n"), "lang").limit(most_languages).collect())
+    languages = sorted(r.lang for r in sizes)
     if not languages:
         return Model([], {}, np.zeros((0, 0), np.float32), {}, np.zeros((0, 0), np.float32))
-    limit = F.create_map(*[F.lit(x) for lang in languages for x in (lang, max(1, min(1 << 20, (per_language << 20) // sizes[lang])))])
+    room = min(language_chars, all_chars // len(languages))
+    shares = {r.lang: max(1, min(1 << 20, (per_language << 20) // r.n, (room << 20) // max(r.chars, 1))) for r in sizes}
+    limit = F.create_map(*[F.lit(x) for lang in languages for x in (lang, shares[lang])])
     chosen = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < limit[F.col("lang")])
     schema = "lang string, item string, n long"
     words = durable(chosen.select("lang", "text").mapInArrow(_tally(_count_words), schema).groupBy("lang", "item").agg(F.sum("n").alias("n")))
-    pieces = durable(words.mapInArrow(_tally(_count_grams), schema).groupBy("lang", "item").agg(F.sum("n").alias("n")))
-    known, word_logs = _matrix(words.where("n > 1"), most_words, languages)
-    parts, gram_logs = _matrix(pieces, most_grams, languages)
+    pieces = words.mapInArrow(_tally(_count_grams), schema).groupBy("lang", "item").agg(F.sum("n").alias("n"))
+    known, word_logs = _matrix(words, languages)
+    parts, gram_logs = _matrix(pieces, languages)
     return Model(languages, known, word_logs, parts, gram_logs)
 
 
@@ -148,8 +153,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     A null text or one without a letter is `und` with score 0, and so is every text if the model knows no language.
     Letters that the model has never seen leave all languages equal; the first by name is given then. A null doc_id is
-    not held out. Repeated rows get equal results. An empty table gives no rows; columns other than doc_id and text are
-    ignored.
+    not held out. Repeated rows get equal results. A text of any length is scored whole, each word once it is met. An
+    empty table gives no rows; columns other than doc_id and text are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -165,13 +170,19 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of `docs`, all columns as they are, whose text is in some language: neither null nor without letters."""
-    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+    """The rows of `docs` whose text is in some language, neither null nor without letters, with `lang` as predicted.
+
+    All other columns stay as they are. A model of no language rejects nothing and leaves lang alone, as it cannot tell.
+    """
+    if not model.languages:
+        return docs
+    shared, at, to = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text"), docs.columns.index("lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, memory = shared.value, {}
         for batch in batches:
-            named = [own.predict(t or "", memory)[0] != UNKNOWN for t in batch.column(at).to_pylist()]
-            yield batch.filter(pa.array(named, pa.bool_()))
+            named = [own.predict(t or "", memory)[0] for t in batch.column(at).to_pylist()]
+            whole = batch.set_column(to, batch.schema.field(to), pa.array(named, batch.schema.field(to).type))
+            yield whole.filter(pa.array([x != UNKNOWN for x in named], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
