@@ -15,7 +15,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from thermocline.llm import bpe, language, line_dedup, mixing, simhash  # noqa: E402
 from thermocline.llm.common import NO_ID  # noqa: E402
 from thermocline.llm.queries import word_bpe  # noqa: E402
-from thermocline.session import scratch_path, tune  # noqa: E402
+from thermocline.session import remove_path, scratch_path, tune  # noqa: E402
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: No document is passed over more than this often when sources are mixed.
@@ -29,16 +29,12 @@ def _row_key(docs: DataFrame) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language; null texts and texts without a letter go. Nothing else is changed.
+    """Documents in a language, with `lang` as predicted from the text; null texts and texts without a letter go.
 
-    A model of no language at all rejects nothing, as it cannot tell.
+    A model of no language at all rejects nothing and leaves lang alone, as it cannot tell.
     """
     tune(spark)
-    model = language.train(docs)
-    if not model.languages:
-        return docs.select(*COLUMNS)
-    kept = language.keep(docs.select(*COLUMNS), model)
-    return kept.select(*COLUMNS)
+    return language.keep(docs.select(*COLUMNS), language.train(docs)).select(*COLUMNS)
 
 
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,14 +61,17 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document once, and documents of small sources again, so that sources get temperature weights.
 
-    The budget is the least that passes every source once, and no document comes more often than MOST_PASSES.
+    The budget is the least that passes every source once, and no document comes more often than MOST_PASSES. Rows are in
+    the order of the mixture: ranges of positions, so that every prefix of the written files holds the sources in
+    proportion.
     """
     tune(spark)
     draws = (mixing.draw(docs, max_repeat=MOST_PASSES)
-             .select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.col("text_key").alias("_key"), F.col("source").alias("_source")))
+             .select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.col("text_key").alias("_key"), F.col("source").alias("_source"),
+                     "position", "block", "draw"))
     rows = _row_key(docs)
     same = (rows["_id"] == draws["_id"]) & (rows["_key"] == draws["_key"]) & rows["source"].eqNullSafe(draws["_source"])
-    return rows.join(draws, same).select(*COLUMNS)
+    return rows.join(draws, same).orderBy("position", "_source", "block", "draw", rows["_id"], rows["_key"]).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -88,15 +87,21 @@ STAGES = [
     ("encode", encode),
 ]
 
-#: SQL has no SimHash, no fitted language model and no BPE; tests compare each stage with a brute-force version.
+#: SQL has no SimHash, no fitted language model and no BPE; tests compare each stage and the whole run with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of `sf_dir`, each written as Parquet in the shared folder and read by the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the documents of `sf_dir`, each written as Parquet in the shared folder and read by the next.
+
+    A stage's table is removed once the next one's is written; that of the last stage but one stays, as the result is read
+    from it.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         path = scratch_path(spark, name)
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if before:
+            remove_path(spark, before)
+        docs, before = spark.read.parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)
