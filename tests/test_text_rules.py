@@ -116,9 +116,52 @@ def test_intent_close_second_and_model_scores(spark):
     "WITH w AS (TABLE secrets) SELECT * FROM w",
     "SELECT basin FROM profiles WHERE basin IN (TABLE secrets)",
     "SELECT * FROM profiles, range(5)",
+    "SELECT * FROM (SELECT basin FROM profiles) a, IDENTIFIER('sec' || 'rets') s",
+    "SELECT * FROM (SELECT basin FROM profiles) a, IDENTIFIER('secrets') s",
+    "SELECT basin FROM profiles WHERE 's3cret' IN (SELECT id FROM (SELECT 1) z, IDENTIFIER(concat('sec','rets')))",
+    "SELECT basin FROM profiles WHERE EXISTS (SELECT 1 FROM (SELECT 1) z, LATERAL (SELECT * FROM IDENTIFIER('secrets')))",
+    "WITH profiles AS (SELECT id AS basin FROM IDENTIFIER('secrets')) SELECT * FROM profiles",
+    "WITH w AS (SELECT 1) FROM w INSERT INTO stored SELECT *",
+    "SELECT * FROM profiles, parquet.`/root`",
 ])
 def test_execution_follows_the_parser(spark, statement):
     spark.range(3).selectExpr("CAST(id AS int) AS basin").createOrReplaceTempView("profiles")
     spark.range(3).createOrReplaceTempView("secrets")
     with pytest.raises(ValueError):
         G.guarded_sql(spark, statement)
+
+
+@pytest.mark.parametrize("sql, accepted", [
+    ("SELECT count(*) AS n FROM profiles WHERE vertical_sampling_scheme = 'drop -- update; /* x */'", True),
+    ("SELECT 'it''s a merge' AS a, \"call me\" AS b FROM profiles", True),
+    (r"SELECT 'a\'; drop' AS a FROM profiles", True),
+    ("SELECT 'open FROM profiles; DROP TABLE profiles", False),
+    (r"SELECT r'\' FROM profiles; DROP TABLE x WHERE a = '", False),
+    ("SELECT 'x' FROM profiles -- '", False),
+    ("SELECT '" + "x" * 100_000 + "' AS a FROM profiles", True),
+])
+def test_literals_break_no_rule(spark, sql, accepted):
+    assert (_audit(spark, sql, "word") is None) == accepted
+    assert (G.check(spark, sql) is None) == accepted
+
+
+def test_a_check_runs_no_job(spark):
+    spark.range(3).selectExpr("CAST(id AS int) AS basin").createOrReplaceTempView("profiles")
+    sc = spark.sparkContext
+    sc.setJobGroup("guard", "statements are judged without a job")
+    try:
+        for sql in ("SELECT basin FROM profiles", "DROP TABLE profiles", None, "WITH w AS (SELECT basin FROM profiles) SELECT * FROM w"):
+            assert (G.check(spark, sql) is None) == bool(sql and not sql.startswith("DROP"))
+        G.guarded_sql(spark, "SELECT basin, count(*) AS n FROM profiles GROUP BY basin")
+        assert not sc.statusTracker().getJobIdsForGroup("guard")
+        spark.range(3).count()
+        assert sc.statusTracker().getJobIdsForGroup("guard")
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_checks_agree_with_the_audit_of_a_log(spark):
+    statements = ["SELECT 1 FROM profiles", "SELECT a FROM profiles, secrets", "", None, "SELECT 1; SELECT 2", "select x from profiles where y = 'drop'"]
+    for mode in ("word", "substring"):
+        log = G.audit(spark.createDataFrame([(x,) for x in statements], "sql string"), mode=mode).collect()
+        assert [None if r.accepted else r.reason for r in log] == [G.check(spark, x, mode) for x in statements]

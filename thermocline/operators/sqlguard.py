@@ -21,6 +21,18 @@ _ESCAPES = ["reflect", "java_method", "try_reflect", "read_files", "load_file"]
 _NAME_LIST = r"(\w+(?:\s+(?:as\s+)?(?!(?:where|join|inner|left|right|full|cross|on|group|order|limit|having|union|offset)\b)\w+)?(?:\s*,\s*\w+(?:\s+(?:as\s+)?\w+)?)*)"
 
 
+# String literals as Spark reads them, quotes doubled or escaped inside.
+_LITERAL = r"""'[^'\\]*+(?:(?:\\.|'')[^'\\]*+)*+'|"[^"\\]*+(?:(?:\\.|"")[^"\\]*+)*+\""""
+
+
+def without_literals(sql: Column) -> Column:
+    """The statement with empty string literals, so that their contents break no rule.
+
+    Raw literals (r'...') end elsewhere; a statement that may hold one is taken as it is.
+    """
+    return F.when(sql.rlike(r"(?i)\br['\"]"), sql).otherwise(F.regexp_replace(sql, _LITERAL, "''"))
+
+
 def _occurrences(text: Column, word: str) -> Column:
     return ((F.length(text) - F.length(F.replace(text, F.lit(word), F.lit("")))) / len(word)).cast("int")
 
@@ -49,8 +61,10 @@ def verdict(sql: Column, mode: str = "word", tables=ALLOWED_TABLES) -> Column:
     """Why a statement is refused, or that it is accepted; the first broken rule counts."""
     if mode not in ("word", "substring"):
         raise ValueError("mode must be 'word' or 'substring'")
-    lowered = F.lower(F.trim(sql))
     word = mode == "word"
+    if word:
+        sql = without_literals(sql)
+    lowered = F.lower(F.trim(sql))
 
     def whole(keyword):
         return keyword + ("" if keyword.endswith("_") else r"\b")
@@ -98,23 +112,45 @@ def query_type(sql: Column) -> Column:
 
 
 def check(spark: SparkSession, sql: str, mode: str = "word") -> str:
-    """Reason for refusing one statement, None when it is accepted."""
-    row = audit(spark.createDataFrame([(sql,)], "sql string"), mode=mode).first()
-    return None if row.accepted else row.reason
+    """Reason for refusing one statement, None when it is accepted. The optimizer evaluates the rules; no job runs."""
+    one = spark.sql("SELECT * FROM VALUES (CAST(:statement AS string)) AS t(sql)", args={"statement": sql})
+    row = one.select(verdict(F.col("sql"), mode).alias("reason")).first()
+    return None if row.reason == ACCEPTED else row.reason
 
 
 def outside_relations(spark: SparkSession, sql: str, tables=ALLOWED_TABLES) -> list:
-    """Relations that a statement reads beyond ``tables``, as Spark's own parser finds them.
+    """What a statement reads or does beyond the views ``tables``, in the plan that Spark's analyser makes of it.
 
-    A WITH name counts as allowed only if no table or view has that name, since it may be read before it hides one.
-    Table functions are never allowed.
+    Every leaf of the plan and of its subqueries must lie in one of these temporary views, or be a literal row or the use
+    of a WITH name, whose definition is part of the plan. Names are resolved by then, whether they were spelled out, in
+    comma lists or made up by IDENTIFIER. Commands are not run and not allowed.
     """
-    tree = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql).treeString()
-    named = {n.strip().lower() for group in re.findall(r"(?m)^[ :+|-]*CTE \[([^\]]*)\]", tree) for n in group.split(",")}
-    private = {n for n in named if n and not spark.catalog.tableExists(n)}
-    read = [n.strip().lower() for n in re.findall(r"UnresolvedRelation \[([^\]]*)\]", tree)]
-    functions = re.findall(r"UnresolvedTableValuedFunction \[([^\]]*)\]", tree)
-    return sorted({n for n in read if n not in tables and n not in private} | {f"{f}()" for f in functions})
+    jvm, state = spark._jvm, spark._jsparkSession.sessionState()
+    parsed = state.sqlParser().parsePlan(sql)
+    skip = jvm.org.apache.spark.sql.execution.CommandExecutionMode.SKIP()
+    command = jvm.java.lang.Class.forName("org.apache.spark.sql.catalyst.plans.logical.Command")
+    beyond, todo = set(), [state.executePlan(parsed, skip).analyzed()]
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "View":
+            name = node.desc().identifier().unquotedString().lower()
+            if not node.isTempView() or name not in tables:
+                beyond.add(name)
+            continue
+        children, inner = node.children(), node.subqueries()
+        if command.isInstance(node) or (children.isEmpty() and kind not in _OWN_LEAVES):
+            beyond.add(_relation_name(node, kind))
+        todo += [x.apply(i) for x in (children, inner) for i in range(x.size())]
+    return sorted(beyond)
+
+
+#: Leaves that hold no data but the statement's own.
+_OWN_LEAVES = {"OneRowRelation", "OneRowRelation$", "LocalRelation", "CTERelationRef"}
+
+
+def _relation_name(node, kind: str) -> str:
+    return f"{kind.rstrip('$').lower()}()" if kind in ("Range", "ResolvedTableValuedFunction") else node.nodeName()
 
 
 def guarded_sql(spark: SparkSession, sql: str, cap: int = None, mode: str = "word") -> DataFrame:
