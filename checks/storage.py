@@ -57,6 +57,28 @@ def _(spark, sf_dir):
             .withColumnRenamed("timestamp", "observed_at"))
 
 
+_CURVE = ("latitude", "longitude", "timestamp")
+_BOX = "latitude BETWEEN -20 AND 35 AND longitude BETWEEN -60 AND 20"
+
+
+@query("profiles_ddl_box", f"""WITH {SQL_PROFILES} SELECT {SEVEN}, "timestamp" AS observed_at FROM profiles
+WHERE {_BOX} AND "timestamp" >= TIMESTAMP '1995-01-01 00:00:00' AND "timestamp" < TIMESTAMP '1997-01-01 00:00:00'""")
+def _(spark, sf_dir):
+    """Profiles laid out along a curve through place and time, then read by a box and a time range."""
+    path = scratch_path(spark, "curve")
+    files.write_clustered(profiles(spark, sf_dir), path, curve=_CURVE, files=16)
+    inside = "timestamp >= TIMESTAMP_NTZ '1995-01-01 00:00:00' AND timestamp < TIMESTAMP_NTZ '1997-01-01 00:00:00'"
+    return files.read_profiles(spark, path).filter(f"{_BOX} AND {inside}").withColumnRenamed("timestamp", "observed_at")
+
+
+@query("profiles_ddl_cycle", f"""WITH {SQL_PROFILES} SELECT {SEVEN}, "timestamp" AS observed_at FROM profiles WHERE cycle_number = 417""")
+def _(spark, sf_dir):
+    """The same layout, read by one cycle."""
+    path = scratch_path(spark, "curve")
+    files.write_clustered(profiles(spark, sf_dir), path, curve=_CURVE, files=16)
+    return files.read_profiles(spark, path).filter("cycle_number = 417").withColumnRenamed("timestamp", "observed_at")
+
+
 @query("q_reconcile", f"""WITH {SQL_TYPED}, kept AS (SELECT count(*) AS n FROM typed WHERE {COMPLETE} AND {IN_RANGE})
 SELECT n AS processed_rows, n AS stored_rows, n AS exported_rows, CAST(0 AS bigint) AS stored_shortfall, CAST(0 AS bigint) AS exported_shortfall, 1 AS passed FROM kept""")
 def _(spark, sf_dir):

@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from thermocline.functions.curve import cell, z_order
 from thermocline.schema import PROFILE_COLUMNS, PROFILE_SCHEMA
 
 CSV_OPTIONS = {"header": "true", "escape": '"', "enforceSchema": "false"}
@@ -64,11 +65,42 @@ def drop_sources(spark: SparkSession, path: str, names) -> None:
         place.getFileSystem(conf).delete(place, True)
 
 
-def write_clustered(df: DataFrame, path: str, order=("timestamp", "pressure_decibar")) -> None:
-    """Profiles laid out for range filters: files cover disjoint time ranges, so scans skip row
-    groups by their minimum and maximum. Pressure is part of the range key to cut a crowded time."""
-    ranged = df.repartitionByRange(*order, "latitude", "longitude")
-    ranged.sortWithinPartitions(*order).write.mode("overwrite").parquet(path)
+def write_clustered(df: DataFrame, path: str, order=("timestamp", "pressure_decibar"), curve=None, files: int = None,
+                    row_group_bytes: int = 16 << 20, bloom=("cycle_number", "basin")) -> None:
+    """Profiles laid out so that scans skip files and row groups.
+
+    Without ``curve``, files cover disjoint ranges of ``order``, by default time; pressure is part of the range key to cut
+    a crowded time. ``curve`` names two or three columns (say latitude, longitude and timestamp) whose Z-order takes the
+    place of a range: a filter on any of them, or a box of all, meets few row groups by their minimum and maximum.
+    Columns of ``bloom`` get a Bloom filter in each row group that has no full dictionary of them, so a search for one
+    value skips groups whose range holds it by chance. ``files`` sets how many ranges are made, else Spark's setting.
+    """
+    keys = [_curve_key(df, curve)] if curve else []
+    rest = ["latitude", "longitude"] if not curve else []
+    # The order after the key settles ties, so a crowded place is cut too.
+    by = [*keys, *[F.col(c) for c in order], *[F.col(c) for c in rest]]
+    ranged = df.repartitionByRange(files, *by) if files else df.repartitionByRange(*by)
+    writer = ranged.sortWithinPartitions(*keys, *order).write.mode("overwrite").option("parquet.block.size", row_group_bytes)
+    for column in bloom:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
+    writer.parquet(path)
+
+
+#: Ends of the dimensions that have fixed ones.
+CURVE_ENDS = {"latitude": (-90.0, 90.0), "longitude": (-180.0, 180.0)}
+
+
+def _curve_key(df: DataFrame, columns) -> Column:
+    """Z-order of the columns; ends that are not fixed come from one aggregate over the table."""
+    def number(name):
+        return F.col(name).cast("timestamp").cast("double") if dict(df.dtypes)[name].startswith("timestamp") else F.col(name).cast("double")
+
+    free = [c for c in columns if c not in CURVE_ENDS]
+    ends = dict(CURVE_ENDS)
+    if free:
+        found = df.agg(*[f(number(c)).alias(f"{f.__name__}_{c}") for c in free for f in (F.min, F.max)]).first()
+        ends.update({c: (found[f"min_{c}"] or 0.0, found[f"max_{c}"] or 0.0) for c in free})
+    return z_order(*[cell(number(c), *ends[c]) for c in columns])
 
 
 def write_chunks_json(chunks: DataFrame, path: str, limit: int) -> None:
