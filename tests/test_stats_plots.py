@@ -138,3 +138,31 @@ def test_matrix_diagonal_is_the_histogram_of_complete_cases(spark):
     for c in ("a", "b"):
         want = sorted((r.bin, r.low, r.high, r.n) for r in P.histogram(whole, c, 3).collect())
         assert sorted((r.bin, r.low, r.high, r.n) for r in got.filter(F.col("column_name") == c).collect()) == want
+
+
+def test_selection_of_a_median_without_a_window(spark, monkeypatch):
+    import random
+    rng = random.Random(2)
+    for kind, values in (("double", [rng.gauss(0, 10 ** rng.randint(-8, 8)) for _ in range(3001)]),
+                         ("double", [float("inf"), float("-inf"), 1.0, 1.0, float("nan"), 2.0, 1e308, -1e308]), ("double", [3.0] * 9),
+                         ("long", [2 ** 60 + i for i in range(50)]), ("int", [5]), ("double", [5e-324, 0.0, -0.0, 1e-320])):
+        df = spark.createDataFrame([(v,) for v in [*values, None]], f"v {kind}")
+        want = sorted(values, key=lambda v: (v != v, v))[len(values) // 2]
+        assert S.upper_median(df, "v").first()[0] == want, (kind, want)
+    assert S.upper_median(spark.createDataFrame([(None,)], "v double"), "v").first()[0] is None
+
+
+def test_a_median_of_a_million_distinct_doubles(spark, capsys):
+    df = spark.range(1_000_000).select((F.xxhash64("id") / 3.0).alias("v"))
+    want = df.orderBy("v").offset(500_000).first()[0]
+    found = S.upper_median(df, "v")
+    found.explain()
+    assert "Window" not in capsys.readouterr().out and found.first()[0] == want
+
+
+@pytest.mark.parametrize("odd", [float("nan"), float("inf"), float("-inf")])
+def test_values_without_a_place_leave_histograms_alone(spark, odd):
+    df = spark.createDataFrame([(float(i), float(-i)) for i in range(10)] + [(odd, odd), (None, 1.0)], "a double, b double")
+    clean = spark.createDataFrame([(float(i), float(-i)) for i in range(10)], "a double, b double")
+    assert sorted(map(tuple, P.histogram(df, "a", 5).collect())) == sorted(map(tuple, P.histogram(clean, "a", 5).collect()))
+    assert sorted(map(tuple, P.scatter_matrix_diagonal(df, ["a", "b"], 5).collect())) == sorted(map(tuple, P.scatter_matrix_diagonal(clean, ["a", "b"], 5).collect()))

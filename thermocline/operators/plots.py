@@ -84,9 +84,12 @@ def series_bucketed(df: DataFrame, x: str, y: str, buckets: int = SERIES_BUCKETS
 
 
 def histogram(df: DataFrame, column: str, bins: int = HISTOGRAM_BINS) -> DataFrame:
-    """Equal-width bins from minimum to maximum, the last one closed; empty bins are kept."""
+    """Equal-width bins from minimum to maximum, the last one closed; empty bins are kept.
+
+    NaN and infinite values have no place between edges and count nowhere.
+    """
     _require(df, column)
-    values = df.select(F.col(column).cast("double").alias("v")).filter(F.col("v").isNotNull())
+    values = df.select(F.col(column).cast("double").alias("v")).filter(_finite("v"))
     # One value only: a unit interval around it.
     span = values.agg(F.min("v").alias("lo"), F.max("v").alias("hi")).select(
         F.when(F.col("lo") == F.col("hi"), F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"),
@@ -101,6 +104,11 @@ def histogram(df: DataFrame, column: str, bins: int = HISTOGRAM_BINS) -> DataFra
     return edges.join(counts, "bin", "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
+def _finite(name: str) -> Column:
+    """False for null, NaN and infinite values."""
+    return F.coalesce(~F.isnan(name) & (F.abs(name) < float("inf")), F.lit(False))
+
+
 def depth_profile(df: DataFrame, depth="pressure_decibar", values=None) -> DataFrame:
     """(depth, variable, value) points, nulls dropped per pair."""
     values = values or [c for c in ("temperature_degc", "salinity_psu") if c in df.columns]
@@ -149,10 +157,13 @@ def scatter_matrix(df: DataFrame, columns=None) -> DataFrame:
 
 
 def scatter_matrix_diagonal(df: DataFrame, columns=None, bins: int = HISTOGRAM_BINS) -> DataFrame:
-    """The histograms of the matrix diagonal: bins of each column over the complete cases, empty ones included."""
+    """The histograms of the matrix diagonal: bins of each column over the complete cases, empty ones included.
+
+    NaN and infinite values of a column count nowhere in its histogram.
+    """
     columns = matrix_columns(df, columns)
     values = (scatter_points(df, columns).select([F.col(c).cast("double").alias(c) for c in columns])
-              .unpivot([], columns, "column_name", "v"))
+              .unpivot([], columns, "column_name", "v").filter(_finite("v")))
     span = values.groupBy("column_name").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).select(
         "column_name", F.when(F.col("lo") == F.col("hi"), F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"),
         F.when(F.col("lo") == F.col("hi"), F.lit(1.0)).otherwise(F.col("hi") - F.col("lo")).alias("width"))

@@ -1,20 +1,32 @@
 """Statistics of query results and of retrieved chunks."""
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from thermocline.session import durable
+
+# Labels of score bins and latitude bands.
 SCORE_BINS = ["0.0-0.2", "0.2-0.4", "0.4-0.6", "0.6-0.8", "0.8-1.0"]
 LATITUDE_BANDS = ["North (>30°)", "Tropical (30°S-30°N)", "South (<-30°)"]
 KEY_COLUMNS = ["basin", "cycle_number", "timestamp"]
 
 
+#: Parts that one pass of a selection cuts the remaining range into.
+SELECTION_PARTS = 256
+
+
 def upper_median(df: DataFrame, value: str, by=(), weight: str = None) -> DataFrame:
-    """Element at sorted position n // 2, per group.
+    """Element at sorted position n // 2, per group; of a table without groups by `select_rank`.
 
-    Equal values are counted before the running sum, so the window sees distinct values only.
+    Equal values are counted before the running sum of a group, so its window sees distinct values only.
     """
     by = list(by)
     n = F.sum(weight) if weight else F.count(F.lit(1))
     counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(n.alias("__n"))
+    if not by:
+        found = select_rank(durable(counts), value, "__n")
+        kind = df.schema[value].dataType
+        return df.sparkSession.createDataFrame([(found,)], T.StructType([T.StructField("median_upper", kind)]))
     group = Window.partitionBy(*by)
     running = F.sum("__n").over(group.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
     total = F.sum("__n").over(group)
@@ -23,6 +35,40 @@ def upper_median(df: DataFrame, value: str, by=(), weight: str = None) -> DataFr
             .groupBy(*by).agg(F.min(value).alias("median_upper")))
 
 
+def select_rank(counts: DataFrame, value: str, weight: str, rank: int = None):
+    """The value at a position (by default half of all, rounded down) of sorted values that stand `weight` times each.
+
+    Distributed selection: every pass counts the remaining range in equal parts by one aggregate and goes on in the part
+    that holds the position, between the least and the greatest value there. Neither a sort nor a window is needed, and
+    the driver sees SELECTION_PARTS rows a pass. NaN counts as the greatest. None without values.
+    """
+    most = float(np.finfo(float).max)
+    x = F.col(value).cast("double")
+    x = F.when(F.isnan(x), most).otherwise(F.greatest(F.least(x, F.lit(most)), F.lit(-most)))
+    at = counts.select(x.alias("x"), F.col(value).alias("value"), F.col(weight).alias("n"))
+    total, low, high = at.agg(F.sum("n"), F.min("x"), F.max("x")).first()
+    if not total:
+        return None
+    rank = total // 2 if rank is None else rank
+    while low < high:
+        # Halves of the bounds are taken first, since their difference may not be a double.
+        place = F.floor(F.try_divide(F.col("x") / 2 - low / 2, F.lit(high / 2 - low / 2)) * SELECTION_PARTS)
+        parts = (at.where(F.col("x").between(low, high)).groupBy(F.least(place, F.lit(SELECTION_PARTS - 1)).alias("part"))
+                 .agg(F.sum("n").alias("n"), F.min("x").alias("low"), F.max("x").alias("high")).orderBy("part").collect())
+        for part in parts:
+            if rank < part.n:
+                break
+            rank -= part.n
+        if (part.low, part.high) == (low, high):
+            break
+        low, high = part.low, part.high
+    # Whole numbers beyond 2^53 may share a double; the few that do are told apart here.
+    for row in at.where(F.col("x").between(low, high)).orderBy("value").toLocalIterator():
+        if rank < row.n:
+            return row.value
+        rank -= row.n
+
+
 def numeric_columns(df: DataFrame):
     return [f.name for f in df.schema if isinstance(f.dataType, T.NumericType)]
 
