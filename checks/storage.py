@@ -3,13 +3,13 @@
 from pyspark.sql import functions as F
 
 from checks.chunks import SQL_CHUNKS, chunks
-from checks.fixture import RAW, SQL_PROFILES, SQL_TYPED, centroids, profiles, raw_files, raw_rows
+from checks.fixture import RAW, SQL_PROFILES, SQL_RAW, SQL_TYPED, centroids, profiles, raw_files, raw_rows
 from checks.quality import COMPLETE, FILLED, IN_RANGE, SECONDS, SEVEN, clean_profiles, with_seconds
 from checks.registry import query
 from checks.search import _IP, _RESULTS, _VISIBLE, SQL_INDEX, SQL_QUERIES, _ranked, index, results
 from thermocline.operators import quality as Q
 from thermocline.operators.vectors import exact_topk
-from thermocline.plans.ingest import ingest_directory
+from thermocline.plans.ingest import ingest_directory, ingest_totals
 from thermocline.session import scratch_path
 from thermocline.sources import files, index as index_files
 from thermocline.streaming.ingest import ingest_available
@@ -98,6 +98,36 @@ def _(spark, sf_dir):
                        F.min("intact").alias("intact"))
 
 
+_TOKENS = ", ".join(f"'{t}'" for t in Q.NULL_TOKENS)
+
+
+@query("q_ingest_errors", f"""WITH {SQL_RAW}, {SQL_TYPED} SELECT CAST(6 AS bigint) AS files, CAST(3 AS bigint) AS files_failed, count(*) + 4 AS rows_read, CAST(1 AS bigint) AS rows_malformed,
+(SELECT count(*) FROM raw WHERE trim("timestamp") NOT IN ({_TOKENS})) - count("timestamp") + 1 AS rows_unparsed, count(*) FILTER (WHERE {COMPLETE} AND {IN_RANGE}) + 2 AS rows_kept, count(*) FILTER (WHERE {COMPLETE} AND {IN_RANGE}) + 2 AS rows_stored,
+CAST(3 AS bigint) AS files_not_intact, 'partial' AS status FROM typed""")
+def _(spark, sf_dir):
+    """A run over files with columns in another order, one column more, a truncated row, and files that cannot be used."""
+    folder = scratch_path(spark, "mixed")
+    rows = raw_rows(spark, sf_dir).drop("source_name")
+    part = F.pmod(F.xxhash64(*rows.columns), F.lit(2)) == 0
+    rows.filter(part).coalesce(1).write.mode("append").option("header", True).option("escape", '"').csv(folder)
+    rows.filter(~part).withColumn("ship", F.lit("x")).select("ship", *reversed(rows.columns)).coalesce(1).write.mode("append").option(
+        "header", True).option("escape", '"').csv(folder)
+    good = "1,2024-02-01 00:00:00,3,s,1,2,3,4,5"
+    head = "basin,timestamp,cycle_number,vertical_sampling_scheme,longitude,latitude,pressure_decibar,salinity_psu,temperature_degC"
+    for name, text in {"cut_raw.csv": f"{head}\n{good}\n1,13/02/2024 07:30 PM,3,s,1,2,3,4,5\n1,some day,3,s,1,2,3,4,5\n1,2024-02-01,3,s,1,2\n",
+                       "short_raw.csv": "basin,timestamp\n1,2024-02-01\n", "empty_raw.csv": "", "junk_raw.csv": "\x00\x01,\"\n\x02"}.items():
+        _put(spark, f"{folder}/{name}", text)
+    totals = ingest_totals(ingest_directory(spark, folder, scratch_path(spark, "stored")))
+    return totals.select("files", "files_failed", "rows_read", "rows_malformed", "rows_unparsed", "rows_kept", "rows_stored", "files_not_intact", "status")
+
+
+def _put(spark, path, text):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = place.getFileSystem(spark._jsc.hadoopConfiguration()).create(place)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
 @query("st_ingest", f"WITH {SQL_TYPED} SELECT {FILLED}, {SECONDS} FROM typed WHERE {COMPLETE} AND {IN_RANGE}")
 def _(spark, sf_dir):
     """The same files through the stream: equal to the batch."""

@@ -23,6 +23,15 @@ def _raw(spark, *changes):
     ("2024-01-02T03:04:05.250Z", "2024-01-02 03:04:05.250000"),
     ("2024-01-02", "2024-01-02 00:00:00"),
     ("2024/01/02", "2024-01-02 00:00:00"),
+    ("13/01/2024 10:00", "2024-01-13 10:00:00"),
+    ("01/13/2024 10:00", "2024-01-13 10:00:00"),
+    ("02.01.2024", "2024-01-02 00:00:00"),
+    ("02.01.2024 03:04:05", "2024-01-02 03:04:05"),
+    ("01/02/2024 03:04 PM", "2024-01-02 15:04:00"),
+    ("1/2/2024 12:04:05 am", "2024-01-02 00:04:05"),
+    ("Jan 2 2024", "2024-01-02 00:00:00"),
+    ("January 2 2024 10:00", "2024-01-02 10:00:00"),
+    ("13/13/2024", None),
     ("01/02/2024", "2024-01-02 00:00:00"),
     ("02-Jan-2024", "2024-01-02 00:00:00"),
     ("20240102", "2024-01-02 00:00:00"),

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from thermocline import session
 from thermocline.operators.chunking import chunk_profiles
 from thermocline.operators.quality import clean
-from thermocline.plans.ingest import ingest_directory
+from thermocline.plans.ingest import ingest_directory, ingest_totals
 from thermocline.plans.retrieval import build_index
 from thermocline.sources import files, index as indexes, jdbc
 from thermocline.streaming.ingest import ingest_available
@@ -87,8 +87,75 @@ def test_missing_columns_are_named(spark, tmp_path):
 
 
 def test_processed_name(spark):
-    df = spark.createDataFrame([("a_2025_raw.csv",), ("b.csv",), ("c.d_raw.csv",)], "n string")
-    assert [r[0] for r in df.select(files.processed_name(F.col("n"))).collect()] == ["a_2025_processed", "b", "c.d_processed"]
+    names = ["a_2025_raw.csv", "b.csv", "c.d_raw.csv", "a_2025_processed.csv"]
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    assert [r[0] for r in df.select(files.processed_name(F.col("n"))).collect()] == ["a_2025_processed", "b", "c.d_processed", "a_2025_processed.csv"]
+
+
+def test_files_of_one_stored_name_are_kept_apart(spark, raw_dir, tmp_path):
+    _write(raw_dir, "data_2025-02_processed.csv", ["4,2025-02-03,4,s,1,2,3,4,5", "5,2025-02-03,4,s,1,2,3,4,5"])
+    summary = {r.source_name: r for r in ingest_directory(spark, str(raw_dir), str(tmp_path / "out")).collect()}
+    assert [(summary[n].rows_stored, summary[n].intact) for n in ("data_2025-02_processed", "data_2025-02_processed.csv")] == [(1, 1), (2, 1)]
+
+
+def test_one_bad_file_does_not_end_the_run(spark, raw_dir, tmp_path):
+    """Other orders, further columns, byte order marks; short, empty and binary files; rows with too few fields."""
+    out = str(tmp_path / "out")
+    ingest_directory(spark, str(raw_dir), out)
+    _write(raw_dir, "order_raw.csv", ["x,7.5,5,4,3,2,1,s,4,2025-03-01,1"], header=["\ufeffship", "speed", *HEADER[::-1]])
+    _write(raw_dir, "cut_raw.csv", ["1,2025-04-01,4,s,1,2,3,4,5", "1,2025-04-01,4,s,1", "1,2025-04-01,4,s,1,2,3,4,5,6"])
+    _write(raw_dir, "a b+c_raw.csv", ["2,2025-04-01,4,s,1,2,3,4,5"])
+    _write(raw_dir, "short_raw.csv", ["1,2"], header=HEADER[:2])
+    _write(raw_dir, "twice_raw.csv", ["1,2025-04-01,4,s,1,2,3,4,5,1"], header=[*HEADER, "basin"])
+    (raw_dir / "empty_raw.csv").write_text("")
+    (raw_dir / "data_2025-01_raw.csv").write_bytes(bytes(range(256)) * 20)  # was good before
+    summary = ingest_directory(spark, str(raw_dir), out)
+    got = {r.source_name: r for r in summary.collect()}
+    assert {n: r.error for n, r in got.items() if r.error} == {
+        "short_processed": f"columns missing: {', '.join([*HEADER[2:8], 'temperature_degc'])}", "twice_processed": "columns repeated: basin",
+        "empty_processed": "the file has no header line", "data_2025-01_processed": got["data_2025-01_processed"].error}
+    assert got["data_2025-01_processed"].rows_stored == 2 and got["data_2025-01_processed"].intact == 0  # what was stored stays
+    assert (got["cut_processed"].rows_read, got["cut_processed"].rows_malformed, got["cut_processed"].rows_kept) == (3, 2, 1)
+    row = files.read_profiles(spark, out).filter("source_name = 'order_processed'").first()
+    assert (row.basin, row.cycle_number, row.longitude, row.latitude, row.pressure_decibar, row.salinity_psu, row.temperature_degc) == (1, 4, 1.0, 2.0, 3.0, 4.0, 5.0)
+    totals = ingest_totals(summary).first()
+    assert got["a b+c_processed"].rows_stored == 1
+    assert (totals.files, totals.files_failed, totals.status, totals.rows_malformed) == (8, 4, "partial", 2)
+
+
+def test_totals_of_no_files(spark, tmp_path):
+    (tmp_path / "raw").mkdir()
+    assert ingest_totals(ingest_directory(spark, str(tmp_path / "raw"), str(tmp_path / "out"))).first().status == "empty"
+
+
+def test_raw_text_is_parsed_once(spark, raw_dir, tmp_path, monkeypatch):
+    """Written rows and all counts come from one parse: the staged table is the only thing that reads CSV."""
+    from thermocline.plans import ingest
+    accumulated = spark.sparkContext.accumulator(0)
+
+    def counting(spark, directory, read=files.read_csv_files):
+        rows, found = read(spark, directory)
+
+        def tick(batches):
+            for batch in batches:
+                accumulated.add(batch.num_rows)
+                yield batch
+
+        return rows.mapInArrow(tick, rows.schema), found
+
+    monkeypatch.setattr(ingest, "read_csv_files", counting)
+    summary = ingest.ingest_directory(spark, str(raw_dir), str(tmp_path / "out"))
+    assert sum(r.rows_read for r in summary.collect()) == 5 and accumulated.value == 5
+
+
+def test_days_and_months_are_told_apart_by_file(spark, raw_dir, tmp_path):
+    _write(raw_dir, "days_raw.csv", [f"1,{t},4,s,1,2,3,4,5" for t in ("13/01/2024 10:00", "02/01/2024", "soon")])
+    _write(raw_dir, "months_raw.csv", [f"2,{t},4,s,1,2,3,4,5" for t in ("01/13/2024 10:00", "02/01/2024 03:04 pm")])
+    got = {r.source_name: r for r in ingest_directory(spark, str(raw_dir), str(tmp_path / "out")).collect()}
+    assert (got["days_processed"].rows_unparsed, got["days_processed"].rows_dropped, got["days_processed"].rows_kept) == (1, 1, 2)
+    rows = files.read_profiles(spark, str(tmp_path / "out")).filter("year(timestamp) = 2024")
+    times = sorted(str(r.timestamp) for r in rows.select(F.col("timestamp").cast("string").alias("timestamp")).collect())
+    assert times == ["2024-01-02 00:00:00", "2024-01-13 10:00:00", "2024-01-13 10:00:00", "2024-02-01 15:04:00"]
 
 
 def test_row_limit(spark):

@@ -16,16 +16,22 @@ NULL_TOKENS = [
 # seconds and a fraction of them; a zone may follow it.
 _CLOCK = "[ ]['T'][ ]H:mm[:ss][.SSSSSS][.SSSSS][.SSSS][.SSS][.SS][.S][ ][XXX][X]"
 _CLOCK_SHAPE = r"([T ]\d{1,2}:\d{2}(:\d{2}(\.\d{1,6})?)? ?(Z|[+-]\d{2}:?\d{2})?)?$"
+_HALF_DAY = "[ ]['T']h:mm[:ss][ ]a"
+_HALF_DAY_SHAPE = r"[T ]\d{1,2}:\d{2}(:\d{2})? ?[AaPp][Mm]$"
 _DATES = {
     "y/M/d": r"^\d{4}/\d{1,2}/\d{1,2}",
-    "M/d/y": r"^\d{1,2}/\d{1,2}/\d{4}",
+    "d.M.y": r"^\d{1,2}\.\d{1,2}\.\d{4}",
     "d-MMM-y": r"^\d{1,2}-[A-Za-z]{3}-\d{4}",
     "d MMM y": r"^\d{1,2} [A-Za-z]{3} \d{4}",
     "MMM d, y": r"^[A-Za-z]{3} \d{1,2}, \d{4}",
+    "MMM d y": r"^[A-Za-z]{3} \d{1,2} \d{4}",
     "MMMM d, y": r"^[A-Za-z]{4,9} \d{1,2}, \d{4}",
+    "MMMM d y": r"^[A-Za-z]{4,9} \d{1,2} \d{4}",
 }
+_SLASHED = r"^(\d{1,2})/(\d{1,2})/\d{4}"
 TIMESTAMP_PATTERNS = {
     **{f"{date}[{_CLOCK}]": shape + _CLOCK_SHAPE for date, shape in _DATES.items()},
+    **{f"{date}{_HALF_DAY}": shape + _HALF_DAY_SHAPE for date, shape in _DATES.items()},
     "yyyyMMdd": r"^\d{8}$",
     "yyyyMMdd'T'HHmmss": r"^\d{8}T\d{6}$",
     "yyyyMMdd'T'HHmmssX": r"^\d{8}T\d{6}Z$",
@@ -63,25 +69,61 @@ def null_tokens(df: DataFrame) -> DataFrame:
     return df.select([cleaned(f) for f in df.schema])
 
 
-def parse_timestamp(text: Column) -> Column:
-    """ISO 8601 first, then the other patterns; null when none fits."""
+def parse_timestamp(text: Column, day_first: Column = None) -> Column:
+    """ISO 8601 first, then the other patterns; null when none fits.
+
+    Of two numbers between slashes the one above twelve is the day. If both could be, `day_first` decides (`day_order`
+    finds it by file), and without it the month stands first.
+    """
     text = F.trim(text)
     parsed = F.when(text.rlike(r"^\d{4}-"), F.try_to_timestamp(text))
     for pattern, shape in TIMESTAMP_PATTERNS.items():
-        parsed = parsed.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(pattern)))
+        parsed = parsed.when(text.rlike(shape), F.try_to_timestamp(_half_day(text, pattern), F.lit(pattern)))
+    first, second = _slashed(text)
+    days = F.when(first > 12, True).when(second > 12, False).otherwise(F.coalesce(day_first if day_first is not None else F.lit(False), F.lit(False)))
+    for day, date in ((True, "d/M/y"), (False, "M/d/y")):
+        for clock, shape in ((f"[{_CLOCK}]", _CLOCK_SHAPE), (_HALF_DAY, _HALF_DAY_SHAPE)):
+            fits = text.rlike(_SLASHED + shape) & (days == F.lit(day))
+            parsed = parsed.when(fits, F.try_to_timestamp(_half_day(text, clock), F.lit(date + clock)))
     return parsed
 
 
+def _half_day(text: Column, pattern: str) -> Column:
+    """AM and PM as the parser wants them; names of months have no such ending."""
+    return F.concat(F.substring(text, F.lit(1), F.length(text) - 2), F.upper(F.right(text, F.lit(2)))) if pattern.endswith("a") else text
+
+
+def _slashed(text: Column) -> tuple:
+    return tuple(F.regexp_extract(text, _SLASHED, i).try_cast("int") for i in (1, 2))
+
+
+def day_order(raw: DataFrame, by: str = "source_name") -> DataFrame:
+    """For each file whether days stand before months between slashes, by the dates that can only be read one way.
+
+    `day_first` is null where nothing tells or both kinds are as frequent; `ambiguous` counts the dates that follow it.
+    """
+    first, second = _slashed(F.trim("timestamp"))
+    both = first.between(1, 12) & second.between(1, 12)
+    votes = raw.groupBy(by).agg(F.count_if((first > 12) & (second <= 12)).alias("days"), F.count_if((first <= 12) & (second > 12)).alias("months"),
+                                F.count_if(both & (first != second)).alias("ambiguous"))
+    return votes.select(by, F.when(F.col("days") > F.col("months"), True).when(F.col("days") < F.col("months"), False).alias("day_first"), "ambiguous")
+
+
+def with_day_order(raw: DataFrame, by: str = "source_name") -> DataFrame:
+    """`raw` with day_first of its file, which `typed` follows."""
+    return raw.join(day_order(raw, by).select(by, "day_first"), by, "left")
+
+
 def typed(df: DataFrame) -> DataFrame:
     """All-text profile columns to their types; a value that does not parse becomes null, which
     covers the missing-value texts of every column but the scheme.
 
-    Columns beyond the nine are kept as they are.
+    Columns beyond the nine are kept as they are; `day_first` settles times whose day and month could change places.
     """
     def cast(field):
         col = F.col(field.name)
         if isinstance(field.dataType, T.TimestampType):
-            return parse_timestamp(col).alias(field.name)
+            return parse_timestamp(col, F.col("day_first") if "day_first" in df.columns else None).alias(field.name)
         if isinstance(field.dataType, T.StringType):
             return _without_token(col).alias(field.name)
         if isinstance(field.dataType, T.IntegerType):
@@ -168,16 +210,32 @@ def qc_summary(df: DataFrame, thresholds=None) -> DataFrame:
 
 
 def clean(raw: DataFrame, null_policy: str = "zero") -> DataFrame:
-    """Raw text rows to valid profile rows: the one path that batch and stream share."""
+    """Raw text rows to valid profile rows: the one path that batch and stream share. Rows marked malformed go."""
     rows = typed(rename_temperature(raw))
+    if "malformed" in rows.columns:
+        rows = rows.filter(~F.col("malformed"))
     # The same rows as drop_critical and range_validate, with every column named once: the parsing
     # expressions are inlined into this filter.
-    kept = rows.filter(
+    kept = rows.drop("malformed", "day_first").filter(
         F.col("timestamp").isNotNull() & F.col("cycle_number").isNotNull() & F.col("basin").isNotNull()
         & (F.abs("longitude") <= 180) & (F.abs("latitude") <= 90) & (F.col("pressure_decibar") >= 0))
     return fill_defaults(kept, null_policy)
 
 
+def file_outcomes(raw: DataFrame, by: str = "source_name") -> DataFrame:
+    """Per file: rows read, malformed, with a time that could not be read, dropped for a missing critical field (such a
+    time is one), rejected, kept. One pass; a malformed row counts as nothing else."""
+    rows = typed(raw.withColumn("_time", _without_token(F.col("timestamp"))))
+    good = ~F.col("malformed")
+    complete = good & reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in CRITICAL_COLUMNS])
+    marked = rows.select(by, (~good).alias("malformed"), (good & F.col("_time").isNotNull() & F.col("timestamp").isNull()).alias("unparsed"),
+                         good.alias("good"), complete.alias("complete"), (complete & failed_rule().isNull()).alias("valid"))
+    return marked.groupBy(by).agg(
+        F.count(F.lit(1)).alias("rows_read"), F.count_if("malformed").alias("rows_malformed"), F.count_if("unparsed").alias("rows_unparsed"),
+        F.count_if(F.col("good") & ~F.col("complete")).alias("rows_dropped"),
+        F.count_if(F.col("complete") & ~F.col("valid")).alias("rows_rejected"), F.count_if("valid").alias("rows_kept"))
+
+
 def ingest_summary(raw: DataFrame, by="source_name") -> DataFrame:
     """Per source: rows read, dropped for a missing critical field, rejected, kept. One pass."""
     rows = typed(rename_temperature(raw))

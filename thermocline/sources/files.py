@@ -1,5 +1,7 @@
 """File sources and sinks."""
 
+import csv
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -12,20 +14,100 @@ RESULT_COLUMNS = ["chunk_id", "score", "timestamp", "latitude", "longitude", "ba
 
 
 def processed_name(file_name: Column) -> Column:
-    """Name of the cleaned copy of a raw file: extension dropped, _raw becomes _processed."""
+    """Name of the cleaned copy of a raw file: extension dropped, _raw becomes _processed.
+
+    A file that already has _processed in its name keeps all of it, so that no two files get one name.
+    """
     stem = F.regexp_replace(file_name, r"\.[^.]*$", "")
-    return F.replace(stem, F.lit("_raw"), F.lit("_processed"))
+    return F.when(F.contains(stem, F.lit("_processed")), file_name).otherwise(F.replace(stem, F.lit("_raw"), F.lit("_processed")))
 
 
 def read_csv(spark: SparkSession, directory: str) -> DataFrame:
     """All ``*.csv`` files of a directory, every column as text, with the file they came from.
 
-    Column names come from the header; a file with a different header is an error.
+    Column names come from the header; a file with a different header is an error. `read_csv_files` takes any.
     """
     raw = (spark.read.options(**CSV_OPTIONS).option("pathGlobFilter", "*.csv").csv(directory))
     return raw.withColumn("source_name", F.col("_metadata.file_name"))
 
 
+RAW_COLUMNS = [*PROFILE_COLUMNS, "source_name", "malformed"]
+
+
+def csv_headers(spark: SparkSession, directory: str) -> DataFrame:
+    """Every ``*.csv`` file: source_path, source_name and header, its first line that is not blank (null without).
+
+    Names come from the listing, empty files too, and header lines from the first block of each file.
+    """
+    text = spark.read.option("pathGlobFilter", "*.csv").text(directory)
+    names = [(p.replace("file:///", "file:/"),) for p in text.inputFiles()]
+    listed = (spark.createDataFrame(names, "source_path string")
+              .withColumn("source_name", _plain_path(F.regexp_extract("source_path", "[^/]+$", 0))))
+    lines = (text.select(F.replace(F.col("_metadata.file_path"), F.lit("file:///"), F.lit("file:/")).alias("source_path"),
+                         F.col("_metadata.file_block_start").alias("start"), "value")
+             .where((F.col("start") == 0) & (F.trim("value") != "")).withColumn("at", F.monotonically_increasing_id()))
+    first = lines.groupBy("source_path").agg(F.min_by("value", "at").alias("header"))
+    return listed.join(first, "source_path", "left")
+
+
+def _plain_path(path: Column) -> Column:
+    """A path as readers take it, from the encoded form that listings have."""
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+
+
+def header_names(header: str) -> list:
+    """Column names of a header line, the one that raw files spell with a capital letter as it is stored."""
+    names = next(csv.reader([header.lstrip("\ufeff")]), [])
+    return [{"temperature_degC": "temperature_degc"}.get(n.strip(), n.strip()) for n in names]
+
+
+def header_error(header: str) -> str:
+    """What makes a file unusable as a whole, None if nothing does."""
+    if header is None:
+        return "the file has no header line"
+    try:
+        names = header_names(header)
+    except csv.Error as e:
+        return f"the header line cannot be read: {e}"
+    if missing := [c for c in PROFILE_COLUMNS if c not in names]:
+        return f"columns missing: {', '.join(missing)}"
+    if twice := sorted({n for n in names if names.count(n) > 1 and n in PROFILE_COLUMNS}):
+        return f"columns repeated: {', '.join(twice)}"
+    return None
+
+
+def read_csv_files(spark: SparkSession, directory: str) -> tuple:
+    """(rows, files): rows of all usable ``*.csv`` files as RAW_COLUMNS, and one row for each file with its `error`.
+
+    Files are read by header, one typed read for each different one, so columns may stand in any order and further columns
+    are left out. A file without the nine columns has an error and no rows; the others are read all the same. `malformed`
+    marks rows with too few or too many fields.
+    """
+    found = csv_headers(spark, directory)
+    kinds = found.groupBy("header").agg(F.collect_list(_plain_path(F.col("source_path"))).alias("paths")).collect()
+    schema = ", ".join([*[f"{c} string" for c in PROFILE_COLUMNS], "source_name string", "malformed boolean"])
+    rows = spark.createDataFrame([], schema)
+    errors = []
+    for kind in kinds:
+        error = header_error(kind.header)
+        errors.append((kind.header, error))
+        if error:
+            continue
+        names = header_names(kind.header)
+        places = {c: names.index(c) for c in PROFILE_COLUMNS}
+        fields = [StructField(f"c{i}", StringType()) for i in range(len(names))]
+        read = (spark.read.schema(StructType([*fields, StructField("bad", StringType())]))
+                .options(header="true", escape='"', enforceSchema="true", mode="PERMISSIVE", columnNameOfCorruptRecord="bad",
+                         columnPruning="false").csv(kind.paths))
+        rows = rows.unionByName(read.select(
+            *[F.col(f"c{places[c]}").alias(c) for c in PROFILE_COLUMNS],
+            _plain_path(F.regexp_extract("_metadata.file_path", "[^/]+$", 0)).alias("source_name"),
+            F.col("bad").isNotNull().alias("malformed")))
+    named = spark.createDataFrame(errors, "header string, error string")
+    files = found.join(named, found["header"].eqNullSafe(named["header"])).select("source_path", "source_name", "error")
+    return rows, files
+
+
 def read_profiles(spark: SparkSession, path: str) -> DataFrame:
     """Cleaned profiles; every profile column must be present."""
     df = spark.read.parquet(path)
