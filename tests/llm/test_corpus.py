@@ -293,6 +293,17 @@ def test_bpe_of_long_words(spark):
             assert got[i] == (ids, own.tokenizer.decode(ids, skip_special_tokens=False))
 
 
+@pytest.mark.parametrize("most", [1_000_000, 0])
+def test_bpe_of_repeated_ids(spark, monkeypatch, most):
+    """Rows of one id with different texts, in full or not, whether or not the repeated ids are broadcast."""
+    monkeypatch.setattr(bpe, "REPEATED", most)
+    own = bpe.coder(bpe.read_spec(word_bpe()))
+    data = [(1, "one xqzv"), (1, "two qqxz xqzv"), (1, "one xqzv"), (2, "one xqzv"), (None, "zzqx"), (None, "yyqx zzqx"), (None, None)]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    want = sorted((str(i), own.tokenizer.encode(t or "", add_special_tokens=False).ids) for i, t in data)
+    assert sorted((str(r.doc_id), r.ids) for r in bpe.encode(docs, word_bpe(), head_words=1).collect()) == want
+
+
 def test_words_of_the_memory():
     asked = []
     memory = bpe.Memory(lambda k: asked.append(k) or k * 2, 3)

@@ -32,6 +32,8 @@ HEAD_DOCS, HEAD_WORDS, HEAD_BYTES = 20_000, 300_000, 64
 MEMORY = 250_000
 #: Tasks that share the rows of one long word.
 SALTS = 16
+#: Repeated ids that are broadcast, 8 MB of them.
+REPEATED = 1_000_000
 # The word pattern of the supported tokenizer.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Characters for which Python's classes, lower case and normal form agree with the tokenizer's; other texts are split
@@ -340,6 +342,21 @@ def _digests(column) -> pa.Array:
     return pa.array([hashlib.sha256(x.as_buffer() if x.as_buffer() else b"").hexdigest() for x in column], pa.string())
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key and text; text_key tells texts of one id apart and is 0 for an id that stands once.
+
+    Zeros take no room in shuffles, where eight random bytes a word would. The repeated ids are broadcast up to REPEATED of
+    them; beyond that every row has the hash of its text, with the same results.
+    """
+    source = texts(docs)
+    repeated = durable(source.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+    own = F.xxhash64("text")
+    if repeated.count() <= REPEATED:
+        source = source.join(F.broadcast(repeated.withColumn("again", F.lit(True))), "doc_id", "left")
+        own = F.when(F.col("again"), own).otherwise(F.lit(0).cast("long"))
+    return source.select("doc_id", own.alias("text_key"), "text")
+
+
 def encode(docs: DataFrame, path: str, outputs: tuple[str, ...] = ("ids",), head_docs: int = HEAD_DOCS,
            head_words: int = HEAD_WORDS) -> DataFrame:
     """Token ids of whole texts: doc_id and the chosen OUTPUTS, a row for each input row.
@@ -354,7 +371,7 @@ def encode(docs: DataFrame, path: str, outputs: tuple[str, ...] = ("ids",), head
     """
     sc = docs.sparkSession.sparkContext
     spec = sc.broadcast(read_spec(path))
-    source = texts(docs).withColumn("text_key", F.xxhash64("text")).select("doc_id", "text_key", "text")
+    source = _keyed(docs)
     head = sc.broadcast(frequent_words(source, spec, head_docs, head_words))
     rare = source.mapInArrow(_rare(spec, head), "doc_id long, text_key long, pos int, word binary")
     # A short word that many documents hold is in the broadcast table, so its rows make up no large part of what is left.
