@@ -8,9 +8,11 @@ from checks.registry import query
 from thermocline.functions.rendering import measurement_phrase
 from thermocline.operators import rerank, stats
 from thermocline.operators import vectors as V
+from thermocline.operators.cells import cell_search, cell_topk, probes_for_recall, with_cells
 from thermocline.operators.chunking import explode_measurements
 from thermocline.operators.embedding import encode, prepare
 from thermocline.plans import retrieval as R
+from thermocline.sources import index as index_files
 from thermocline.sources.index import check_index
 from thermocline.session import scratch_path
 
@@ -217,6 +219,54 @@ def _(spark, sf_dir):
                                      id_col="vec_id", per_shard=100))
 
 
+def _stored_cells(spark, sf_dir):
+    """All chunks with their vectors in an index of cells, written once per session and folder."""
+    key = (spark.sparkContext.applicationId, sf_dir, "cells")
+    if key not in _STORED:
+        path = scratch_path(spark, "index")
+        index_files.write_index(with_cells(index(spark, sf_dir), CELLS), path, model="given", cell_rows=200)
+        _STORED[key] = path
+    return index_files.load_index(spark, _STORED[key]), index_files.load_cells(spark, _STORED[key])
+
+
+@query("v_index_cells", f"""WITH {SQL_CHUNKS}, {SQL_QUERIES}, {SQL_INDEX} SELECT query_id, chunk_id, round(score, 6) AS score,
+CAST(r AS int) AS rank, CAST(r AS int) AS search_rank FROM ({_ranked(_IP, 'DESC', K, 'idx', 'chunk_id')}) z""")
+def _(spark, sf_dir):
+    """Retrieval from a stored index of cells: all cells probed are the exact answer."""
+    rows, cells = _stored_cells(spark, sf_dir)
+    return _retrieved(R.retrieve(rows, centroids(spark, sf_dir), K, search=cell_search(cells, CELLS)))
+
+
+@query("v_index_cells_recall", "SELECT CAST(count(DISTINCT label) AS bigint) AS queries, 1 AS recall_ok FROM embeddings")
+def _(spark, sf_dir):
+    """A search with audited probes finds nine tenths of the exact answers, over all queries."""
+    rows, cells = _stored_cells(spark, sf_dir)
+    queries = centroids(spark, sf_dir)
+    found = cell_topk(rows, queries, K, cells=cells, probes=probes_for_recall(rows, queries, K, cells=cells))
+    shares = V.recall(found, V.exact_topk(rows, queries, K))
+    return shares.agg(F.count(F.lit(1)).alias("queries"),
+                      (F.round(F.avg("recall"), 9) >= 0.9).cast("int").alias("recall_ok"))
+
+
+@query("v_knn_pruned", f"""WITH {SQL_CHUNKS}, {SQL_QUERIES}, {SQL_INDEX} SELECT query_id, chunk_id, round(score, 6) AS score,
+CAST(r AS int) AS rank FROM ({_ranked(_L2, 'ASC', K, 'idx', 'chunk_id')}) z""")
+def _(spark, sf_dir):
+    """The exact answer from the cells that can hold it."""
+    rows, cells = _stored_cells(spark, sf_dir)
+    found = cell_topk(rows, centroids(spark, sf_dir), K, "l2", cells=cells, probes=1, exact=True)
+    return _shown(found.drop("cell"))
+
+
+@query("v_batch_knn_pruned", f"WITH {_SELF} {_VISIBLE.format(key='vec_id')} ({_ranked(_IP, 'DESC', K)}) z")
+def _(spark, sf_dir):
+    """Every vector searched with every vector, without cells that cannot hold an answer."""
+    path = scratch_path(spark, "index")
+    index_files.write_index(with_cells(_embeddings(spark, sf_dir), id_col="vec_id"), path, id_col="vec_id")
+    found = cell_topk(index_files.load_index(spark, path), _self_queries(spark, sf_dir), K,
+                      cells=index_files.load_cells(spark, path), probes=2, exact=True, id_col="vec_id")
+    return _shown(found.drop("cell"))
+
+
 @query("v_profile_phrase", f"""WITH {SQL_CHUNKS} SELECT chunk_id, 'Oceanographic profile with measurements: ' || array_to_string(list_transform(ms[1:5],
 lambda m: printf('Depth %.1fm: temperature %.2f°C, salinity %.2f', m.p, m.t, m.s)), '; ') AS query FROM chunks""")
 def _(spark, sf_dir):

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from thermocline.functions.rendering import measurement_phrase
 from thermocline.operators import rerank
+from thermocline.operators.cells import with_cells
 from thermocline.operators.chunking import chunk_profiles, explode_measurements, with_preview
 from thermocline.operators.embedding import encode, prepare
 from thermocline.operators.sqlguard import guarded_sql
@@ -14,9 +15,17 @@ STRATEGIES = ("similarity", "mmr", "hybrid")
 BROADCAST_RESULTS = 200_000
 
 
-def build_index(profiles: DataFrame, encoder=None, dimension: int = VECTOR_DIMENSION, **chunking) -> DataFrame:
-    """Profiles to chunks with text and vector, ready for ``write_index``."""
-    return encode(prepare(chunk_profiles(profiles, **chunking)), encoder=encoder, dimension=dimension)
+INDEX_KINDS = ("exact", "cells")
+
+
+def build_index(profiles: DataFrame, encoder=None, dimension: int = VECTOR_DIMENSION, kind: str = "exact",
+                cells: int = None, **chunking) -> DataFrame:
+    """Profiles to chunks with text and vector, ready for ``write_index``; with kind "cells" each
+    also has the cell it is stored and searched by."""
+    if kind not in INDEX_KINDS:
+        raise ValueError(f"kind must be one of {INDEX_KINDS}")
+    rows = encode(prepare(chunk_profiles(profiles, **chunking)), encoder=encoder, dimension=dimension)
+    return with_cells(rows, cells) if kind == "cells" else rows
 
 
 def text_queries(spark: SparkSession, texts, encoder=None, dimension: int = VECTOR_DIMENSION) -> DataFrame:
@@ -53,7 +62,9 @@ def candidates(index: DataFrame, queries: DataFrame, k: int, metadata_filters: d
         index = index.filter(rerank.metadata_predicate(index, metadata_filters))
     found = search(index, queries, 2 * k)
     query_columns = [c for c in ("query_id", "query") if c in queries.columns]
-    rows = index.drop("embedding", "text").join(_few(found, queries, 2 * k), "chunk_id")
+    keys = [c for c in ("cell", "chunk_id") if c in found.columns and c in index.columns]
+    found = found.select("query_id", *keys, "score", "rank")
+    rows = index.drop("embedding", "text").join(_few(found, queries, 2 * k), keys)
     rows = with_preview(rows).join(queries.select(query_columns), "query_id")
     if metadata_filters and filter_mode == "post":
         rows = rows.filter(rerank.metadata_predicate(rows, metadata_filters))
