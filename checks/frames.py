@@ -38,6 +38,24 @@ def _(spark, sf_dir):
     return found.select("basin", "latitude", "longitude", F.round("distance_km", 6).alias("distance_km"))
 
 
+def _sphere_km(lat, lon, to_lat, to_lon):
+    return (f"2 * 6371.0088e0 * asin(sqrt(least(1e0, sin(radians({lat} - {to_lat}) / 2) * sin(radians({lat} - {to_lat}) / 2) + "
+            f"cos(radians({lat})) * cos(radians({to_lat})) * sin(radians({lon} - {to_lon}) / 2) * sin(radians({lon} - {to_lon}) / 2))))")
+
+
+_DATE_LINE, _POLE = (_sphere_km(*at, "latitude", "longitude") for at in (("-1.25e1", "1.795e2"), ("8.85e1", "1e1")))
+
+
+@query("g_radius_edges", f"""WITH {SQL_PROFILES} SELECT 'date line' AS edge, latitude, longitude, round({_DATE_LINE}, 6) AS distance_km FROM profiles
+WHERE {_DATE_LINE} <= 900 UNION ALL SELECT 'pole', latitude, longitude, round({_POLE}, 6) FROM profiles WHERE {_POLE} <= 900""")
+def _(spark, sf_dir):
+    """Circles on the sphere that cross the date line and hold a pole."""
+    found = [G.within_radius(profiles(spark, sf_dir), at, lon, 900.0, metric="haversine").select(
+        F.lit(edge).alias("edge"), "latitude", "longitude", F.round("distance_km", 6).alias("distance_km"))
+        for edge, at, lon in (("date line", -12.5, 179.5), ("pole", 88.5, 10.0))]
+    return found[0].unionByName(found[1])
+
+
 # Points: one per customer, spread over the globe by key.
 _PLON, _PLAT = "CAST((c_custkey * 71) % 3600 AS double) / 1e1 - 1.8e2", "CAST((c_custkey * 59) % 1800 AS double) / 1e1 - 9e1"
 _POINTS = f"points AS (SELECT c_custkey AS point_id, {_PLAT} AS plat, {_PLON} AS plon FROM customer)"
@@ -63,6 +81,25 @@ def _(spark, sf_dir):
     return found.select("point_id", "chunk_id", F.round("distance_km", 6).alias("distance_km"), F.round("score", 6).alias("score"))
 
 
+_PSPHERE = _sphere_km("plat", "plon", "latitude", "longitude")
+_SPHERE_JOINED = f"""WITH {SQL_CHUNKS}, {_POINTS} SELECT point_id, chunk_id, round({_PSPHERE}, 6) AS distance_km FROM points JOIN chunks ON {_PSPHERE} <= 300"""
+
+
+@query("g_radius_join_sphere", _SPHERE_JOINED)
+def _(spark, sf_dir):
+    """Points all over the globe, poles and both sides of the date line included."""
+    found = G.radius_join(_points(spark, sf_dir), placed(spark, sf_dir), 300.0, metric="haversine")
+    return found.select("point_id", "chunk_id", F.round("distance_km", 6).alias("distance_km"))
+
+
+@query("g_radius_join_sphere_salted", _SPHERE_JOINED)
+def _(spark, sf_dir):
+    """The same without a broadcast, crowded cells cut by their counts."""
+    found = G.radius_join(_points(spark, sf_dir), placed(spark, sf_dir), 300.0, metric="haversine",
+                          broadcast_points=0, salt_rows=4)
+    return found.select("point_id", "chunk_id", F.round("distance_km", 6).alias("distance_km"))
+
+
 @query("g_radius_join_topk", f"""{_JOINED} SELECT point_id, chunk_id, CAST(row_number() OVER (PARTITION BY point_id ORDER BY 1 - d / 300 DESC, chunk_id) AS int) AS rank
 FROM near QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY 1 - d / 300 DESC, chunk_id) <= 10""")
 def _(spark, sf_dir):
