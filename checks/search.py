@@ -219,7 +219,7 @@ def _(spark, sf_dir):
                                      id_col="vec_id", per_shard=100))
 
 
-def _stored_cells(spark, sf_dir):
+def stored_cells(spark, sf_dir):
     """All chunks with their vectors in an index of cells, written once per session and folder."""
     key = (spark.sparkContext.applicationId, sf_dir, "cells")
     if key not in _STORED:
@@ -233,14 +233,14 @@ def _stored_cells(spark, sf_dir):
 CAST(r AS int) AS rank, CAST(r AS int) AS search_rank FROM ({_ranked(_IP, 'DESC', K, 'idx', 'chunk_id')}) z""")
 def _(spark, sf_dir):
     """Retrieval from a stored index of cells: all cells probed are the exact answer."""
-    rows, cells = _stored_cells(spark, sf_dir)
+    rows, cells = stored_cells(spark, sf_dir)
     return _retrieved(R.retrieve(rows, centroids(spark, sf_dir), K, search=cell_search(cells, CELLS)))
 
 
 @query("v_index_cells_recall", "SELECT CAST(count(DISTINCT label) AS bigint) AS queries, 1 AS recall_ok FROM embeddings")
 def _(spark, sf_dir):
     """A search with audited probes finds nine tenths of the exact answers, over all queries."""
-    rows, cells = _stored_cells(spark, sf_dir)
+    rows, cells = stored_cells(spark, sf_dir)
     queries = centroids(spark, sf_dir)
     found = cell_topk(rows, queries, K, cells=cells, probes=probes_for_recall(rows, queries, K, cells=cells))
     shares = V.recall(found, V.exact_topk(rows, queries, K))
@@ -252,7 +252,7 @@ def _(spark, sf_dir):
 CAST(r AS int) AS rank FROM ({_ranked(_L2, 'ASC', K, 'idx', 'chunk_id')}) z""")
 def _(spark, sf_dir):
     """The exact answer from the cells that can hold it."""
-    rows, cells = _stored_cells(spark, sf_dir)
+    rows, cells = stored_cells(spark, sf_dir)
     found = cell_topk(rows, centroids(spark, sf_dir), K, "l2", cells=cells, probes=1, exact=True)
     return _shown(found.drop("cell"))
 

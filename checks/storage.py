@@ -6,7 +6,7 @@ from checks.chunks import SQL_CHUNKS, chunks
 from checks.fixture import RAW, SQL_PROFILES, SQL_RAW, SQL_TYPED, centroids, profiles, raw_files, raw_rows
 from checks.quality import COMPLETE, FILLED, IN_RANGE, SECONDS, SEVEN, clean_profiles, with_seconds
 from checks.registry import query
-from checks.search import _IP, _RESULTS, _VISIBLE, SQL_INDEX, SQL_QUERIES, _ranked, index, results
+from checks.search import _IP, _RESULTS, _VISIBLE, SQL_INDEX, SQL_QUERIES, _ranked, index, results, stored_cells
 from thermocline.operators import quality as Q
 from thermocline.operators.vectors import exact_topk
 from thermocline.plans.ingest import ingest_directory, ingest_totals
@@ -149,6 +149,43 @@ def _(spark, sf_dir):
         F.element_at("measurements", -1)["salinity_psu"].alias("last_salinity"), "chunk_size_limit")
 
 
+@query("sink_chunks_json_readings", f"""WITH {SQL_CHUNKS} SELECT chunk_id, CAST(i AS int) AS position, ms[i].p AS pressure_decibar,
+ms[i].t AS temperature_degc, ms[i].s AS salinity_psu FROM (SELECT chunk_id, ms, unnest(range(1, len(ms) + 1)) AS i FROM chunks) u""")
+def _(spark, sf_dir):
+    """Every reading of every chunk, in its place."""
+    path, rows = scratch_path(spark, "chunks"), chunks(spark, sf_dir)
+    files.write_chunks_json(rows, path, 2000)
+    back = spark.read.schema(rows.schema).json(path).filter("chunk_id is not null")
+    return back.select("chunk_id", F.posexplode("measurements").alias("at", "m")).select(
+        "chunk_id", (F.col("at") + 1).alias("position"), "m.pressure_decibar", "m.temperature_degc", "m.salinity_psu")
+
+
+_INDEX_ROWS = f"""WITH {SQL_CHUNKS}, {SQL_INDEX} SELECT chunk_id, timestamp_text, basin, cycle_number, latitude, longitude, chunk_type,
+CAST(len(ms) AS int) AS readings, round(list_sum(list_transform(v, lambda x, i: x * i)), 6) AS vector_mark FROM idx"""
+
+
+def _index_rows(rows):
+    marked = F.transform("embedding", lambda x, i: x.cast("double") * (i + 1))
+    mark = F.aggregate(marked, F.lit(0.0), lambda total, x: total + x)
+    return rows.select("chunk_id", F.col("timestamp").alias("timestamp_text"), "metadata.basin", "metadata.cycle_number",
+                       "metadata.latitude", "metadata.longitude", "chunk_type", F.size("measurements").alias("readings"),
+                       F.round(mark, 6).alias("vector_mark"))
+
+
+@query("sink_index_rows", _INDEX_ROWS)
+def _(spark, sf_dir):
+    """What an index holds once it is written: every vector beside its own metadata."""
+    path = scratch_path(spark, "index")
+    index_files.write_index(index(spark, sf_dir), path, model="given")
+    return _index_rows(index_files.load_index(spark, path))
+
+
+@query("sink_index_cells_rows", _INDEX_ROWS)
+def _(spark, sf_dir):
+    """The same of an index stored by cell."""
+    return _index_rows(stored_cells(spark, sf_dir)[0])
+
+
 @query("sink_index", f"""WITH {SQL_CHUNKS}, {SQL_INDEX} SELECT count(*) AS total_vectors, CAST(max(len(v)) AS int) AS vector_dimension,
 'exact' AS index_type, 'given' AS embedding_model FROM idx""")
 def _(spark, sf_dir):
