@@ -12,7 +12,7 @@ from thermocline.operators.vectors import exact_topk
 from thermocline.plans.ingest import ingest_directory, ingest_totals
 from thermocline.session import scratch_path
 from thermocline.sources import files, index as index_files
-from thermocline.streaming.ingest import ingest_available
+from thermocline.streaming.ingest import ingest_available, ingest_changes
 
 _STORED = "replace(replace(source_name, '_raw.csv', '_processed'), '.csv', '') AS source_name"
 _CLEANED = f"WITH {SQL_TYPED} SELECT {FILLED}, {_STORED}, {SECONDS} FROM typed WHERE {COMPLETE} AND {IN_RANGE}"
@@ -48,6 +48,19 @@ def _(spark, sf_dir):
     return with_seconds(files.read_profiles(spark, path))
 
 
+@query("sink_parquet_months", f"""WITH {SQL_TYPED}, cleaned AS (SELECT {FILLED}, {_STORED}, "timestamp" AS t FROM typed WHERE {COMPLETE} AND {IN_RANGE})
+SELECT year(t) * 100 + month(t) AS month, source_name, count(*) AS n, CAST(min(epoch_ms(t)) // 1000 AS bigint) AS first_second FROM cleaned
+WHERE t >= TIMESTAMP '1995-03-10 00:00:00' AND t < TIMESTAMP '1996-01-01 00:00:00' GROUP BY ALL""")
+def _(spark, sf_dir):
+    """Stored profiles of a time range, whose months alone are read."""
+    path = scratch_path(spark, "cleaned")
+    files.write_profiles(Q.clean(raw_rows(spark, sf_dir)), path)
+    found = files.read_profiles(spark, path, "1995-03-10", "1996-01-01")
+    month = F.year("timestamp") * 100 + F.month("timestamp")
+    return (found.groupBy(month.cast("long").alias("month"), "source_name")
+            .agg(F.count(F.lit(1)).alias("n"), F.unix_seconds(F.min("timestamp")).alias("first_second")))
+
+
 @query("profiles_ddl", f'WITH {SQL_PROFILES} SELECT {SEVEN}, "timestamp" AS observed_at FROM profiles WHERE "timestamp" >= TIMESTAMP \'1999-06-01 00:00:00\'')
 def _(spark, sf_dir):
     """Profiles laid out by time, then read with a time filter."""
@@ -136,6 +149,27 @@ def _(spark, sf_dir):
     return with_seconds(files.read_profiles(spark, output).drop("source_name"))
 
 
+@query("st_ingest_changes", f"WITH {SQL_TYPED} SELECT {FILLED}, {SECONDS} FROM typed WHERE {COMPLETE} AND {IN_RANGE}")
+def _(spark, sf_dir):
+    """A stream to which one file comes again: first with a single other row, then as it should be. Equal to the batch."""
+    raw, folder = raw_files(spark, sf_dir, False), scratch_path(spark, "arriving")
+    paths = sorted(spark.read.option("pathGlobFilter", "*.csv").text(raw).inputFiles())
+    for i, path in enumerate(paths[1:], 1):
+        _copy(spark, path, f"{folder}/part{i}_raw.csv")
+    _put(spark, f"{folder}/part0_raw.csv", ",".join(RAW) + "\n1,2031-02-01 00:00:00,3,s,1,2,3,4,5\n")
+    output, state = scratch_path(spark, "streamed"), scratch_path(spark, "stream-state")
+    ingest_changes(spark, folder, output, state)
+    _copy(spark, paths[0], f"{folder}/part0_raw.csv")
+    ingest_changes(spark, folder, output, state)
+    return with_seconds(files.read_profiles(spark, output).drop("source_name"))
+
+
+def _copy(spark, source, target):
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    a, b = hadoop.Path(spark._jvm.java.net.URI(source)), hadoop.Path(target)
+    hadoop.FileUtil.copy(a.getFileSystem(conf), a, b.getFileSystem(conf), b, False, True, conf)
+
+
 @query("sink_chunks_json", f"""WITH {SQL_CHUNKS} SELECT chunk_id, timestamp_text, basin, latitude, sub_chunk_info, chunk_type,
 CAST(len(ms) AS int) AS n, ms[1].p AS first_pressure, ms[len(ms)].s AS last_salinity, 2000 AS chunk_size_limit FROM chunks""")
 def _(spark, sf_dir):

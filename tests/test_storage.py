@@ -7,7 +7,8 @@ from thermocline.operators.quality import clean
 from thermocline.plans.ingest import ingest_directory, ingest_totals
 from thermocline.plans.retrieval import build_index
 from thermocline.sources import files, index as indexes, jdbc
-from thermocline.streaming.ingest import ingest_available
+from thermocline.sources import months
+from thermocline.streaming.ingest import apply_notices, ingest_available, ingest_changes
 
 HEADER = ["basin", "timestamp", "cycle_number", "vertical_sampling_scheme", "longitude", "latitude",
           "pressure_decibar", "salinity_psu", "temperature_degC"]
@@ -80,6 +81,74 @@ def test_stream_equals_batch_and_is_incremental(spark, raw_dir, tmp_path):
     assert sorted(r.basin for r in files.read_profiles(spark, out).collect()) == [1, 2, 3, 4]
 
 
+def _stored(spark, path):
+    return sorted((r.source_name, r.basin, str(r.timestamp)) for r in files.read_stored(spark, path).collect())
+
+
+def test_stream_replaces_a_file_that_comes_again(spark, raw_dir, tmp_path):
+    """Changed, emptied and new files; a replayed batch and a run without news change nothing; equal to the batch."""
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+    ingest_changes(spark, str(raw_dir), out, state)
+    assert [n for n, _, _ in _stored(spark, out)] == ["data_2025-01_processed"] * 2 + ["data_2025-02_processed"]
+    _write(raw_dir, "data_2025-01_raw.csv", ["NULL,2025-01-01,3,s,10,20,5,35,12"])
+    _write(raw_dir, "data_2025-02_raw.csv", ["4,2025-02-01,4,s,1,2,3,4,5", "4,2025-05-01,4,s,1,2,3,4,5"])
+    _write(raw_dir, "a b+c_raw.csv", ["5,2025-02-01,4,s,1,2,3,4,5"])
+    ingest_changes(spark, str(raw_dir), out, state)
+    after = _stored(spark, out)
+    assert [(n, b) for n, b, _ in after] == [("a b+c_processed", 5), ("data_2025-02_processed", 4), ("data_2025-02_processed", 4)]
+    ingest_directory(spark, str(raw_dir), str(tmp_path / "batch"))
+    assert _stored(spark, str(tmp_path / "batch")) == after
+    written = {p: p.stat().st_mtime_ns for p in (tmp_path / "out").rglob("*.parquet")}
+    notices = spark.read.parquet(f"{state}/notices")
+    apply_notices(notices, 0, out, state)
+    ingest_changes(spark, str(raw_dir), out, state)
+    assert {p: p.stat().st_mtime_ns for p in (tmp_path / "out").rglob("*.parquet")} == written
+
+
+def test_a_replacement_that_broke_off_is_repaired(spark, raw_dir, tmp_path, monkeypatch):
+    """It stops after the new rows are added; by the next run the file has changed again, to other months."""
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+    ingest_changes(spark, str(raw_dir), out, state)
+    _write(raw_dir, "data_2025-02_raw.csv", ["3,2025-02-01,4,s,1,2,3,4,5", "4,2025-07-01,4,s,1,2,3,4,5"])
+    listed, calls = months._list, []
+
+    def stopping(*args):
+        calls.append(1)
+        if len(calls) > 1:
+            raise RuntimeError("stopped")
+        listed(*args)
+
+    monkeypatch.setattr(months, "_list", stopping)
+    with pytest.raises(RuntimeError):
+        ingest_directory(spark, str(raw_dir), out)
+    monkeypatch.undo()
+    assert files.read_stored(spark, out).where("month(timestamp) = 7").count() == 1
+    _write(raw_dir, "data_2025-02_raw.csv", ["5,2025-09-01,4,s,1,2,3,4,5"])
+    ingest_changes(spark, str(raw_dir), out, state)
+    assert [b for _, b, _ in _stored(spark, out)] == [1, 2, 5]
+
+
+def test_months_are_pruned_and_other_sources_left(spark, tmp_path):
+    path = str(tmp_path / "p")
+    rows = spark.range(1200).selectExpr("1 AS basin", "timestamp'2025-01-15 00:00:00' + make_interval(0, cast(id % 12 AS int)) AS timestamp",
+                                        "cast(id AS int) AS cycle_number", "'s' AS vertical_sampling_scheme", "1.0D AS longitude", "2.0D AS latitude",
+                                        "cast(id AS double) AS pressure_decibar", "3.0D AS salinity_psu", "4.0D AS temperature_degc",
+                                        "concat('f', id % 5, '_raw.csv') AS source_name")
+    files.write_profiles(rows, path)
+    found = files.read_profiles(spark, path, "2025-03-01", "2025-05-01")
+    assert found.count() == 200 and "month" not in found.columns
+    assert {int(r[0].split("month=")[1][:6]) for r in found.select(F.input_file_name()).distinct().collect()} == {202503, 202504}
+    assert "PartitionFilters: [isnotnull(month" in found._jdf.queryExecution().executedPlan().toString()
+    untouched = {p: p.stat().st_mtime_ns for p in (tmp_path / "p").glob("month=*/*/*.parquet")}
+    files.write_profiles(rows.where("source_name = 'f1_raw.csv' AND month(timestamp) = 3"), path)
+    slot = spark.range(1).select(months.slot_of(F.lit("f1_processed"))).first()[0]
+    kept = {p: t for p, t in untouched.items() if f"slot={slot}/" not in str(p)}
+    assert kept and all(p.stat().st_mtime_ns == t for p, t in kept.items())
+    assert files.read_stored(spark, path).count() == 1200 - 240 + 20
+    listed = months.sources(spark, path)
+    assert [(r.month, r.rows) for r in listed.where("source_name = 'f1_processed'").collect()] == [(202503, 20)]
+
+
 def test_missing_columns_are_named(spark, tmp_path):
     spark.range(3).write.parquet(str(tmp_path / "p"))
     with pytest.raises(ValueError, match="latitude"):

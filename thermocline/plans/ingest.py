@@ -4,7 +4,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from thermocline.operators.quality import clean, file_outcomes, with_day_order
 from thermocline.session import durable, remove_path, scratch_path
-from thermocline.sources.files import drop_sources, processed_name, read_csv_files, read_stored, write_profiles
+from thermocline.sources.files import processed_name, read_csv_files, read_stored
+from thermocline.sources.months import replace_sources, rows_of
 
 COUNTS = ("rows_read", "rows_malformed", "rows_unparsed", "rows_dropped", "rows_rejected", "rows_kept")
 
@@ -18,22 +19,26 @@ def ingest_directory(spark: SparkSession, directory: str, output: str,
     Returns one row per file: its error, rows read, malformed, with a time that could not be read, dropped, rejected, kept,
     found again in the output, and whether those agree.
     """
-    rows, files = read_csv_files(spark, directory)
     staged = scratch_path(spark, "raw")
-    rows.write.parquet(staged)
-    raw = with_day_order(spark.read.parquet(staged))
-    write_profiles(clean(raw, null_policy), output)
-    outcomes = file_outcomes(raw)
-    summary = durable(files.join(outcomes, "source_name", "left").withColumns(
-        {"source_name": processed_name(F.col("source_name")), **{c: F.coalesce(c, F.lit(0).cast("long")) for c in COUNTS}}))
+    summary = ingest_files(spark, read_csv_files(spark, directory), output, staged, null_policy)
     remove_path(spark, staged)
-    emptied = summary.filter("error IS NULL AND rows_kept = 0").select("source_name").toLocalIterator()
-    drop_sources(spark, output, (r.source_name for r in emptied))
-    stored = read_stored(spark, output)
     if jdbc:
         from thermocline.sources.jdbc import write_jdbc
-        write_jdbc(stored, jdbc)
-    return verify(summary, stored)
+        write_jdbc(read_stored(spark, output), jdbc)
+    return summary
+
+
+def ingest_files(spark: SparkSession, found: tuple, output: str, staged: str, null_policy: str = "zero") -> DataFrame:
+    """What `read_csv_files` found into the store, by way of tables below ``staged``; the counts of `ingest_directory`."""
+    rows, files = found
+    rows.write.mode("overwrite").parquet(f"{staged}/raw")
+    raw = with_day_order(spark.read.parquet(f"{staged}/raw"))
+    outcomes = file_outcomes(raw)
+    summary = durable(files.join(outcomes, "source_name", "left").withColumns(
+        {"source_name": processed_name(F.col("source_name")), **{c: F.coalesce(c, F.lit(0).cast("long")) for c in COUNTS}}))
+    cleaned = clean(raw, null_policy).withColumn("source_name", processed_name(F.col("source_name")))
+    replace_sources(cleaned, output, summary.where("error IS NULL"), f"{staged}/clean")
+    return durable(verify(summary.drop("modified", "length"), rows_of(spark, output, summary.select("source_name"))))
 
 
 def ingest_totals(summary: DataFrame) -> DataFrame:

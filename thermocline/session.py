@@ -63,6 +63,11 @@ def remove_path(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage through reliable storage, so a lost executor cannot change the rows."""
     shared_dir(df.sparkSession)

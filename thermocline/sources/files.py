@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from thermocline.functions.curve import cell, z_order
-from thermocline.schema import PROFILE_COLUMNS, PROFILE_SCHEMA
+from thermocline.schema import PROFILE_COLUMNS
+from thermocline.sources.months import LAYOUT, month_of, replace_sources, stored_rows
 
 CSV_OPTIONS = {"header": "true", "escape": '"', "enforceSchema": "false"}
 RESULT_COLUMNS = ["chunk_id", "score", "timestamp", "latitude", "longitude", "basin",
@@ -34,20 +35,29 @@ def read_csv(spark: SparkSession, directory: str) -> DataFrame:
 RAW_COLUMNS = [*PROFILE_COLUMNS, "source_name", "malformed"]
 
 
-def csv_headers(spark: SparkSession, directory: str) -> DataFrame:
-    """Every ``*.csv`` file: source_path, source_name and header, its first line that is not blank (null without).
+def csv_files(spark: SparkSession, where) -> DataFrame:
+    """Every ``*.csv`` file of a directory, or of a list of paths: source_path, source_name, modified and length.
 
-    Names come from the listing, empty files too, and header lines from the first block of each file.
+    Names come from the listing, empty files too; these have no time and no length.
     """
-    text = spark.read.option("pathGlobFilter", "*.csv").text(directory)
-    names = [(p.replace("file:///", "file:/"),) for p in text.inputFiles()]
-    listed = (spark.createDataFrame(names, "source_path string")
-              .withColumn("source_name", _plain_path(F.regexp_extract("source_path", "[^/]+$", 0))))
-    lines = (text.select(F.replace(F.col("_metadata.file_path"), F.lit("file:///"), F.lit("file:/")).alias("source_path"),
+    names = [(p.replace("file:///", "file:/"),) for p in spark.read.option("pathGlobFilter", "*.csv").text(where).inputFiles()]
+    listed = (spark.createDataFrame(names, "source_path string").select(_plain_path(F.col("source_path")).alias("source_path"))
+              .withColumn("source_name", F.regexp_extract("source_path", "[^/]+$", 0)))
+    if not names:
+        return listed.selectExpr("*", "CAST(NULL AS timestamp) AS modified", "CAST(NULL AS long) AS length")
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(where)
+    state = found.select(F.replace("path", F.lit("file:///"), F.lit("file:/")).alias("source_path"), F.col("modificationTime").alias("modified"), "length")
+    return listed.join(state, "source_path", "left")
+
+
+def csv_headers(spark: SparkSession, where) -> DataFrame:
+    """`csv_files` with the header of each, its first line that is not blank (null without), from its first block."""
+    text = spark.read.option("pathGlobFilter", "*.csv").text(where)
+    lines = (text.select(_plain_path(F.replace(F.col("_metadata.file_path"), F.lit("file:///"), F.lit("file:/"))).alias("source_path"),
                          F.col("_metadata.file_block_start").alias("start"), "value")
              .where((F.col("start") == 0) & (F.trim("value") != "")).withColumn("at", F.monotonically_increasing_id()))
     first = lines.groupBy("source_path").agg(F.min_by("value", "at").alias("header"))
-    return listed.join(first, "source_path", "left")
+    return csv_files(spark, where).join(first, "source_path", "left")
 
 
 def _plain_path(path: Column) -> Column:
@@ -76,15 +86,16 @@ def header_error(header: str) -> str:
     return None
 
 
-def read_csv_files(spark: SparkSession, directory: str) -> tuple:
-    """(rows, files): rows of all usable ``*.csv`` files as RAW_COLUMNS, and one row for each file with its `error`.
+def read_csv_files(spark: SparkSession, where) -> tuple:
+    """(rows, files): rows of all usable ``*.csv`` files of a directory or a list of paths as RAW_COLUMNS, and one row for
+    each file with its time, length and `error`.
 
     Files are read by header, one typed read for each different one, so columns may stand in any order and further columns
     are left out. A file without the nine columns has an error and no rows; the others are read all the same. `malformed`
     marks rows with too few or too many fields.
     """
-    found = csv_headers(spark, directory)
-    kinds = found.groupBy("header").agg(F.collect_list(_plain_path(F.col("source_path"))).alias("paths")).collect()
+    found = csv_headers(spark, where)
+    kinds = found.groupBy("header").agg(F.collect_list("source_path").alias("paths")).collect()
     schema = ", ".join([*[f"{c} string" for c in PROFILE_COLUMNS], "source_name string", "malformed boolean"])
     rows = spark.createDataFrame([], schema)
     errors = []
@@ -104,17 +115,28 @@ def read_csv_files(spark: SparkSession, directory: str) -> tuple:
             _plain_path(F.regexp_extract("_metadata.file_path", "[^/]+$", 0)).alias("source_name"),
             F.col("bad").isNotNull().alias("malformed")))
     named = spark.createDataFrame(errors, "header string, error string")
-    files = found.join(named, found["header"].eqNullSafe(named["header"])).select("source_path", "source_name", "error")
+    files = found.join(named, found["header"].eqNullSafe(named["header"])).select("source_path", "source_name", "modified", "length", "error")
     return rows, files
 
 
-def read_profiles(spark: SparkSession, path: str) -> DataFrame:
-    """Cleaned profiles; every profile column must be present."""
+def read_profiles(spark: SparkSession, path: str, start=None, end=None) -> DataFrame:
+    """Cleaned profiles; every profile column must be present.
+
+    ``start`` (included) and ``end`` (excluded) bound the time; of a table that ``write_profiles`` wrote only their months
+    are read.
+    """
     df = spark.read.parquet(path)
     missing = [c for c in PROFILE_COLUMNS if c not in df.columns]
     if missing:
         raise ValueError(f"Missing required columns: {missing}")
-    return df
+    by_month = all(c in df.columns for c in LAYOUT)
+    if start is not None:
+        first = F.lit(start).cast("timestamp")
+        df = df.filter((F.col("timestamp") >= first) & (F.col("month") >= month_of(first) if by_month else F.lit(True)))
+    if end is not None:
+        last = F.lit(end).cast("timestamp")
+        df = df.filter((F.col("timestamp") < last) & (F.col("month") <= month_of(last) if by_month else F.lit(True)))
+    return df.drop(*LAYOUT) if by_month else df
 
 
 def row_limit(df: DataFrame, n: int, order=("timestamp", "pressure_decibar")) -> DataFrame:
@@ -124,27 +146,13 @@ def row_limit(df: DataFrame, n: int, order=("timestamp", "pressure_decibar")) ->
 
 
 def write_profiles(df: DataFrame, path: str) -> None:
-    """One output partition per input file, replaced when that file is ingested again.
-
-    A read task holds rows of one or two files only, so no shuffle is needed before the write.
-    """
-    named = df.withColumn("source_name", processed_name(F.col("source_name")))
-    (named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("source_name").parquet(path))
+    """Rows by month, in place of what their sources had before (`months.replace_sources`)."""
+    replace_sources(df.withColumn("source_name", processed_name(F.col("source_name"))), path)
 
 
 def read_stored(spark: SparkSession, path: str) -> DataFrame:
-    """What ``write_profiles`` stored, with source names as text; no rows when every source was emptied."""
-    return spark.read.schema(StructType([*PROFILE_SCHEMA, StructField("source_name", StringType())])).parquet(path)
-
-
-def drop_sources(spark: SparkSession, path: str, names) -> None:
-    """Remove the stored rows of sources by their stored names, as for files whose new version keeps no row."""
-    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
-    escape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
-    for name in names:
-        place = hadoop.Path(f"{path.rstrip('/')}/source_name={escape(name)}")
-        place.getFileSystem(conf).delete(place, True)
+    """What ``write_profiles`` stored, with source names; no rows when every source was emptied."""
+    return stored_rows(spark, path).drop(*LAYOUT)
 
 
 def write_clustered(df: DataFrame, path: str, order=("timestamp", "pressure_decibar"), curve=None, files: int = None,
