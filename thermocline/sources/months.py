@@ -75,9 +75,12 @@ def replace_sources(rows: DataFrame, path: str, files: DataFrame = None, staged:
     touched = before.where("month IS NOT NULL").select(LAYOUT).distinct()
     unfinished = before.unionByName(now).withColumns({"modified": F.lit(None).cast("timestamp"), "length": F.lit(-1).cast("long")})
     _list(spark, path, names, unfinished.distinct())
-    others = stored_rows(spark, path).join(F.broadcast(touched), LAYOUT, "left_semi").join(names, "source_name", "left_anti")
-    _write(others.unionByName(new.join(F.broadcast(touched), LAYOUT, "left_semi")), path, "overwrite")
-    _write(new.join(F.broadcast(touched), LAYOUT, "left_anti"), path, "append")
+    if touched.isEmpty():
+        _write(new, path, "append")
+    else:
+        others = stored_rows(spark, path).join(F.broadcast(touched), LAYOUT, "left_semi").join(names, "source_name", "left_anti")
+        _write(others.unionByName(new.join(F.broadcast(touched), LAYOUT, "left_semi")), path, "overwrite")
+        _write(new.join(F.broadcast(touched), LAYOUT, "left_anti"), path, "append")
     _list(spark, path, names, now)
     left = sources(spark, path).where("month IS NOT NULL").select(LAYOUT)
     for r in touched.join(left, LAYOUT, "left_anti").toLocalIterator():
