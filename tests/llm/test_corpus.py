@@ -71,6 +71,20 @@ def lines_kept():
     return [(i, t.split("\n"), [x for x in t.split("\n") if gone.get(line_key(x), i) == i]) for i, t in texts_of()]
 
 
+def test_keep_bitmaps_are_made_before_texts_are_read(spark):
+    """Only texts that lose a line have one; it ends after the last line that goes; names of columns may hold dots."""
+    line = "a line that is shared by three documents"
+    rows = [(1, f"x\n{line}\ny"), (2, line), (3, line + "\n" * 40), (4, "alone"), (None, None), (5, "\n" * 9 + line + "\nz")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("a.b", F.col("doc_id"))
+    maps = {r.doc_id: r.keep for r in line_dedup.keep_bitmaps(docs).collect()}
+    assert set(maps) == {1, 2, 3}
+    assert line_dedup.read_bitmap(maps[1], 3).tolist() == [True, False, True]
+    assert line_dedup.read_bitmap(maps[3], 41).tolist() == [False] + [True] * 40
+    assert line_dedup.read_bitmap(None, 2).tolist() == [True, True]
+    got = {r.doc_id: (r["a.b"], r.text) for r in line_dedup.dedup_rows(docs).collect()}
+    assert got == {1: (1, "x\ny"), 2: (2, ""), 3: (3, "\n" * 39), 4: (4, "alone"), None: (None, None), 5: (5, rows[5][1])}
+
+
 def test_line_dedup(docs, empty):
     got = line_dedup.line_dedup(docs).collect()
     want = sorted((str(i), len(a), len(a) - len(b), "\n".join(b), sha("\n".join(b))) for i, a, b in lines_kept())

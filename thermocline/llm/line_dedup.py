@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -130,35 +131,44 @@ def _marks(rows):
         names=["text_key", "doc_id", "places"])
 
 
-def _bitmap(n_lines: int, dropped: np.ndarray) -> bytes:
+def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The packed positions of each text as one compressed bitmap, cut after the byte of the last position that goes."""
+    for batch in batches:
+        maps = []
+        for places in batch.column(2).to_pylist():
+            dropped = np.frombuffer(b"".join(places), "<u4")
+            keep = np.ones((int(dropped.max()) // 8 + 1) * 8, bool)
+            keep[dropped] = False
+            maps.append(zlib.compress(np.packbits(keep).tobytes(), 1))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(maps, pa.binary())],
+                                         names=["doc_id", "text_key", "keep"])
+
+
+def read_bitmap(bitmap: bytes | None, n_lines: int) -> np.ndarray:
+    """True for each line that stays; lines beyond the bitmap, and all of a text without one, stay."""
     keep = np.ones(n_lines, bool)
-    keep[dropped] = False
-    return zlib.compress(np.packbits(keep).tobytes(), 1)
-
-
-def read_bitmap(bitmap: bytes, n_lines: int) -> np.ndarray:
-    """True for each line that stays."""
-    return np.unpackbits(np.frombuffer(zlib.decompress(bitmap), np.uint8), count=n_lines).astype(bool)
+    if bitmap is not None:
+        bits = np.unpackbits(np.frombuffer(zlib.decompress(bitmap), np.uint8))[:n_lines]
+        keep[:len(bits)] = bits
+    return keep
 
 
-def _without(text: bytes, places: list[bytes] | None) -> tuple[bytes, int, np.ndarray]:
-    """The text without the lines at packed positions, its number of lines before, and the positions."""
-    dropped = np.frombuffer(b"".join(places or ()), "<u4")
-    if not len(dropped):
-        return text, text.count(b"\n") + 1, dropped
+def _without(text: bytes, bitmap: bytes | None) -> tuple[bytes, int, int]:
+    """The text without the lines that its bitmap drops, its number of lines before, and how many went."""
+    if bitmap is None:
+        return text, text.count(b"\n") + 1, 0
     lines = text.split(b"\n")
-    gone = set(dropped.tolist())
-    return b"\n".join([x for i, x in enumerate(lines) if i not in gone]), len(lines), dropped
+    keep = read_bitmap(bitmap, len(lines))
+    return b"\n".join(compress(lines, keep.tolist())), len(lines), len(lines) - int(keep.sum())
 
 
 def _apply(with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc_id, text, places in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                kept, n_lines, dropped = _without(text, places)
-                rows.append((doc_id, n_lines, len(dropped), _bitmap(n_lines, dropped),
-                             kept.decode() if with_text else None, hashlib.sha256(kept).hexdigest()))
+            for doc_id, text, bitmap in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                kept, n_lines, n_dropped = _without(text, bitmap)
+                rows.append((doc_id, n_lines, n_dropped, bitmap, kept.decode() if with_text else None, hashlib.sha256(kept).hexdigest()))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)],
                                              names=["doc_id", "n_lines", "n_dropped", "keep", "text", "kept_sha256"])
@@ -183,15 +193,19 @@ def drop_marks(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataF
     return hits.mapInArrow(_decide(totals, min_docs), _MARK)
 
 
+def keep_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
+    """doc_id, text_key and keep, the bitmap of the lines that stay (`read_bitmap`), for each text that loses a line."""
+    marks = drop_marks(docs, min_chars, min_docs).groupBy("doc_id", "text_key").agg(F.collect_set("places").alias("places"))
+    return marks.mapInArrow(_bitmaps, "doc_id long, text_key long, keep binary")
+
+
 def _marked(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
-    """Whole rows in a struct beside their text and the positions that go."""
-    marks = (drop_marks(docs, min_chars, min_docs).groupBy("doc_id", "text_key")
-             .agg(F.collect_set("places").alias("places")))
+    """Whole rows in a struct beside their text and its bitmap, null where every line stays."""
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)).alias("doc_id"),
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)).alias("doc_id"),
                        F.xxhash64(text).alias("text_key"), text.alias("text"))
     # The bitmap side is hashed, so the texts are shuffled once and never sorted.
-    return rows.join(marks.hint("shuffle_hash"), ["doc_id", "text_key"], "left")
+    return rows.join(keep_bitmaps(docs, min_chars, min_docs).hint("shuffle_hash"), ["doc_id", "text_key"], "left")
 
 
 def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, with_text: bool = True) -> DataFrame:
@@ -199,14 +213,15 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, with_tex
 
     A line's key is the line without white space at its ends and with A-Z lowered; keys under `min_chars` code
     points stay. Returns a row for each input row: doc_id, n_lines, n_dropped, keep (zlib-compressed bitmap of the
-    lines that stay, see `read_bitmap`), text (null unless `with_text`) and kept_sha256.
+    lines that stay, null where all do, see `read_bitmap`), text (null unless `with_text`) and kept_sha256.
 
     Null or empty text: one empty line, kept. A null doc_id is one id below all others. Rows that share a doc_id
     count as one document; identical rows get identical results. A line repeated inside a document goes or stays
     as a whole. An empty table gives no rows. Columns other than doc_id and text are ignored.
+    A very long text is one value of one task, as it was when read; its lines are hashed one by one.
     """
     joined = _marked(docs.select("doc_id", "text"), min_chars, min_docs)
-    out = joined.select("doc_id", F.col("text").cast("binary"), "places").mapInArrow(
+    out = joined.select("doc_id", F.col("text").cast("binary"), "keep").mapInArrow(
         _apply(with_text), "doc_id long, n_lines long, n_dropped long, keep binary, text string, kept_sha256 string")
     return out.withColumn("doc_id", public_id())
 
@@ -217,10 +232,10 @@ def dedup_rows(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = [_without(text, places)[0].decode() for text, places in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            kept = [_without(text, bitmap)[0].decode() for text, bitmap in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.string())], names=["row", "kept"])
 
     schema = T.StructType([T.StructField("row", docs.schema), T.StructField("kept", T.StringType())])
-    done = joined.select("row", F.col("text").cast("binary"), "places").mapInArrow(run, schema)
+    done = joined.select("row", F.col("text").cast("binary"), "keep").mapInArrow(run, schema)
     return done.select(*[F.when(F.col("row")["text"].isNotNull(), F.col("kept")).alias("text") if c == "text" else F.col("row")[c].alias(c)
                          for c in docs.columns])
