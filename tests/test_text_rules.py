@@ -165,3 +165,14 @@ def test_checks_agree_with_the_audit_of_a_log(spark):
     for mode in ("word", "substring"):
         log = G.audit(spark.createDataFrame([(x,) for x in statements], "sql string"), mode=mode).collect()
         assert [None if r.accepted else r.reason for r in log] == [G.check(spark, x, mode) for x in statements]
+
+
+def test_basins_are_broadcast(spark):
+    """Five rows of known size: profiles are joined where they were read, not sorted into five tasks."""
+    from thermocline.schema import BASIN_NAMES, basins
+    profiles = spark.createDataFrame([(i % 5 + 1,) for i in range(1000)], "basin int")  # of unknown size
+    joined = profiles.join(basins(spark), "basin")
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert basins(spark).dtypes == [("basin", "int"), ("basin_name", "string")]
+    assert {(r.basin_name, r["count"]) for r in joined.groupBy("basin_name").count().collect()} == {(n, 200) for n in BASIN_NAMES.values()}

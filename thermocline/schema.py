@@ -60,5 +60,6 @@ KM_PER_DEGREE = 111.0
 
 
 def basins(spark: SparkSession) -> DataFrame:
-    """The five-row basin dimension."""
-    return spark.createDataFrame(list(BASIN_NAMES.items()), "basin int, basin_name string")
+    """The five-row basin dimension, as literal rows: their size is known, so a join broadcasts them and leaves profiles in place."""
+    rows = ", ".join(f"({number}, '{name}')" for number, name in BASIN_NAMES.items())
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(basin, basin_name)")
