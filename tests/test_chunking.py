@@ -177,3 +177,12 @@ def test_running_numbers_of_one_crowded_day(spark):
     for r in numbered.orderBy("id").collect():
         assert r.before == before
         before += r.parts
+
+
+def test_parts_do_not_carry_their_group(spark, profile_rows):
+    """Each part is cut before it becomes a row; a row for each part with the whole group is quadratic in the group."""
+    rows = [("2024-01-01 00:00:00", *m) for m in _profile(200)]
+    chunks = C.chunk_profiles(profile_rows(rows))
+    plan = chunks._jdf.queryExecution().optimizedPlan().toString()
+    assert [line for line in plan.splitlines() if "Generate" in line] and not any("all#" in line for line in plan.splitlines() if "Generate" in line)
+    assert [len(r.measurements) for r in chunks.orderBy("chunk_number").collect()] == [15] * 13 + [5]

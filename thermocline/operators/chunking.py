@@ -46,11 +46,13 @@ def _collected_parts(rows: DataFrame, facts: DataFrame, keys, per_part: int) ->
     """Parts of groups small enough to hold as one row: a single shuffle of the measurements."""
     lists = rows.groupBy(*keys).agg(
         F.sort_array(F.collect_list(F.struct(*MEASUREMENT_FIELDS))).alias("all"))
+    others = [c for c in facts.columns if c not in keys]
     step = F.when(F.col("split"), F.lit(per_part)).otherwise(F.greatest(F.size("all"), F.lit(1)))
-    return (lists.join(facts, list(keys)).withColumn("step", step)
-            .select("*", F.posexplode(F.expr("sequence(0, size(all) - 1, step)")).alias("part", "at"))
-            .select(*keys, "part", F.slice("all", F.col("at") + 1, F.col("step")).alias("measurements"),
-                    *[c for c in facts.columns if c not in keys]))
+    # Cut before the parts become rows, so that no part carries its whole group along.
+    cut = F.expr("transform(sequence(0, size(all) - 1, step), at -> slice(all, at + 1, step))")
+    return (lists.join(facts, list(keys)).withColumn("step", step).select(*keys, *others, cut.alias("cut"))
+            .select(*keys, *others, F.posexplode("cut").alias("part", "measurements"))
+            .select(*keys, "part", "measurements", *others))
 
 
 def _spread_parts(rows: DataFrame, facts: DataFrame, keys, per_part: int) -> DataFrame:
