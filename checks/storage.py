@@ -10,7 +10,7 @@ from checks.search import _IP, _RESULTS, _VISIBLE, SQL_INDEX, SQL_QUERIES, _rank
 from thermocline.operators import quality as Q
 from thermocline.operators.vectors import exact_topk
 from thermocline.plans.ingest import ingest_directory, ingest_totals
-from thermocline.session import scratch_path
+from thermocline.session import remove_path, scratch_path
 from thermocline.sources import files, index as index_files
 from thermocline.streaming.ingest import ingest_available, ingest_changes
 
@@ -122,9 +122,8 @@ def _(spark, sf_dir):
     folder = scratch_path(spark, "mixed")
     rows = raw_rows(spark, sf_dir).drop("source_name")
     part = F.pmod(F.xxhash64(*rows.columns), F.lit(2)) == 0
-    rows.filter(part).coalesce(1).write.mode("append").option("header", True).option("escape", '"').csv(folder)
-    rows.filter(~part).withColumn("ship", F.lit("x")).select("ship", *reversed(rows.columns)).coalesce(1).write.mode("append").option(
-        "header", True).option("escape", '"').csv(folder)
+    _one_csv(rows.filter(part), f"{folder}/plain_raw.csv")
+    _one_csv(rows.filter(~part).withColumn("ship", F.lit("x")).select("ship", *reversed(rows.columns)), f"{folder}/turned_raw.csv")
     good = "1,2024-02-01 00:00:00,3,s,1,2,3,4,5"
     head = "basin,timestamp,cycle_number,vertical_sampling_scheme,longitude,latitude,pressure_decibar,salinity_psu,temperature_degC"
     for name, text in {"cut_raw.csv": f"{head}\n{good}\n1,13/02/2024 07:30 PM,3,s,1,2,3,4,5\n1,some day,3,s,1,2,3,4,5\n1,2024-02-01,3,s,1,2\n",
@@ -134,6 +133,23 @@ def _(spark, sf_dir):
     return totals.select("files", "files_failed", "rows_read", "rows_malformed", "rows_unparsed", "rows_kept", "rows_stored", "files_not_intact", "status")
 
 
+def _one_csv(rows, target):
+    """Rows as one CSV file: lines are made by all tasks, and one task only puts them after each other below the header."""
+    spark, parts, whole = rows.sparkSession, scratch_path(rows.sparkSession, "lines"), scratch_path(rows.sparkSession, "whole")
+    rows.write.option("header", False).option("escape", '"').csv(parts)
+    _put(spark, f"{parts}-header", ",".join(rows.columns) + "\n")
+    header, lines = (spark.read.option("lineSep", "\n").text(p) for p in (f"{parts}-header", parts))
+    header.union(lines).coalesce(1).write.option("lineSep", "\n").text(whole)
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(whole)
+    files = found.getFileSystem(spark._jsc.hadoopConfiguration())
+    place = spark._jvm.org.apache.hadoop.fs.Path(target)
+    files.mkdirs(place.getParent())
+    if not files.rename(files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{whole}/part-*"))[0].getPath(), place):
+        raise OSError(f"{target} could not be written")
+    for path in (parts, f"{parts}-header", whole):
+        remove_path(spark, path)
+
+
 def _put(spark, path, text):
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     out = place.getFileSystem(spark._jsc.hadoopConfiguration()).create(place)

@@ -141,3 +141,15 @@ def test_ingest_summary_counts(spark):
     raw = _raw(spark, {}, {"basin": ""}, {"latitude": "95"}).withColumn("source_name", F.lit("f.csv"))
     row = Q.ingest_summary(raw).first()
     assert (row.rows_read, row.rows_dropped, row.rows_rejected, row.rows_kept) == (3, 1, 1, 1)
+
+
+def test_day_order_is_found_once_and_broadcast(spark):
+    """However often rows are read, votes are counted once, and no task takes all rows of a large file."""
+    raw = spark.createDataFrame([("a", "13/02/2024"), ("a", "01/02/2024"), ("b", "2024-01-01"), ("b", None), ("c", "02/13/2024")],
+                                "source_name string, timestamp string")
+    found = Q.with_day_order(raw)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "Aggregate" not in plan
+    assert {(r.source_name, r.day_first) for r in found.collect()} == {("a", True), ("b", None), ("c", False)}
+    order = {r.source_name: (r.day_first, r.ambiguous) for r in Q.day_order(raw).collect()}
+    assert order == {"a": (True, 1), "b": (None, 0), "c": (False, 0)}

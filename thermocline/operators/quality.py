@@ -5,6 +5,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from thermocline.schema import CRITICAL_COLUMNS, PROFILE_COLUMNS, PROFILE_SCHEMA
+from thermocline.session import durable
 
 # Texts read as missing.
 NULL_TOKENS = [
@@ -45,6 +46,10 @@ QC_THRESHOLDS = {
 }
 
 
+#: Files whose date orders are broadcast.
+BROADCAST_FILES = 100_000
+
+
 def rename_temperature(df: DataFrame) -> DataFrame:
     """Normalise the one column the raw files spell with a capital letter."""
     if "temperature_degC" in df.columns:
@@ -102,16 +107,24 @@ def day_order(raw: DataFrame, by: str = "source_name") -> DataFrame:
 
     `day_first` is null where nothing tells or both kinds are as frequent; `ambiguous` counts the dates that follow it.
     """
-    first, second = _slashed(F.trim("timestamp"))
+    # Most texts have no slash, and those that have are matched once.
+    text = F.trim("timestamp")
+    numbers = [F.when(F.contains(text, F.lit("/")), n).alias(name) for n, name in zip(_slashed(text), ("_first", "_second"))]
+    first, second = F.col("_first"), F.col("_second")
     both = first.between(1, 12) & second.between(1, 12)
-    votes = raw.groupBy(by).agg(F.count_if((first > 12) & (second <= 12)).alias("days"), F.count_if((first <= 12) & (second > 12)).alias("months"),
+    votes = raw.select(by, *numbers).groupBy(by).agg(F.count_if((first > 12) & (second <= 12)).alias("days"), F.count_if((first <= 12) & (second > 12)).alias("months"),
                                 F.count_if(both & (first != second)).alias("ambiguous"))
     return votes.select(by, F.when(F.col("days") > F.col("months"), True).when(F.col("days") < F.col("months"), False).alias("day_first"), "ambiguous")
 
 
 def with_day_order(raw: DataFrame, by: str = "source_name") -> DataFrame:
-    """`raw` with day_first of its file, which `typed` follows."""
-    return raw.join(day_order(raw, by).select(by, "day_first"), by, "left")
+    """`raw` with day_first of its file, which `typed` follows.
+
+    The files' orders are found once, however often the rows are read, and broadcast unless there are very many files, so
+    that no task takes all rows of a large file.
+    """
+    order = durable(day_order(raw, by).select(by, "day_first"))
+    return raw.join(F.broadcast(order) if order.limit(BROADCAST_FILES + 1).count() <= BROADCAST_FILES else order, by, "left")
 
 
 def typed(df: DataFrame) -> DataFrame:

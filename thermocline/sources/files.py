@@ -112,7 +112,7 @@ def read_csv_files(spark: SparkSession, where) -> tuple:
                          columnPruning="false").csv(kind.paths))
         rows = rows.unionByName(read.select(
             *[F.col(f"c{places[c]}").alias(c) for c in PROFILE_COLUMNS],
-            _plain_path(F.regexp_extract("_metadata.file_path", "[^/]+$", 0)).alias("source_name"),
+            _plain_path(F.substring_index("_metadata.file_path", "/", -1)).alias("source_name"),
             F.col("bad").isNotNull().alias("malformed")))
     named = spark.createDataFrame(errors, "header string, error string")
     files = found.join(named, found["header"].eqNullSafe(named["header"])).select("source_path", "source_name", "modified", "length", "error")
