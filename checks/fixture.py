@@ -3,6 +3,8 @@
 Each input is a list of SQL expressions that mean the same in Spark and in an ANSI engine.
 """
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from thermocline.session import scratch_path
@@ -122,11 +124,28 @@ def raw_files(spark, sf_dir, by_source: bool) -> str:
         writer = rows.write if by_source else rows.drop("source_name").write
         if by_source:
             writer = writer.partitionBy("source_name")
-        writer.option("header", True).option("escape", '"').csv(path)
+        with open_writers(spark):
+            writer.option("header", True).option("escape", '"').csv(path)
         _STAGED[key] = path
     return _STAGED[key]
 
 
+#: Files that a task writes side by side; one that meets more partitions sorts the rest of its rows.
+OPEN_WRITERS = 16
+
+
+@contextmanager
+def open_writers(spark):
+    """Writing by a few partitions without sorting whole tasks by them first."""
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(OPEN_WRITERS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def raw_rows(spark, sf_dir) -> DataFrame:
     """Text rows with the name of their source."""
     return spark.read.options(**CSV_OPTIONS).csv(raw_files(spark, sf_dir, True))

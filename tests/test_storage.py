@@ -287,3 +287,41 @@ def test_clustered_layout_separates_times(spark, profile_rows, tmp_path):
 def test_shared_folder(spark):
     assert session.scratch_path(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
     assert session.scratch_path(spark, "x") != session.scratch_path(spark, "x")
+
+
+def test_names_of_sources_take_no_pattern(spark, tmp_path):
+    """A pattern that looks for the end of a path tries every place of it, for every row."""
+    from thermocline.sources.files import read_csv_files
+    head = "basin,timestamp,cycle_number,vertical_sampling_scheme,longitude,latitude,pressure_decibar,salinity_psu,temperature_degC"
+    names = {"a b+c_raw.csv", "d%20e_raw.csv"}
+    for name in names:
+        (tmp_path / name).write_text(f"{head}\n1,2024-02-01 00:00:00,3,s,1,2,3,4,5\n")
+    rows, _ = read_csv_files(spark, str(tmp_path))
+    assert "regexp" not in rows._jdf.queryExecution().analyzed().toString()
+    assert {r.source_name for r in rows.collect()} == names
+
+
+def test_staged_files_need_no_sort(spark, tmp_path):
+    from checks.fixture import open_writers
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(name)
+    rows = [(i, None if i % 3 == 0 else f"s{i % 3}") for i in range(30)]
+    with open_writers(spark):
+        assert int(spark.conf.get(name)) > 0
+        spark.createDataFrame(rows, "n long, source string").write.partitionBy("source").csv(str(tmp_path / "t"))
+    assert spark.conf.get(name) == before
+    assert {(r.n, r.source) for r in spark.read.schema("n long, source string").csv(str(tmp_path / "t")).collect()} == set(rows)
+
+
+def test_one_csv_is_written_by_all_tasks(spark, tmp_path):
+    """One file with its header first, whatever the number of tasks and whatever the texts hold."""
+    from checks.storage import _one_csv
+    rows = [(str(i), 'a "quoted", text' if i % 7 == 0 else None if i % 7 == 1 else "" if i % 7 == 2 else " x ") for i in range(100)]
+    target = tmp_path / "one" / "some_raw.csv"
+    _one_csv(spark.createDataFrame(rows, "n string, b string").repartition(5), str(target))
+    back = spark.read.option("header", True).option("escape", '"').csv(str(target))
+    assert back.columns == ["n", "b"] and target.read_text().startswith("n,b\n") and back.count() == 100
+    old = tmp_path / "old"
+    spark.createDataFrame(rows, "n string, b string").coalesce(1).write.option("header", True).option("escape", '"').csv(str(old))
+    assert sorted(next(old.glob("part-*")).read_text().splitlines()) == sorted(target.read_text().splitlines())
+    assert [p.name for p in target.parent.iterdir() if not p.name.startswith(".")] == ["some_raw.csv"]
