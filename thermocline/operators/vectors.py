@@ -5,7 +5,7 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from thermocline.session import durable, scratch_path
+from thermocline.session import durable
 
 # Queries travel to every task in blocks of up to this size.
 BROADCAST_BYTES = 32 << 20
@@ -13,6 +13,8 @@ BROADCAST_BYTES = 32 << 20
 MERGED_TASKS = 256
 QUERIES_PER_BLOCK = 2048
 VECTORS_PER_SHARD = 50_000
+# Queries of one task when there are more than may be broadcast, and vectors that make another task worth while.
+BLOCK_BYTES, LEAST_SHARD = 32 << 20, 500
 
 
 def validate_k(k: int, score_threshold: float = None) -> None:
@@ -126,8 +128,7 @@ def exact_topk(index: DataFrame, queries: DataFrame, k: int, metric: str = "ip",
 
     Each task scans its share of the index in place and emits at most k rows per query, so what is
     shuffled is k x tasks rows per query and never the index or the scored pairs. More queries than
-    ``broadcast_bytes`` hold go block by block, one scan of the index each, and every block's
-    result is written before the next. Scores are not rounded; ties are settled by id. Vectors of
+    ``broadcast_bytes`` hold are matched with shards of the index in one job (`_blocks`). Scores are not rounded; ties are settled by id. Vectors of
     another length than the queries are an error.
     """
     validate_k(k)
@@ -145,14 +146,30 @@ def exact_topk(index: DataFrame, queries: DataFrame, k: int, metric: str = "ip",
 
     if block.num_rows <= room:
         return ranked(block)
-    spark, path = index.sparkSession, scratch_path(index.sparkSession, "topk")
-    queries = durable(queries)
-    blocks = -(-queries.count() * 5 // (4 * room))  # a quarter more, as a hash deals unevenly
-    for i in range(blocks):
-        block = queries.filter(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == i).toArrow()
-        if block.num_rows:
-            ranked(block).write.mode("append").parquet(path)
-    return spark.read.parquet(path)
+    return _rank(_blocks(index, queries, k, largest, schema, room, query_id, query_vector, id_col, vector_col),
+                 query_id, id_col, k, largest)
+
+
+def _blocks(index, queries, k, largest, schema, room, query_id, query_vector, id_col, vector_col):
+    """Top k of each shard of the index for more queries than may be broadcast: one job over all pairs of a shard and a block.
+
+    A block holds about BLOCK_BYTES of queries and a shard at most about VECTORS_PER_SHARD vectors, so a task's memory is
+    bounded; the index is copied once for each block and the queries once for each shard. ``room`` queries are compared at once.
+    """
+    queries, spark = durable(queries), index.sparkSession
+    dimension = queries.agg(F.max(F.size(query_vector))).first()[0] or 1
+    vectors, asked = index.count(), queries.count()
+    # A quarter more, as a hash deals unevenly.
+    blocks = max(1, -(-asked * dimension * 8 * 5 // (4 * BLOCK_BYTES)))
+    wanted = -(-2 * spark.sparkContext.defaultParallelism // blocks)
+    shards = max(1, -(-vectors * 5 // (4 * VECTORS_PER_SHARD)), min(wanted, -(-vectors // LEAST_SHARD)))
+
+    def all_of(n):
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    v = index.withColumn("__shard", F.pmod(F.xxhash64(id_col), F.lit(shards)).cast("int")).withColumn("__block", all_of(blocks))
+    q = queries.withColumn("__block", F.pmod(F.xxhash64(query_id), F.lit(blocks)).cast("int")).withColumn("__shard", all_of(shards))
+    return _grid(v, q, ["__block", "__shard"], k, largest, schema, query_id, query_vector, id_col, vector_col, room)
 
 
 def _merge_groups(found, query_id, id_col, k, largest):
@@ -205,8 +222,8 @@ def _scan(index, block, k, largest, schema):
     return index.mapInArrow(local_topk, schema)
 
 
-def _grid(index, queries, cell, k, largest, schema, query_id, query_vector, id_col, vector_col):
-    """Match bounded blocks of queries with bounded shards of vectors, cell by cell."""
+def _grid(index, queries, cell, k, largest, schema, query_id, query_vector, id_col, vector_col, room=None):
+    """Match bounded blocks of queries with bounded shards of vectors, cell by cell; ``room`` queries at a time."""
     matrix, collector = _topk_collector(k, largest)
     names = [f.split()[0] for f in schema.split(", ")]
 
@@ -215,12 +232,16 @@ def _grid(index, queries, cell, k, largest, schema, query_id, query_vector, id_c
         if not left.num_rows or not right.num_rows:
             return pa.table({n: pa.array([], t) for n, t in zip(names, (
                 left.schema.field(query_id).type, right.schema.field(id_col).type, pa.float64()))})
-        ids = right.column(id_col).combine_chunks()
-        add, result = collector(matrix(left.column(query_vector).combine_chunks()))
-        add(ids.to_numpy(zero_copy_only=False), matrix(right.column(vector_col).combine_chunks()))
-        q, found, s = result()
-        taken = left.column(query_id).combine_chunks().take(pa.array(q))
-        return pa.table([taken, pa.array(found, type=ids.type), pa.array(s)], names=names)
+        ids, asked = right.column(id_col).combine_chunks(), left.column(query_id).combine_chunks()
+        numbers, vectors = ids.to_numpy(zero_copy_only=False), matrix(right.column(vector_col).combine_chunks())
+        queries, parts = matrix(left.column(query_vector).combine_chunks()), []
+        step = room or len(queries)
+        for at in range(0, len(queries), step):
+            add, result = collector(queries[at:at + step])
+            add(numbers, vectors)
+            q, found, s = result()
+            parts.append(pa.table([asked.take(pa.array(q + at)), pa.array(found, type=ids.type), pa.array(s)], names=names))
+        return pa.concat_tables(parts)
 
     return (queries.groupBy(*cell).cogroup(index.groupBy(*cell)).applyInArrow(cell_topk, schema))
 
