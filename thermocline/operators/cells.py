@@ -207,12 +207,35 @@ def probed_part(index: DataFrame, planned: DataFrame) -> DataFrame:
     return index.join(F.broadcast(wanted), "cell", "left_semi")  # at most MOST_CELLS rows
 
 
-def _scan_cells(index, block, k, largest, schema):
+def _packed(planned, numbers, query_id, query_vector):
+    """Queries with the listed cells as bits in the order of ``numbers``, the form in which they pass through the driver."""
+    shared = planned.sparkSession.sparkContext.broadcast(numbers)
+
+    def pack(batches):
+        import numpy as np
+        import pyarrow as pa
+        numbers = shared.value
+        for batch in batches:
+            for start in range(0, batch.num_rows, PROBED_TOGETHER):
+                part = batch.slice(start, PROBED_TOGETHER)
+                lists = part.column(2)
+                mask = np.zeros((part.num_rows, len(numbers)), dtype=bool)
+                at = np.repeat(np.arange(part.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+                mask[at, np.searchsorted(numbers, lists.flatten().to_numpy())] = True
+                bits = [row.tobytes() for row in np.packbits(mask, axis=1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(bits, pa.binary())],
+                                                 names=[query_id, query_vector, "cells"])
+
+    schema = T.StructType([planned.schema[query_id], planned.schema[query_vector], T.StructField("cells", T.BinaryType())])
+    return planned.select(query_id, query_vector, "cells").mapInArrow(pack, schema).toArrow()
+
+
+def _scan_cells(index, block, numbers, k, largest, schema):
     """Score the index where it lies; a task holds the queries of one cell at a time."""
     matrix, collector = _topk_collector(k, largest)
-    lists = block.column(2).combine_chunks()
-    flat = lists.flatten().to_numpy()
-    rows = np.repeat(np.arange(block.num_rows, dtype=np.int32), lists.value_lengths().to_numpy(zero_copy_only=False))
+    bits = np.frombuffer(b"".join(block.column(2).to_pylist()), dtype=np.uint8).reshape(block.num_rows, -1)
+    at, flat = np.nonzero(np.unpackbits(bits, axis=1, count=len(numbers)))
+    rows, flat = at.astype(np.int32), numbers[flat]
     order = np.argsort(flat, kind="stable")
     shared = index.sparkSession.sparkContext.broadcast((
         block.column(0).combine_chunks(), matrix(block.column(1).combine_chunks()), flat[order], rows[order]))
@@ -248,7 +271,7 @@ def _scan_cells(index, block, k, largest, schema):
     return index.mapInArrow(local_topk, schema)
 
 
-def _search(index, planned, k, metric, centres, query_id, query_vector, id_col, vector_col, broadcast_bytes):
+def _search(index, planned, k, metric, numbers, centres, query_id, query_vector, id_col, vector_col, broadcast_bytes):
     """The k best of the listed cells, in blocks of queries that may be broadcast."""
     largest = metric == "ip"
     schema = _result_schema(planned, index, query_id, id_col) + ", cell int"
@@ -258,7 +281,8 @@ def _search(index, planned, k, metric, centres, query_id, query_vector, id_col,
     planned = planned.select(query_id, query_vector, "cells")
 
     def ranked(part):
-        found = _scan_cells(probed_part(index, part), part.toArrow(), k, largest, schema)
+        block = _packed(part, numbers, query_id, query_vector)
+        found = _scan_cells(probed_part(index, part), block, numbers, k, largest, schema)
         return _rank(_merge_groups(found, query_id, id_col, k, largest), query_id, id_col, k, largest)
 
     if count == 0:
@@ -288,17 +312,17 @@ def cell_topk(index: DataFrame, queries: DataFrame, k: int, metric: str = "ip",
     if probes <= 0:
         raise ValueError("probes must be positive")
     queries = queries.select(query_id, query_vector).filter(F.col(query_vector).isNotNull())
-    _, centres, _ = _centres(cells)
+    numbers, centres, _ = _centres(cells)
     if not len(centres):
         return _empty(index, queries, query_id, id_col).withColumn("cell", F.lit(None).cast("int"))
     names = (query_id, query_vector, id_col, vector_col, broadcast_bytes)
     planned = nearest_cells(queries, cells, probes, query_id, query_vector)
-    found = _search(index, planned, k, metric, centres, *names)
+    found = _search(index, planned, k, metric, numbers, centres, *names)
     if not exact:
         return found
     found = durable(found)
     rest = remaining_cells(planned, found, cells, k, metric, query_id, query_vector)
-    more = _search(index, rest, k, metric, centres, *names)
+    more = _search(index, rest, k, metric, numbers, centres, *names)
     return _rank(found.unionByName(more).drop("rank"), query_id, id_col, k, metric == "ip")
 
 
