@@ -168,3 +168,11 @@ def test_retrieval_from_cells(spark, profile_rows, tmp_path, strategy):
         assert shown(C.cell_search(cells, 1, exact=True), **options) == shown(V.exact_topk, **options)
     with pytest.raises(ValueError):
         P.build_index(profile_rows(rows), kind="graph")
+
+
+def test_cells_pass_the_driver_as_bits(spark):
+    numbers = np.arange(0, 40, 2, dtype=np.int32)
+    planned = spark.createDataFrame([(1, [1.0], [0, 38]), (2, [2.0], [])], "query_id long, query_vector array<float>, cells array<int>")
+    block = C._packed(planned, numbers, "query_id", "query_vector").sort_by("query_id")
+    bits = [np.unpackbits(np.frombuffer(b, np.uint8), count=20) for b in block.column("cells").to_pylist()]
+    assert [list(numbers[np.nonzero(b)[0]]) for b in bits] == [[0, 38], []] and len(block.column("cells")[0].as_py()) == 3

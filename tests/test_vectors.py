@@ -186,3 +186,18 @@ def test_caller_encoder_is_normalised_and_batched(spark):
     for r in encode(df, encoder=factory, dimension=2, batch_size=2).collect():
         want = np.array([r.id, 1.0]) / np.hypot(r.id, 1.0)
         assert np.allclose(r.embedding, want, atol=1e-6)
+
+
+@pytest.mark.parametrize("metric", ["ip", "l2"])
+def test_more_queries_than_may_be_broadcast_take_one_job(spark, monkeypatch, metric):
+    """Blocks are no jobs of their own, whatever their number."""
+    rng = np.random.default_rng(5)
+    vectors = [(i, [float(x) for x in v]) for i, v in enumerate(rng.integers(-3, 4, (300, 4)))]
+    index = spark.createDataFrame(vectors, "chunk_id long, embedding array<float>")
+    queries = spark.createDataFrame(vectors + [(999, None)], "query_id long, query_vector array<float>")
+    monkeypatch.setattr(V, "BLOCK_BYTES", 4 * 8 * 100)
+    monkeypatch.setattr(V, "LEAST_SHARD", 50)
+    found = V.exact_topk(index, queries, 3, metric, broadcast_bytes=4 * 8 * 7)
+    assert "FlatMapCoGroups" in found._jdf.queryExecution().optimizedPlan().toString()
+    whole = V.exact_topk(index, queries, 3, metric)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, whole.select(found.columns).collect()))
