@@ -83,6 +83,13 @@ def test_clean_one_row(spark):
     assert (row.basin, row.cycle_number, row.pressure_decibar, row.temperature_degc) == (2, 12, 100.5, 12.5)
 
 
+def test_clean_parses_once(spark):
+    """The filter of clean reads what was parsed and does not parse it again."""
+    plan = Q.clean(_raw(spark, {}, {"timestamp": "some day"}))._jdf.queryExecution().optimizedPlan().toString()
+    filters = [line for line in plan.splitlines() if line.strip(" +-:").startswith("Filter")]
+    assert filters and not any("RLIKE" in line.upper() or "try_cast" in line for line in filters)
+
+
 @pytest.mark.parametrize("change", [
     {"basin": "NULL"}, {"timestamp": "never"}, {"cycle_number": ""}, {"cycle_number": "1.5"}, {"longitude": "nan"},
     {"latitude": "north"}, {"pressure_decibar": "n/a"},

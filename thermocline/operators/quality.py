@@ -227,11 +227,11 @@ def clean(raw: DataFrame, null_policy: str = "zero") -> DataFrame:
     rows = typed(rename_temperature(raw))
     if "malformed" in rows.columns:
         rows = rows.filter(~F.col("malformed"))
-    # The same rows as drop_critical and range_validate, with every column named once: the parsing
-    # expressions are inlined into this filter.
-    kept = rows.drop("malformed", "day_first").filter(
-        F.col("timestamp").isNotNull() & F.col("cycle_number").isNotNull() & F.col("basin").isNotNull()
-        & (F.abs("longitude") <= 180) & (F.abs("latitude") <= 90) & (F.col("pressure_decibar") >= 0))
+    # The same rows as drop_critical and range_validate. A filter on parsed columns alone would be moved below their parsing
+    # and parse all of them a second time; beside a task's number, which cannot be moved, they are parsed once.
+    kept = rows.drop("malformed", "day_first").withColumn("_task", F.spark_partition_id()).filter(
+        (F.col("_task") >= 0) & F.col("timestamp").isNotNull() & F.col("cycle_number").isNotNull() & F.col("basin").isNotNull()
+        & (F.abs("longitude") <= 180) & (F.abs("latitude") <= 90) & (F.col("pressure_decibar") >= 0)).drop("_task")
     return fill_defaults(kept, null_policy)
 
 
