@@ -277,7 +277,9 @@ def _(spark, sf_dir):
 @query("v_profile_similarity")
 def _(spark, sf_dir):
     """For the deepest chunk of each basin, the chunks most like it."""
-    rows = chunks(spark, sf_dir)
+    path = scratch_path(spark, "chunks")
+    chunks(spark, sf_dir).write.parquet(path)
+    rows = spark.read.parquet(path)
     deepest = rows.groupBy("metadata.basin").agg(F.max_by("measurements", F.struct(
         F.element_at("measurements", -1)["pressure_decibar"], "chunk_id")).alias("measurements"))
     queries = R.profile_queries(deepest.withColumnRenamed("basin", "query_id"))

@@ -134,6 +134,20 @@ def test_similar_profile_finds_itself_first(spark, index):
     assert len(best) == 12 and best[0].score >= best[-1].score
 
 
+def test_queries_are_made_once(spark, index):
+    """Queries are read several times; what made them, here a function of each text, runs once."""
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(text):
+        made.add(1)
+        return text
+
+    texts = spark.createDataFrame([(0, "Cycle: 7 temperature"), (1, "Basin 2 salinity")], "query_id int, query string")
+    texts = texts.withColumn("query", F.udf(counted, "string").asNondeterministic()("query"))
+    found = P.retrieve(index, P.text_queries(spark, texts), 4).collect()
+    assert len(found) == 8 and made.value == 2
+
+
 def test_k_is_capped_and_checked(spark, index):
     queries = P.text_queries(spark, ["profile"])
     assert P.retrieve(index, queries, 500).count() == 12

@@ -10,6 +10,7 @@ from thermocline.operators.embedding import encode, prepare
 from thermocline.operators.sqlguard import guarded_sql
 from thermocline.operators.vectors import exact_topk, validate_k
 from thermocline.schema import VECTOR_DIMENSION
+from thermocline.session import durable
 
 STRATEGIES = ("similarity", "mmr", "hybrid")
 BROADCAST_RESULTS = 200_000
@@ -58,6 +59,8 @@ def candidates(index: DataFrame, queries: DataFrame, k: int, metadata_filters: d
     that pass, so that the filter reaches the index scan.
     """
     validate_k(k, score_threshold)
+    # Read by the search, to count them and beside the results; what made them may be a whole table.
+    queries = durable(queries)
     if metadata_filters and filter_mode == "pre":
         index = index.filter(rerank.metadata_predicate(index, metadata_filters))
     found = search(index, queries, 2 * k)
