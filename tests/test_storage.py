@@ -325,3 +325,27 @@ def test_one_csv_is_written_by_all_tasks(spark, tmp_path):
     spark.createDataFrame(rows, "n string, b string").coalesce(1).write.option("header", True).option("escape", '"').csv(str(old))
     assert sorted(next(old.glob("part-*")).read_text().splitlines()) == sorted(target.read_text().splitlines())
     assert [p.name for p in target.parent.iterdir() if not p.name.startswith(".")] == ["some_raw.csv"]
+
+
+def test_sources_are_listed_without_sorting_rows(spark, tmp_path, monkeypatch):
+    """Sources, months and rows are counted by hash: no task sorts the rows that it reads, whatever their number."""
+    rows = spark.createDataFrame([(1, t, 4, "s", 1.0, 2.0, 3.0, 4.0, 5.0, name) for t, name in (
+        ("2024-01-05", "a_raw.csv"), ("2024-02-05", "a_raw.csv"), (None, None), ("2024-01-05", "b_raw.csv"))],
+        "basin int, timestamp string, cycle_number int, vertical_sampling_scheme string, longitude double, latitude double, "
+        "pressure_decibar double, salinity_psu double, temperature_degc double, source_name string")
+    rows = rows.withColumn("timestamp", F.to_timestamp("timestamp"))
+    kept, plans = months.durable, []
+
+    def recording(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return kept(df)
+
+    monkeypatch.setattr(months, "durable", recording)
+    path = str(tmp_path / "stored")
+    for _ in range(2):
+        files.write_profiles(rows, path)
+    counting = [p for p in plans if "timestamp" in p or "FileScan" in p and "incoming" in p]
+    assert counting and not any("SortAggregate" in p for p in counting)
+    listed = months.sources(spark, path).select("source_name", "month", "rows").collect()
+    assert sorted(map(tuple, listed)) == [("", 0, 1), ("a_processed", 202401, 1), ("a_processed", 202402, 1), ("b_processed", 202401, 1)]
+    assert files.read_profiles(spark, path).count() == 4

@@ -64,7 +64,8 @@ def replace_sources(rows: DataFrame, path: str, files: DataFrame = None, staged:
     (rows.select(*PROFILE_COLUMNS, name.alias("source_name"))
      .withColumns({"month": month_of(F.col("timestamp")), "slot": slot_of(F.col("source_name"))}).write.mode("overwrite").parquet(place))
     new = spark.read.schema(ROWS_SCHEMA).parquet(place)
-    counts = new.groupBy("source_name", "month").agg(F.count(F.lit(1)).alias("rows"))
+    # Stored, as the maxima below are of texts: over the rows themselves each scan task would be sorted by source.
+    counts = durable(new.groupBy("source_name", "month").agg(F.count(F.lit(1)).alias("rows")))
     listed = counts.select("source_name") if files is None else files.withColumn("source_name", name)
     known = [F.max(F.col(c) if c in listed.columns else F.lit(None).cast(t)).alias(c) for c, t in FILE_STATE.items()]
     listed = listed.groupBy("source_name").agg(*known)
