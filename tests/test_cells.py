@@ -176,3 +176,66 @@ def test_cells_pass_the_driver_as_bits(spark):
     block = C._packed(planned, numbers, "query_id", "query_vector").sort_by("query_id")
     bits = [np.unpackbits(np.frombuffer(b, np.uint8), count=20) for b in block.column("cells").to_pylist()]
     assert [list(numbers[np.nonzero(b)[0]]) for b in bits] == [[0, 38], []] and len(block.column("cells")[0].as_py()) == 3
+
+
+@pytest.mark.parametrize("metric", ["ip", "l2"])
+def test_blocks_and_parts_of_cells_are_exact(spark, data, stored, monkeypatch, metric):
+    """Blocks of a few queries, shards of some cells or of a part of one."""
+    index, cells, _ = stored
+    monkeypatch.setattr(C, "LEAST_SHARD", 5)
+    queries = _frame(spark, data[1], "query_id", "query_vector")
+    for most in (20, 130):
+        monkeypatch.setattr(C, "VECTORS_PER_SHARD", most)
+        found = C.cell_topk(index, queries, 7, metric, cells=cells, probes=2, exact=True, broadcast_bytes=900)
+        assert _rows(found) == _rows(V.exact_topk(index, queries, 7, metric))
+        own = {r.chunk_id: r.cell for r in index.select("chunk_id", "cell").collect()}
+        assert all(own[r.chunk_id] == r.cell for r in found.collect())
+
+
+def test_blocks_are_one_job(spark, data, stored):
+    """The number of jobs does not grow with the number of blocks of queries."""
+    index, cells, _ = stored
+    queries, context = _frame(spark, data[1], "query_id", "query_vector"), spark.sparkContext
+
+    def jobs(broadcast_bytes):
+        group = f"blocks of {broadcast_bytes} bytes"
+        context.setJobGroup(group, group)
+        try:
+            C.cell_topk(index, queries, 3, cells=cells, probes=2, exact=True, broadcast_bytes=broadcast_bytes).count()
+        finally:
+            context.setLocalProperty("spark.jobGroup.id", None)
+        return len(context.statusTracker().getJobIdsForGroup(group))
+
+    assert jobs(1) <= jobs(900) + 12  # some joins take a job more or less
+
+
+def test_bounds_are_carried_from_tile_to_tile():
+    rng = np.random.default_rng(2)
+    queries, vectors = rng.normal(size=(6, 8)), rng.normal(size=(4000, 8))
+    vectors[1500:1520] = vectors[7]
+    for largest in (True, False):
+        bad = -queries @ vectors.T if largest else ((queries[:, None] - vectors[None]) ** 2).sum(2)
+        want = [set(np.lexsort((np.arange(4000), row))[:30]) for row in bad]
+        add, result = V._topk_collector(30, largest)[1](queries)
+        for cell in range(4):
+            add(np.arange(cell, 4000, 4), vectors[cell::4], None, cell)
+        q, ids, score, tags = result()
+        assert [set(ids[q == i]) for i in range(6)] == want and list(tags) == [i % 4 for i in ids]
+        # Nothing worse than the bound, and what ties with it, of the queries asked for.
+        cut = np.sort(bad, axis=1)[:, 9] * (1 + 1e-12 * np.sign(np.sort(bad, axis=1)[:, 9]))
+        add, result = V._topk_collector(30, largest)[1](queries, cut)
+        add(np.arange(4000), vectors, np.array([1, 4]))
+        q, ids, score, _ = result()
+        assert sorted(set(q)) == [1, 4] and all(len(ids[q == i]) == (bad[i] <= cut[i]).sum() >= 10 for i in (1, 4))
+
+
+def test_odd_values_hide_no_vector_and_large_ones_are_compared():
+    vectors = np.ones((50, 4))
+    vectors[:, 0] = np.arange(50)
+    vectors[3, 1], vectors[4, 1] = np.nan, -np.inf
+    for scale in (1.0, 1e200, 1e-200):
+        queries = np.array([[scale, 0, 0, 0], [0.0, 1.0, 0, 0]])
+        add, result = V._topk_collector(2, True)[1](queries)
+        add(np.arange(50), vectors)
+        q, ids, _, _ = result()
+        assert list(ids[q == 0]) == [49, 48] and list(ids[q == 1]) == [0, 1]

@@ -10,9 +10,9 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from thermocline.operators.vectors import (BROADCAST_BYTES, _empty, _merge_groups, _rank, _result_schema,
-                                           _topk_collector, assign_cells, train_cells, validate_k)
-from thermocline.session import durable, scratch_path
+from thermocline.operators.vectors import (BROADCAST_BYTES, LEAST_SHARD, VECTORS_PER_SHARD, _empty, _merge_groups, _rank,
+                                           _result_schema, _topk_collector, assign_cells, train_cells, validate_k)
+from thermocline.session import durable
 
 #: Centres travel to every task: at most so many, and so many bytes of them.
 MOST_CELLS, CENTRE_BYTES = 4096, 64 << 20
@@ -27,7 +27,8 @@ def with_cells(indexed: DataFrame, cells: int = None, id_col="chunk_id", vector_
     """Add ``cell``; rows without a vector are left out. By default there are about as many cells
     as each cell has vectors, at most ``MOST_CELLS``. Centres are fitted on at most about
     ``FIT_PER_CELL`` vectors a cell, chosen by a hash of the id; every vector is assigned."""
-    rows = durable(indexed.filter(F.col(vector_col).isNotNull()))
+    # One task may read all vectors; the passes that fit and assign centres are for many.
+    rows = durable(indexed.filter(F.col(vector_col).isNotNull()).hint("rebalance"))
     count = rows.count()
     if count == 0:
         return rows.withColumn("cell", F.lit(0))
@@ -77,8 +78,9 @@ def _centres(cells: DataFrame):
     return rows.column("cell").to_numpy(), centres, radii
 
 
-def _choose(queries, cells, choose_rows, query_id, query_vector):
-    """Add the list ``cells`` to search; ``choose_rows(queries, centres, radii, batch)`` gives a mask."""
+def _choose(queries, cells, choose_rows, query_id, query_vector, kept=None):
+    """Add the list ``cells`` to search; ``choose_rows(queries, centres, radii, batch)`` gives a mask. With ``kept``, the name
+    of a column to keep, cells are bits in their order instead, and queries without a cell are left out."""
     shared = queries.sparkSession.sparkContext.broadcast(cells)
 
     def chosen(batches):
@@ -93,6 +95,11 @@ def _choose(queries, cells, choose_rows, query_id, query_vector):
                     raise ValueError(f"a query does not have the index's {centres.shape[1]} elements")
                 q = vectors.flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1).astype(np.float64)
                 mask = choose_rows(q, centres, radii, part)
+                if kept:
+                    some = mask.any(1)
+                    batch_of = [part.column(part.schema.get_field_index(name)) for name in (query_id, query_vector, kept)]
+                    yield pa.RecordBatch.from_arrays([*batch_of, _bit_rows(mask)], names=names).filter(pa.array(some))
+                    continue
                 lists = pa.ListArray.from_arrays(
                     pa.array(np.concatenate([[0], mask.sum(1).cumsum()]).astype(np.int32)),
                     pa.array(numbers[np.nonzero(mask)[1]].astype(np.int32)))
@@ -100,11 +107,21 @@ def _choose(queries, cells, choose_rows, query_id, query_vector):
                     [part.column(part.schema.get_field_index(query_id)), vectors, lists],
                     names=[query_id, query_vector, "cells"])
 
+    names = [query_id, query_vector, kept, "cells"]
     schema = T.StructType([queries.schema[query_id], queries.schema[query_vector],
                            T.StructField("cells", T.ArrayType(T.IntegerType()))])
+    if kept:
+        schema = T.StructType([*[queries.schema[name] for name in names[:3]], T.StructField("cells", T.BinaryType())])
     return durable(queries.mapInArrow(chosen, schema))
 
 
+def _bit_rows(mask):
+    """Each row of a mask as bytes."""
+    import numpy as np
+    import pyarrow as pa
+    return pa.array([row.tobytes() for row in np.packbits(mask, axis=1)], pa.binary())
+
+
 def nearest_cells(queries: DataFrame, cells: DataFrame, probes: int, query_id="query_id",
                   query_vector="query_vector") -> DataFrame:
     """Queries with the ``probes`` cells whose centres are nearest."""
@@ -155,12 +172,13 @@ def probes_for_recall(index: DataFrame, queries: DataFrame, k: int, metric: str
 
 
 def remaining_cells(searched: DataFrame, found: DataFrame, cells: DataFrame, k: int, metric: str,
-                    query_id="query_id", query_vector="query_vector") -> DataFrame:
+                    query_id="query_id", query_vector="query_vector", packed: bool = False) -> DataFrame:
     """Queries with the cells not searched yet that could hold something at least as good as the
     k-th result; queries without such a cell are left out.
 
     No vector of a cell is nearer than the centre less the radius, and none has a larger inner
-    product than the centre's plus the radius times the query's length. Rounding is allowed for.
+    product than the centre's plus the radius times the query's length. Rounding is allowed for. ``packed`` gives cells as
+    bits, and ``__bad`` of the k-th result beside them.
     """
     largest = metric == "ip"
     bad = -F.col("score") if largest else F.col("score")
@@ -190,8 +208,8 @@ def remaining_cells(searched: DataFrame, found: DataFrame, cells: DataFrame, k:
         mask[at, np.searchsorted(numbers, done.flatten().to_numpy())] = False
         return mask
 
-    chosen = _choose(rows, (numbers, centres, radii), could, query_id, query_vector)
-    return chosen.filter(F.size("cells") > 0)
+    chosen = _choose(rows, (numbers, centres, radii), could, query_id, query_vector, "__bad" if packed else None)
+    return chosen if packed else chosen.filter(F.size("cells") > 0)
 
 
 def pairs_scored(planned: DataFrame, cells: DataFrame) -> DataFrame:
@@ -207,8 +225,8 @@ def probed_part(index: DataFrame, planned: DataFrame) -> DataFrame:
     return index.join(F.broadcast(wanted), "cell", "left_semi")  # at most MOST_CELLS rows
 
 
-def _packed(planned, numbers, query_id, query_vector):
-    """Queries with the listed cells as bits in the order of ``numbers``, the form in which they pass through the driver."""
+def _bits(planned, numbers, query_id, query_vector):
+    """Queries with the listed cells as bits in the order of ``numbers``."""
     shared = planned.sparkSession.sparkContext.broadcast(numbers)
 
     def pack(batches):
@@ -222,79 +240,167 @@ def _packed(planned, numbers, query_id, query_vector):
                 mask = np.zeros((part.num_rows, len(numbers)), dtype=bool)
                 at = np.repeat(np.arange(part.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
                 mask[at, np.searchsorted(numbers, lists.flatten().to_numpy())] = True
-                bits = [row.tobytes() for row in np.packbits(mask, axis=1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(bits, pa.binary())],
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), _bit_rows(mask)],
                                                  names=[query_id, query_vector, "cells"])
 
     schema = T.StructType([planned.schema[query_id], planned.schema[query_vector], T.StructField("cells", T.BinaryType())])
-    return planned.select(query_id, query_vector, "cells").mapInArrow(pack, schema).toArrow()
+    return planned.select(query_id, query_vector, "cells").mapInArrow(pack, schema)
+
+
+def _packed(planned, numbers, query_id, query_vector):
+    """Queries with the listed cells as bits, the form in which they pass through the driver."""
+    return _bits(planned, numbers, query_id, query_vector).toArrow()
+
+
+def _masks(array, cells):
+    """Cells that are bits, as a matrix of a row per query."""
+    import numpy as np
+    bits = np.frombuffer(b"".join(array.to_pylist()), dtype=np.uint8).reshape(len(array), -1)
+    return np.unpackbits(bits, axis=1, count=cells).astype(bool)
 
 
 def _scan_cells(index, block, numbers, k, largest, schema):
-    """Score the index where it lies; a task holds the queries of one cell at a time."""
+    """Score the index where it lies; a task holds the k best of each query so far."""
     matrix, collector = _topk_collector(k, largest)
-    bits = np.frombuffer(b"".join(block.column(2).to_pylist()), dtype=np.uint8).reshape(block.num_rows, -1)
-    at, flat = np.nonzero(np.unpackbits(bits, axis=1, count=len(numbers)))
-    rows, flat = at.astype(np.int32), numbers[flat]
+    rows, flat = np.nonzero(_masks(block.column("cells"), len(numbers)))
+    rows, flat = rows.astype(np.int32), numbers[flat]
     order = np.argsort(flat, kind="stable")
+    cut = block.column("__bad").to_numpy() if "__bad" in block.column_names else None
     shared = index.sparkSession.sparkContext.broadcast((
-        block.column(0).combine_chunks(), matrix(block.column(1).combine_chunks()), flat[order], rows[order]))
+        block.column(0).combine_chunks(), matrix(block.column(1).combine_chunks()), flat[order], rows[order], cut))
+    part = index.sparkSession.createDataFrame([(sorted({int(x) for x in flat}),)], "cells array<int>")
 
     def local_topk(batches):
         import numpy as np
         import pyarrow as pa
-        query_ids, queries, by_cell, query_rows = shared.value
-        cell, mine, search, id_type = None, None, None, None
-
-        def flush():
-            best = search[1]() if search else None
-            if best is not None:
-                q, ids, s = best
-                yield pa.RecordBatch.from_arrays(
-                    [query_ids.take(pa.array(mine[q])), pa.array(ids, type=id_type), pa.array(s),
-                     pa.array(np.full(len(q), cell, dtype=np.int32))], names=[f.split()[0] for f in schema.split(", ")])
-
+        query_ids, queries, by_cell, query_rows, cut = shared.value
+        add, result = collector(queries, cut)
+        id_type = None
         for batch in batches:
             numbers = batch.column(0).to_numpy(zero_copy_only=False)
             for number in np.unique(numbers):
-                if number != cell:
-                    yield from flush()
-                    cell = number
-                    mine = query_rows[slice(*np.searchsorted(by_cell, [number, number + 1]))]
-                    search = collector(queries[mine]) if len(mine) else None
-                if search:
+                mine = query_rows[slice(*np.searchsorted(by_cell, [number, number + 1]))]
+                if len(mine):
                     part = batch.filter(pa.array(numbers == number))
                     id_type = part.column(1).type
-                    search[0](part.column(1).to_numpy(zero_copy_only=False), matrix(part.column(2)))
-        yield from flush()
-
-    return index.mapInArrow(local_topk, schema)
+                    add(part.column(1).to_numpy(zero_copy_only=False), matrix(part.column(2)), mine, number)
+        best = result()
+        if best is not None:
+            q, ids, s, cells = best
+            yield pa.RecordBatch.from_arrays(
+                [query_ids.take(pa.array(q)), pa.array(ids, type=id_type), pa.array(s), pa.array(cells.astype(np.int32))],
+                names=[f.split()[0] for f in schema.split(", ")])
+
+    return probed_part(index, part).mapInArrow(local_topk, schema)
+
+
+def _match_cells(index, planned, k, largest, schema, numbers, sizes, block_queries, query_id, query_vector, id_col, vector_col):
+    """Top k of each shard of the index for more queries than may be broadcast, in one job: a task holds a block of queries
+    and a shard, which is some cells or a part of a crowded one. Queries go to the shards that hold a cell of theirs, and a
+    shard's vectors to the blocks that ask for their cell."""
+    spark, count = planned.sparkSession, planned.count()
+    blocks = max(1, -(-count * 5 // (4 * block_queries)))
+    wanted = -(-2 * spark.sparkContext.defaultParallelism // blocks)
+    most = max(1, min(VECTORS_PER_SHARD, max(LEAST_SHARD, -(-int(sizes.sum()) // wanted))))
+    # Cells in order fill shards of about ``most`` vectors; one of more has shards of its own.
+    parts, first, shard, room = np.maximum(1, -(-sizes // most)), np.zeros(len(sizes), dtype=np.int64), -1, 0
+    for i, n in enumerate(sizes):
+        if shard < 0 or parts[i] > 1 or n > room:
+            first[i] = shard + 1
+            shard, room = shard + int(parts[i]), most - int(n) if parts[i] == 1 else 0
+        else:
+            first[i], room = shard, room - int(n)
+    held = np.zeros((len(sizes), shard + 1), dtype=np.float32)
+    for i in range(len(sizes)):
+        held[i, first[i]:first[i] + parts[i]] = 1
+    shared = spark.sparkContext.broadcast((numbers, held))
+    planned = planned.withColumn("__block", F.pmod(F.xxhash64(query_id), F.lit(blocks)).cast("int"))
+
+    def to_shards(batches):
+        import numpy as np
+        import pyarrow as pa
+        numbers, held = shared.value
+        for batch in batches:
+            for start in range(0, batch.num_rows, PROBED_TOGETHER):
+                part = batch.slice(start, PROBED_TOGETHER)
+                mask = _masks(part.column(part.schema.get_field_index("cells")), len(numbers))
+                asked = (mask.astype(np.float32) @ held) > 0
+                rows, shards = np.nonzero(asked)
+                grown = part.take(pa.array(rows))
+                yield pa.RecordBatch.from_arrays([*grown.columns, pa.array(shards.astype(np.int32))],
+                                                 names=[*part.schema.names, "__shard"])
+
+    def to_blocks(batches):
+        import numpy as np
+        import pyarrow as pa
+        numbers, _ = shared.value
+        asked = {}
+        for batch in batches:
+            at = batch.column(0).to_numpy(zero_copy_only=False)
+            for block in np.unique(at):
+                part = batch.filter(pa.array(at == block))
+                for start in range(0, part.num_rows, 16 * PROBED_TOGETHER):
+                    mask = _masks(part.column(1).slice(start, 16 * PROBED_TOGETHER), len(numbers)).any(0)
+                    asked[block] = asked[block] | mask if block in asked else mask
+        for block, mask in asked.items():
+            cells = numbers[mask].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(np.full(len(cells), block, dtype=np.int32))],
+                                             names=["cell", "__block"])
 
+    matrix, collector = _topk_collector(k, largest)
+    names = [f.split()[0] for f in schema.split(", ")]
 
-def _search(index, planned, k, metric, numbers, centres, query_id, query_vector, id_col, vector_col, broadcast_bytes):
-    """The k best of the listed cells, in blocks of queries that may be broadcast."""
+    def matched(left, right):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        asked, ids = left.column(query_id).combine_chunks(), right.column(id_col).combine_chunks()
+        best = None
+        if left.num_rows and right.num_rows:
+            mask = _masks(left.column("cells"), len(shared.value[0]))
+            cut = left.column("__bad").to_numpy() if "__bad" in left.column_names else None
+            add, result = collector(matrix(left.column(query_vector).combine_chunks()), cut)
+            vectors = matrix(right.column(vector_col).combine_chunks())
+            # Ids as numbers in their order.
+            by_id = pc.sort_indices(ids, null_placement="at_start").to_numpy()
+            places = np.empty(len(by_id), dtype=np.int64)
+            places[by_id] = np.arange(len(by_id))
+            cells = right.column("cell").to_numpy()
+            by_cell = np.argsort(cells, kind="stable")
+            found, starts = np.unique(cells[by_cell], return_index=True)
+            for cell, rows in zip(found, np.split(by_cell, starts[1:])):
+                mine = np.flatnonzero(mask[:, np.searchsorted(shared.value[0], cell)])
+                add(places[rows], vectors[rows], mine, cell)
+            best = result()
+        q, r, s, tags = best or (np.zeros(0, dtype=np.int64),) * 4
+        return pa.table([asked.take(pa.array(q)), ids.take(pa.array(by_id[r] if best else r)), pa.array(s, pa.float64()),
+                         pa.array(tags, pa.int32())], names=names)
+
+    queries = planned.mapInArrow(to_shards, T.StructType([*planned.schema.fields, T.StructField("__shard", T.IntegerType())]))
+    asked = planned.select("__block", "cells").mapInArrow(to_blocks, "cell int, __block int").distinct()
+    rows = [(int(c), int(f), int(p)) for c, f, p in zip(numbers, first, parts)]  # at most MOST_CELLS
+    deal = F.broadcast(spark.createDataFrame(rows, "cell int, __first int, __parts int"))
+    shard = F.col("__first") + F.pmod(F.xxhash64(id_col), F.col("__parts")).cast("int")
+    vectors = (index.join(deal, "cell").withColumn("__shard", shard).drop("__first", "__parts").join(asked, "cell"))
+    keys = ["__block", "__shard"]
+    return queries.groupBy(*keys).cogroup(vectors.groupBy(*keys)).applyInArrow(matched, schema)
+
+
+def _search(index, planned, k, metric, cells, query_id, query_vector, id_col, vector_col, broadcast_bytes):
+    """The k best of the cells of each query, from each task. ``planned`` has them as bits, and may have a column ``__bad``
+    that results must not be worse than."""
+    numbers, dimension, sizes = cells
     largest = metric == "ip"
     schema = _result_schema(planned, index, query_id, id_col) + ", cell int"
     index = index.select("cell", id_col, vector_col).filter(F.col(vector_col).isNotNull())
-    room = max(1, broadcast_bytes // (8 * centres.shape[1] + 4 * centres.shape[0]))
-    spark, count = index.sparkSession, planned.count()
-    planned = planned.select(query_id, query_vector, "cells")
-
-    def ranked(part):
-        block = _packed(part, numbers, query_id, query_vector)
-        found = _scan_cells(probed_part(index, part), block, numbers, k, largest, schema)
-        return _rank(_merge_groups(found, query_id, id_col, k, largest), query_id, id_col, k, largest)
-
-    if count == 0:
-        return spark.createDataFrame([], schema + ", rank int")
-    if count <= room:
-        return ranked(planned)
-    path, blocks = scratch_path(spark, "cells"), -(-count * 5 // (4 * room))
-    for i in range(blocks):
-        part = planned.filter(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == i)
-        if not part.isEmpty():
-            ranked(part).write.mode("append").parquet(path)
-    return spark.read.parquet(path)
+    # A query, its bits and its results.
+    room = max(1, broadcast_bytes // (8 * dimension + len(numbers) // 8 + 32 * k))
+    block = planned.limit(room + 1).toArrow()
+    if block.num_rows == 0:
+        return index.sparkSession.createDataFrame([], schema)
+    if block.num_rows <= room:
+        return _merge_groups(_scan_cells(index, block, numbers, k, largest, schema), query_id, id_col, k, largest)
+    return _match_cells(index, planned, k, largest, schema, numbers, sizes, room, query_id, query_vector, id_col, vector_col)
 
 
 def cell_topk(index: DataFrame, queries: DataFrame, k: int, metric: str = "ip", *, cells: DataFrame,
@@ -315,15 +421,18 @@ def cell_topk(index: DataFrame, queries: DataFrame, k: int, metric: str = "ip",
     numbers, centres, _ = _centres(cells)
     if not len(centres):
         return _empty(index, queries, query_id, id_col).withColumn("cell", F.lit(None).cast("int"))
+    counts = {r.cell: r.vectors for r in cells.select("cell", "vectors").collect()}  # at most MOST_CELLS
+    described = numbers, centres.shape[1], np.array([counts[n] for n in numbers], dtype=np.int64)
     names = (query_id, query_vector, id_col, vector_col, broadcast_bytes)
     planned = nearest_cells(queries, cells, probes, query_id, query_vector)
-    found = _search(index, planned, k, metric, numbers, centres, *names)
+    found = _search(index, _bits(planned, numbers, query_id, query_vector), k, metric, described, *names)
+    found = _rank(found, query_id, id_col, k, metric == "ip")
     if not exact:
         return found
     found = durable(found)
-    rest = remaining_cells(planned, found, cells, k, metric, query_id, query_vector)
-    more = _search(index, rest, k, metric, numbers, centres, *names)
-    return _rank(found.unionByName(more).drop("rank"), query_id, id_col, k, metric == "ip")
+    rest = remaining_cells(planned, found, cells, k, metric, query_id, query_vector, packed=True)
+    more = _search(index, rest, k, metric, described, *names)
+    return _rank(found.drop("rank").unionByName(more), query_id, id_col, k, metric == "ip")
 
 
 def cell_search(cells: DataFrame, probes: int = 10, exact: bool = False):

@@ -27,10 +27,12 @@ def validate_k(k: int, score_threshold: float = None) -> None:
 def _topk_collector(k: int, largest: bool):
     """Picklable helpers for tasks: a list column to a matrix, and a collector of the k best.
 
-    ``collector(queries)`` returns ``add(ids, vectors)`` and ``result()``. One matrix product with
-    an error bound finds the candidates that can beat a query's k-th best; they are scored again
-    one by one, without rounding. They are merged whenever they have grown to a few times the
-    result, so memory stays bounded by k x queries.
+    ``collector(queries, cut)`` returns ``add(ids, vectors, mine, tag)`` and ``result()``; ``mine`` are the places of the
+    queries to compare, ``tag`` a number that comes back with a result, ``cut`` what results must not be worse than (badness:
+    a squared distance or a negative inner product). Products of tiles of queries and vectors, with an error bound, find the
+    candidates that can beat a query's k-th best, which is carried from tile to tile; they are scored again one by one,
+    without rounding. They are merged whenever they have grown to a few times the result, so memory stays bounded by
+    k x queries.
     """
     import numpy as np
 
@@ -41,24 +43,34 @@ def _topk_collector(k: int, largest: bool):
         flat = array.flatten().to_numpy(zero_copy_only=False)
         return flat.reshape(len(array), -1).astype(np.float64)
 
-    def collector(queries):
+    def collector(queries, cut=None):
         n, dimension = queries.shape
-        cut = np.full(n, np.inf)
+        cut = np.full(n, np.inf) if cut is None else np.array(cut, dtype=np.float64)
         held, size = [], 0
-        rows = max(1, 2_000_000 // max(1, n))
+        tile = 1 << 20
         pairs = max(1, 2_000_000 // max(1, dimension))
         squares = (queries ** 2).sum(1)
-        # What a product of matrices may be off by, relative to the norms of what it multiplies.
-        unit = 8 * (dimension + 4) * np.finfo(np.float64).eps
+        # Inner products are estimated in single precision, where no value is beyond its range.
+        single = largest and n > 0 and squares.max() < 1e30
 
-        def estimate(vectors):
+        def bounds(kind):
+            """What a product of matrices may be off by, relative to the norms of what it multiplies."""
+            return 8 * (dimension + 4) * np.finfo(kind).eps
+
+        left = {}
+
+        def of(kind):
+            if kind not in left:
+                left[kind] = (-queries if largest else queries).astype(kind)
+            return left[kind]
+
+        def estimate(rows, vectors, norms, kind):
             """Badness of all pairs by one product, and a bound of its error for each query."""
-            dots = queries @ vectors.T
-            norms = (vectors ** 2).sum(1)
+            dots = of(kind)[rows] @ vectors.astype(kind, copy=False).T
             longest = np.sqrt(norms.max())
             if largest:
-                return -dots, unit * np.sqrt(squares) * longest
-            return squares[:, None] + norms[None, :] - 2 * dots, unit * (np.sqrt(squares) + longest) ** 2
+                return dots, bounds(kind) * np.sqrt(squares[rows]) * longest + 1e-30
+            return squares[rows][:, None] + norms[None, :] - 2 * dots, bounds(kind) * (np.sqrt(squares[rows]) + longest) ** 2
 
         def exact(q, vectors, r):
             """Badness of single pairs, each summed by itself, so that equal vectors tie in any batch."""
@@ -70,40 +82,73 @@ def _topk_collector(k: int, largest: bool):
 
         def merge():
             nonlocal held, size
-            q, ids, bad = (np.concatenate(parts) for parts in zip(*held))
+            q, ids, bad, tags = (np.concatenate(parts) for parts in zip(*held))
             order = np.lexsort((ids, bad, q))
-            q, ids, bad = q[order], ids[order], bad[order]
+            q, ids, bad, tags = q[order], ids[order], bad[order], tags[order]
             place = np.arange(len(q)) - np.searchsorted(q, q, side="left")
             cut[q[place == k - 1]] = bad[place == k - 1]
             top = place < k
-            held, size = [(q[top], ids[top], bad[top])], int(top.sum())
+            held, size = [(q[top], ids[top], bad[top], tags[top])], int(top.sum())
+
+        def candidates(rows, part, norms, kind):
+            """Places in ``rows`` and ``part`` of the pairs that may be among the best; None if too many to be worth it."""
+            rough, error = estimate(rows, part, norms, kind)
+            if len(part) > k:
+                fresh = np.flatnonzero(np.isinf(cut[rows]))
+                if len(fresh):
+                    some = rough if len(fresh) == len(rough) else rough[fresh]
+                    kth = np.partition(some, k - 1, axis=1)[:, k - 1].astype(np.float64)
+                    # So many are at least as good; ties with the k-th stay in: they are settled by id.
+                    cut[rows[fresh]] = np.minimum(cut[rows[fresh]], kth + error[fresh])
+            limit = cut[rows] + error
+            if kind == np.float32:
+                limit = np.nextafter(np.minimum(limit, 3e38).astype(np.float32), np.float32(np.inf))
+            hits = np.flatnonzero(rough <= limit[:, None])
+            if kind == np.float32 and len(hits) > max(2 * k * len(rows), rough.size // 8):
+                return None
+            return np.divmod(hits, len(part))
 
-        def add(ids, vectors):
+        def hold(q, r, ids, vectors, tag):
             nonlocal size
+            bad = exact(q, vectors, r)
+            near = bad <= cut[q]
+            if near.any():
+                held.append((q[near], ids[r[near]], bad[near], np.full(int(near.sum()), tag)))
+                size += int(near.sum())
+            if size > 4 * k * n:
+                merge()
+
+        def add(ids, vectors, mine=None, tag=0):
             if vectors.shape[1] != dimension:
                 raise ValueError(f"vectors of {vectors.shape[1]} elements, queries of {dimension}")
-            for at in range(0, len(ids), rows):
-                part = vectors[at:at + rows]
-                rough, error = estimate(part)
-                bound = cut
-                if rough.shape[1] > k:
-                    # Ties with the k-th stay in: they are settled by id.
-                    bound = np.minimum(cut, np.partition(rough, k - 1, axis=1)[:, k - 1] + error)
-                q, r = np.nonzero(rough <= (bound + error)[:, None])
-                bad = exact(q, part, r)
-                near = bad <= cut[q]
-                if near.any():
-                    held.append((q[near], ids[at:at + rows][r[near]], bad[near]))
-                    size += int(near.sum())
-                if size > 4 * k * n:
-                    merge()
+            mine = np.arange(n) if mine is None else mine
+            if not len(mine) or not len(ids):
+                return
+            norms = (vectors ** 2).sum(1)
+            odd = ~np.isfinite(norms)
+            if odd.any():  # what is no number or endless has no estimate: compared one by one, away from the others
+                add(ids[~odd], vectors[~odd], mine, tag)
+                for at in np.flatnonzero(odd):
+                    hold(mine, np.full(len(mine), at), ids, vectors, tag)
+                return
+            kind = np.float32 if single and norms.max() < 1e30 else np.float64
+            quick = vectors.astype(kind, copy=False)
+            step = max(1024, tile // len(mine))
+            for at in range(0, len(ids), step):
+                part, few = vectors[at:at + step], quick[at:at + step]
+                for start in range(0, len(mine), max(1, tile // len(part))):
+                    rows = mine[start:start + max(1, tile // len(part))]
+                    found = candidates(rows, few, norms[at:at + step], kind)
+                    if found is None:
+                        found = candidates(rows, part, norms[at:at + step], np.float64)
+                    hold(rows[found[0]], found[1], ids[at:at + step], part, tag)
 
         def result():
             if not held:
                 return None
             merge()
-            q, ids, bad = held[0]
-            return q, ids, (-bad if largest else bad) + 0.0
+            q, ids, bad, tags = held[0]
+            return q, ids, (-bad if largest else bad) + 0.0, tags
 
         return add, result
 
@@ -214,7 +259,7 @@ def _scan(index, block, k, largest, schema):
                 add(batch.column(0).to_numpy(zero_copy_only=False), matrix(batch.column(1)))
         best = result()
         if best is not None:
-            q, ids, s = best
+            q, ids, s, _ = best
             yield pa.RecordBatch.from_arrays(
                 [query_ids.take(pa.array(q)), pa.array(ids, type=id_type), pa.array(s)],
                 names=[f.split()[0] for f in schema.split(", ")])
@@ -228,6 +273,7 @@ def _grid(index, queries, cell, k, largest, schema, query_id, query_vector, id_c
     names = [f.split()[0] for f in schema.split(", ")]
 
     def cell_topk(left, right):
+        import numpy as np
         import pyarrow as pa
         if not left.num_rows or not right.num_rows:
             return pa.table({n: pa.array([], t) for n, t in zip(names, (
@@ -239,7 +285,7 @@ def _grid(index, queries, cell, k, largest, schema, query_id, query_vector, id_c
         for at in range(0, len(queries), step):
             add, result = collector(queries[at:at + step])
             add(numbers, vectors)
-            q, found, s = result()
+            q, found, s, _ = result() or (np.zeros(0, dtype=np.int64), numbers[:0], np.zeros(0), None)
             parts.append(pa.table([asked.take(pa.array(q + at)), pa.array(found, type=ids.type), pa.array(s)], names=names))
         return pa.concat_tables(parts)
 
