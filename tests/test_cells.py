@@ -239,3 +239,9 @@ def test_odd_values_hide_no_vector_and_large_ones_are_compared():
         add(np.arange(50), vectors)
         q, ids, _, _ = result()
         assert list(ids[q == 0]) == [49, 48] and list(ids[q == 1]) == [0, 1]
+
+
+def test_queries_of_a_cell_are_read_from_bits(spark):
+    mask = np.random.default_rng(4).random((40, 21)) < 0.3
+    bits = C._bit_matrix(C._bit_rows(mask))
+    assert bits.shape == (40, 3) and all(list(C._with_bit(bits, i)) == list(np.flatnonzero(mask[:, i])) for i in range(21))

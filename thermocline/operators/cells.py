@@ -252,34 +252,38 @@ def _packed(planned, numbers, query_id, query_vector):
     return _bits(planned, numbers, query_id, query_vector).toArrow()
 
 
-def _masks(array, cells):
-    """Cells that are bits, as a matrix of a row per query."""
+def _bit_matrix(array):
+    """Cells that are bits, as bytes of a row per query."""
     import numpy as np
-    bits = np.frombuffer(b"".join(array.to_pylist()), dtype=np.uint8).reshape(len(array), -1)
-    return np.unpackbits(bits, axis=1, count=cells).astype(bool)
+    return np.frombuffer(b"".join(array.to_pylist()), dtype=np.uint8).reshape(len(array), -1)
+
+
+def _with_bit(bits, place):
+    """Rows that have a bit; a cell's queries are found when it is searched, as all lists of them may take far more room."""
+    import numpy as np
+    return np.flatnonzero(bits[:, place >> 3] & (128 >> (place & 7)))
 
 
 def _scan_cells(index, block, numbers, k, largest, schema):
     """Score the index where it lies; a task holds the k best of each query so far."""
     matrix, collector = _topk_collector(k, largest)
-    rows, flat = np.nonzero(_masks(block.column("cells"), len(numbers)))
-    rows, flat = rows.astype(np.int32), numbers[flat]
-    order = np.argsort(flat, kind="stable")
+    bits = _bit_matrix(block.column("cells"))
+    wanted = numbers[np.unpackbits(np.bitwise_or.reduce(bits, axis=0), count=len(numbers)).astype(bool)]
     cut = block.column("__bad").to_numpy() if "__bad" in block.column_names else None
     shared = index.sparkSession.sparkContext.broadcast((
-        block.column(0).combine_chunks(), matrix(block.column(1).combine_chunks()), flat[order], rows[order], cut))
-    part = index.sparkSession.createDataFrame([(sorted({int(x) for x in flat}),)], "cells array<int>")
+        block.column(0).combine_chunks(), matrix(block.column(1).combine_chunks()), bits, numbers, cut))
+    part = index.sparkSession.createDataFrame([([int(x) for x in wanted],)], "cells array<int>")
 
     def local_topk(batches):
         import numpy as np
         import pyarrow as pa
-        query_ids, queries, by_cell, query_rows, cut = shared.value
+        query_ids, queries, bits, described, cut = shared.value
         add, result = collector(queries, cut)
         id_type = None
         for batch in batches:
             numbers = batch.column(0).to_numpy(zero_copy_only=False)
             for number in np.unique(numbers):
-                mine = query_rows[slice(*np.searchsorted(by_cell, [number, number + 1]))]
+                mine = _with_bit(bits, np.searchsorted(described, number))
                 if len(mine):
                     part = batch.filter(pa.array(numbers == number))
                     id_type = part.column(1).type
@@ -323,8 +327,8 @@ def _match_cells(index, planned, k, largest, schema, numbers, sizes, block_queri
         for batch in batches:
             for start in range(0, batch.num_rows, PROBED_TOGETHER):
                 part = batch.slice(start, PROBED_TOGETHER)
-                mask = _masks(part.column(part.schema.get_field_index("cells")), len(numbers))
-                asked = (mask.astype(np.float32) @ held) > 0
+                bits = _bit_matrix(part.column(part.schema.get_field_index("cells")))
+                asked = (np.unpackbits(bits, axis=1, count=len(numbers)).astype(np.float32) @ held) > 0
                 rows, shards = np.nonzero(asked)
                 grown = part.take(pa.array(rows))
                 yield pa.RecordBatch.from_arrays([*grown.columns, pa.array(shards.astype(np.int32))],
@@ -338,12 +342,10 @@ def _match_cells(index, planned, k, largest, schema, numbers, sizes, block_queri
         for batch in batches:
             at = batch.column(0).to_numpy(zero_copy_only=False)
             for block in np.unique(at):
-                part = batch.filter(pa.array(at == block))
-                for start in range(0, part.num_rows, 16 * PROBED_TOGETHER):
-                    mask = _masks(part.column(1).slice(start, 16 * PROBED_TOGETHER), len(numbers)).any(0)
-                    asked[block] = asked[block] | mask if block in asked else mask
-        for block, mask in asked.items():
-            cells = numbers[mask].astype(np.int32)
+                some = np.bitwise_or.reduce(_bit_matrix(batch.filter(pa.array(at == block)).column(1)), axis=0)
+                asked[block] = asked[block] | some if block in asked else some
+        for block, some in asked.items():
+            cells = numbers[np.unpackbits(some, count=len(numbers)).astype(bool)].astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(np.full(len(cells), block, dtype=np.int32))],
                                              names=["cell", "__block"])
 
@@ -357,7 +359,7 @@ def _match_cells(index, planned, k, largest, schema, numbers, sizes, block_queri
         asked, ids = left.column(query_id).combine_chunks(), right.column(id_col).combine_chunks()
         best = None
         if left.num_rows and right.num_rows:
-            mask = _masks(left.column("cells"), len(shared.value[0]))
+            bits = _bit_matrix(left.column("cells"))
             cut = left.column("__bad").to_numpy() if "__bad" in left.column_names else None
             add, result = collector(matrix(left.column(query_vector).combine_chunks()), cut)
             vectors = matrix(right.column(vector_col).combine_chunks())
@@ -369,8 +371,7 @@ def _match_cells(index, planned, k, largest, schema, numbers, sizes, block_queri
             by_cell = np.argsort(cells, kind="stable")
             found, starts = np.unique(cells[by_cell], return_index=True)
             for cell, rows in zip(found, np.split(by_cell, starts[1:])):
-                mine = np.flatnonzero(mask[:, np.searchsorted(shared.value[0], cell)])
-                add(places[rows], vectors[rows], mine, cell)
+                add(places[rows], vectors[rows], _with_bit(bits, np.searchsorted(shared.value[0], cell)), cell)
             best = result()
         q, r, s, tags = best or (np.zeros(0, dtype=np.int64),) * 4
         return pa.table([asked.take(pa.array(q)), ids.take(pa.array(by_id[r] if best else r)), pa.array(s, pa.float64()),
